@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-
+from gridimpact.llm.bpe import bpe_digest
 from gridimpact.llm.common import table
 from gridimpact.llm.exact_dedup import exact_dedup
 from gridimpact.llm.quality_rules import quality_rules
 from gridimpact.llm.secret_scan import secret_digest
 
+#: The public vocabulary of the BPE query; installed with the tokenizer files, never part of this repository.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), keep="largest")
@@ -27,10 +31,15 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = WORD_BPE) -> DataFrame:
+    return bpe_digest(table(spark, sf_dir, "documents"), vocabulary)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op7_bpe": op7_bpe,
 }
 
 ORACLES: dict[str, str] = {
