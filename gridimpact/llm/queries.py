@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridimpact.llm.bpe import bpe_digest
 from gridimpact.llm.common import table
 from gridimpact.llm.exact_dedup import exact_dedup
+from gridimpact.llm.jaccard_join import near_duplicates
 from gridimpact.llm.quality_rules import quality_rules
 from gridimpact.llm.secret_scan import secret_digest
 
@@ -31,6 +32,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = WORD_BPE) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"), vocabulary)
 
@@ -39,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_bpe": op7_bpe,
 }
 
