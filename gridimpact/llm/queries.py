@@ -13,6 +13,7 @@ from gridimpact.llm.exact_dedup import exact_dedup
 from gridimpact.llm.jaccard_join import near_duplicates
 from gridimpact.llm.quality_rules import quality_rules
 from gridimpact.llm.secret_scan import secret_digest
+from gridimpact.llm.suffix_dedup import repeated_digest
 
 #: The public vocabulary of the BPE query; installed with the tokenizer files, never part of this repository.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +24,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_digest(table(spark, sf_dir, "documents"), length=200)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = WORD_BPE) -> Dat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_jaccard_join": op5_jaccard_join,
