@@ -9,8 +9,10 @@ also announce those. Candidates are checked by size, by the Hamming distance of
 difference), and at last by the sets themselves. No link between different texts is lost.
 
 Equal sets are one node of the graph. Nodes that agree on a block are first compared with one pivot of the block, not with
-each other, and what this links counts as one component. Pivots are chosen anew a few times; pairs that agree on a block
-and still lie in different components are then compared one by one. So a large group of near copies costs about its size.
+each other, and what this links counts as one component: the pivot that agrees with most others, which in a group of near
+copies is the least altered one, and then another at random. Nodes whose blocks still touch several components are left.
+Linked sets also share one of their rarest shingles (a prefix in order of rarity), and those differ inside a group of near
+copies, so the nodes that are left meet on these; sizes and sketches are compared in the join itself.
 Hot blocks are pre-aggregated before they are shuffled, and the joins on them are left to adaptive skew splitting.
 
 Shingles, sets and nodes are 64-bit hashes. Defined results: null and empty texts, and texts of white space, have no
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 
 from gridimpact.llm.common import checkpointed, release_shuffles, text_or_empty, written
 
-SKETCH_BYTES = 64
+#: Columns of the wide sketch, 64 bits each.
+SKETCH = [f"s{k}" for k in range(8)]
 _U = np.uint64
 
 
@@ -122,8 +126,9 @@ class Bands:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _sketch(hashes: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((hashes & _U(8 * SKETCH_BYTES - 1)).astype(np.int64), minlength=8 * SKETCH_BYTES) & 1).tobytes()
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    bits = 64 * len(SKETCH)
+    return np.packbits(np.bincount((hashes & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.int64)
 
 
 def _node(hashes: np.ndarray) -> int:
@@ -137,7 +142,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def sketched(docs: DataFrame, id_col: str, width: int, bands: Bands) -> DataFrame:
-    """id, n (set size), node, sketch as four-byte-aligned longs, signatures."""
+    """id, n (set size), node, the wide sketch as longs s0, s1, ..., signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -149,15 +154,15 @@ def sketched(docs: DataFrame, id_col: str, width: int, bands: Bands) -> DataFram
                         batch.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_node(s) for s in sets], pa.int64()),
-                        _lists([np.frombuffer(_sketch(s), np.uint64) for s in sets]),
+                        *(pa.array(np.ascontiguousarray(x)) for x in np.array([_sketch(s) for s in sets]).T),
                         _lists([bands.signatures(s) for s in sets]),
                     ],
                     names,
                 )
 
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty().alias("text"))
-    kind, names = rows.schema[0].dataType.simpleString(), ["id", "n", "node", "sketch", "sigs"]
-    return rows.mapInArrow(run, f"id {kind}, n long, node long, sketch array<long>, sigs array<long>")
+    kind, names = rows.schema[0].dataType.simpleString(), ["id", "n", "node", *SKETCH, "sigs"]
+    return rows.mapInArrow(run, f"id {kind}, n long, node long, {', '.join(f'{c} long' for c in SKETCH)}, sigs array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -190,77 +195,91 @@ def components(links: DataFrame) -> DataFrame:
 
 class _Links:
     def __init__(self, sets: DataFrame, percent: int):
-        """sets: node, n, sketch, shingles of each node that has a candidate."""
+        """sets: node, n, the sketch and the shingles of each node that has a candidate."""
         self.sets, self.percent = sets, percent
-        self.small = sets.select("node", "n", "sketch")
+
+    def may_link(self, a: str, b: str) -> Column:
+        """Whether sizes and sketches allow it; a, b: suffixes of the columns."""
+        x, y = F.col(f"n{a}"), F.col(f"n{b}")
+        apart = reduce(lambda p, q: p + q, [F.bit_count(F.col(c + a).bitwiseXOR(F.col(c + b))) for c in SKETCH])
+        return (100 * F.least(x, y) >= self.percent * F.greatest(x, y)) & (apart * (100 + self.percent) <= (x + y) * (100 - self.percent))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose similarity reaches the limit."""
-        a, b = (self.small.toDF(k, f"n_{k}", f"s_{k}") for k in "ab")
-        near = pairs.join(a, "a").join(b, "b")
-        union = F.col("n_a") + F.col("n_b")
-        far = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-        near = near.where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
-        near = near.where(far * (100 + self.percent) <= union * (100 - self.percent)).select("a", "b")
-        full = [self.sets.select(F.col("node").alias(k), F.col("shingles").alias(f"h_{k}")) for k in "ab"]
-        both = near.join(full[0], "a").join(full[1], "b").withColumn("same", F.size(F.array_intersect("h_a", "h_b")))
+        one, other = (self.sets.select(F.col("node").alias(k), F.col("shingles").alias(f"h_{k}")) for k in "ab")
+        both = pairs.join(one, "a").join(other, "b").withColumn("same", F.size(F.array_intersect("h_a", "h_b")))
         total = F.size("h_a") + F.size("h_b") - F.col("same")
         return both.where(100 * F.col("same") >= self.percent * total).select("a", "b")
 
-
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    def with_pivots(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that may link."""
+        one, other = (self.sets.select("node", "n", *SKETCH).toDF(k, *(c + k for c in ["n", *SKETCH])) for k in "ab")
+        return pairs.join(one, "a").join(other, "b").where(self.may_link("a", "b")).select("a", "b")
+
+    def that_meet(self, nodes: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different labels that share a shingle of both prefixes and may link; nodes: node, label."""
+        sets = self.sets.join(nodes, "node")
+        tokens = sets.select("node", F.explode("shingles").alias("token"))
+        often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        shared = tokens.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("shared"))  # at most a set
+        prefix = F.expr(f"n - (n * {self.percent} + 99) div 100 + 1 - (n - size(shared))")  # shingles that nobody shares come first
+        keys = shared.join(sets.drop("shingles"), "node").where(prefix > 0).withColumn("key", F.explode(F.slice("shared", F.lit(1), prefix.cast("int"))))
+        keys = keys.select(F.col("key.token").alias("token"), "node", "label", "n", *SKETCH)
+        one, other = (keys.toDF("token", *(c + k for c in ["node", "label", "n", *SKETCH])) for k in "ab")
+        met = one.join(other, "token").where((F.col("nodea") < F.col("nodeb")) & (F.col("labela") != F.col("labelb")) & self.may_link("a", "b"))
+        return met.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+
+
+def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Members (sig, node) of the blocks in which more than one component meets, with their labels."""
     if labels is None:
         return members.withColumn("label", F.col("node"))
-    with_label = members.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+    with_label = members.join(labels, "node", "left").select("sig", "node", "o", F.coalesce("label", "node").alias("label"))
     met = with_label.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("sig")
     return with_label.join(met, "sig")
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", width: int = 5, percent: int = 80, growth: float = 1.5, pivot_rounds: int = 4
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = 5, percent: int = 80, growth: float = 1.5) -> DataFrame:
     """id, n_shingles, node (equal for equal sets, null for empty ones) and component_id of every document."""
     bands = Bands(percent, growth)
     docs = docs.select(id_col, "text")
     rows = written(sketched(docs, id_col, width, bands), "sketches")
-    classes = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("low"))
+    full = rows.where("n > 0")
+    classes = full.groupBy("node").agg(F.min("id").alias("low"))
 
-    blocks = rows.where("n > 0").select("node", F.explode("sigs").alias("sig"))
+    blocks = full.select("node", F.explode("sigs").alias("sig"))
     shared = blocks.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig")
     members = written(blocks.join(shared, "sig").distinct(), "blocks")
-    met = members.groupBy("sig").agg(F.min("node").alias("l"), F.max("node").alias("h")).where("l != h").select("sig")
-    members = written(members.join(met, "sig").select("sig", "node"), "members")
+    met = members.groupBy("sig").agg(F.min("node").alias("l"), F.max("node").alias("h"), F.count(F.lit(1)).alias("c")).where("l != h")
+    members = members.join(met.select("sig", "c"), "sig").select("sig", "node", "c")
+    popular = members.groupBy("node").agg(F.sum("c").alias("o"))
+    members = written(members.join(popular, "node").select("sig", "node", "o"), "members")
     release_shuffles(docs.sparkSession)
 
-    wanted = classes.join(members.select("node").distinct(), "node").select(F.col("low").alias(id_col))
-    texts = docs.join(wanted.distinct(), id_col, "left_semi").select(text_or_empty().alias("text"))
-    about = rows.select("node", "n", "sketch").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    sets = written(shingle_sets(texts, width).dropDuplicates(["node"]).join(about, "node").select("node", "n", "sketch", "shingles"), "sets")
+    involved = members.select("node").distinct()
+    wanted = classes.join(involved, "node").select(F.col("low").alias(id_col)).distinct()
+    texts = docs.join(wanted, id_col, "left_semi").select(text_or_empty().alias("text"))
+    about = full.groupBy("node").agg(*(F.first(c).alias(c) for c in ["n", *SKETCH])).join(involved, "node")
+    sets = shingle_sets(texts, width).dropDuplicates(["node"]).join(about, "node")
+    check = _Links(written(sets.select("node", "n", *SKETCH, "shingles"), "sets"), percent)
     release_shuffles(docs.sparkSession)
-    check = _Links(sets, percent)
 
     links, labels = None, None
-    for turn in range(pivot_rounds + 1):
-        open_ = written(_labelled(members, labels), "open")
-        size = open_.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.expr("c * (c - 1) / 2")).alias("pairs"), F.sum("c").alias("rows")).first()
-        if not size.rows:
+    for turn in ("popular", "random", "rest"):
+        open_ = written(_open(members, labels), f"open-{turn}")
+        if open_.isEmpty():
             break
-        last = turn == pivot_rounds or size.pairs <= 2 * size.rows
-        if last:  # every pair that is left
-            a, b = open_.toDF("sig", "a", "la"), open_.toDF("sig", "b", "lb")
-            pairs = a.join(b, "sig").where("a < b and la != lb").select("a", "b").distinct()
+        if turn == "rest":
+            pairs = check.that_meet(open_.select("node", "label").distinct())
         else:
-            order = F.xxhash64("node", F.lit(turn))
+            order = -F.col("o") if turn == "popular" else F.xxhash64("node")
             pivots = open_.groupBy("sig").agg(F.min(F.struct(order.alias("o"), "node", "label")).alias("p"))
-            to = open_.join(pivots, "sig").where("label != p.label")
-            pairs = to.groupBy("node").agg(F.min("p").alias("p")).select(F.col("node").alias("a"), F.col("p.node").alias("b"))
+            to = open_.join(pivots, "sig").where("label != p.label").groupBy("node").agg(F.min("p").alias("p"))
+            pairs = check.with_pivots(to.select(F.col("node").alias("a"), F.col("p.node").alias("b")))
         found = written(check.verified(pairs), "links")
         links = found if links is None else links.union(found)
         labels = components(links)
         release_shuffles(docs.sparkSession)
-        if last:
-            break
 
     out = rows.select("id", "n", "node").join(classes, "node", "left")
     if labels is not None:
