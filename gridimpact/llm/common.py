@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,6 +74,12 @@ def clear_work(spark: SparkSession) -> None:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of tables that are written: it does so for plans that the driver has forgotten."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files behind tables that are written.
+
+    Spark does so for plans that the driver has forgotten, when it collects its garbage; the second turn gets what
+    the first has only marked.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

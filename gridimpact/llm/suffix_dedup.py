@@ -249,7 +249,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", length: int = 200) -
                 yield _in_buckets(chunk, np.unique(names), n1, 6)
 
     blocks = chunks.select("chunk", "sizes", "body").mapInArrow(deal_blocks, "bucket int, chunk long, names binary")
-    found = repeated_names(blocks, 6)
+    found = written(repeated_names(blocks, 6), "blocks")
+    release_shuffles(spark)
 
     # Equal documents: the first of each group stands for all in the second sort; all of them are repeated as a whole.
     slots = chunks.select("chunk", F.posexplode("keys").alias("slot", "key"))
@@ -308,7 +309,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", length: int = 200) -
 
     n_hits = picked.select(F.explode("hits").alias("h")).agg(F.sum(F.size("h"))).first()[0] or 0
     n2 = max(1, 20 * n_hits // BUCKET_NAMES + 1)  # about 20 starts for a block, if neighbours are found too
-    second = repeated_names(picked.select("chunk", "sizes", "hits", "body").mapInArrow(deal_windows, "bucket int, chunk long, names binary"), 8)
+    dealt = picked.select("chunk", "sizes", "hits", "body").mapInArrow(deal_windows, "bucket int, chunk long, names binary")
+    second = written(repeated_names(dealt, 8), "windows")
+    release_shuffles(spark)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
