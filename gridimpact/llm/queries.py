@@ -14,6 +14,7 @@ from gridimpact.llm.jaccard_join import near_duplicates
 from gridimpact.llm.quality_rules import quality_rules
 from gridimpact.llm.secret_scan import secret_digest
 from gridimpact.llm.suffix_dedup import repeated_digest
+from gridimpact.llm.toxicity import toxicity
 
 #: The public vocabulary of the BPE query; installed with the tokenizer files, never part of this repository.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -45,6 +46,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = WORD_BPE) -> Dat
     return bpe_digest(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_bpe": op7_bpe,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {
