@@ -11,6 +11,7 @@ from gridimpact.llm.bpe import bpe_digest
 from gridimpact.llm.common import table
 from gridimpact.llm.exact_dedup import exact_dedup
 from gridimpact.llm.jaccard_join import near_duplicates
+from gridimpact.llm.quality_classifier import quality_scores
 from gridimpact.llm.quality_rules import quality_rules
 from gridimpact.llm.secret_scan import secret_digest
 from gridimpact.llm.suffix_dedup import repeated_digest
@@ -42,6 +43,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = WORD_BPE) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"), vocabulary)
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_bpe": op7_bpe,
     "op9_toxicity": op9_toxicity,
 }
