@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridimpact.llm.bpe import bpe_digest
 from gridimpact.llm.common import table
 from gridimpact.llm.exact_dedup import exact_dedup
+from gridimpact.llm.html_extract import main_text
 from gridimpact.llm.jaccard_join import near_duplicates
 from gridimpact.llm.quality_classifier import quality_scores
 from gridimpact.llm.quality_rules import quality_rules
@@ -55,6 +56,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_bpe": op7_bpe,
     "op9_toxicity": op9_toxicity,
+    "op10_html_extract": op10_html_extract,
 }
 
 ORACLES: dict[str, str] = {
