@@ -257,8 +257,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = 5, per
     release_shuffles(docs.sparkSession)
 
     involved = members.select("node").distinct()
-    wanted = classes.join(involved, "node").select(F.col("low").alias(id_col)).distinct()
-    texts = docs.join(wanted, id_col, "left_semi").select(text_or_empty().alias("text"))
+    wanted = classes.join(involved, "node").select(F.col("low").alias("_low")).distinct()
+    texts = docs.join(wanted, docs[id_col].eqNullSafe(wanted["_low"]), "left_semi").select(text_or_empty().alias("text"))
     about = full.groupBy("node").agg(*(F.first(c).alias(c) for c in ["n", *SKETCH])).join(involved, "node")
     sets = shingle_sets(texts, width).dropDuplicates(["node"]).join(about, "node")
     check = _Links(written(sets.select("node", "n", *SKETCH, "shingles"), "sets"), percent)

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridimpact.llm.bpe import bpe_digest
 from gridimpact.llm.common import table
 from gridimpact.llm.exact_dedup import exact_dedup
 from gridimpact.llm.html_extract import main_text
 from gridimpact.llm.jaccard_join import near_duplicates
+from gridimpact.llm.mixing import mixing_rates
 from gridimpact.llm.quality_classifier import quality_scores
 from gridimpact.llm.quality_rules import quality_rules
 from gridimpact.llm.secret_scan import secret_digest
@@ -52,6 +54,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = WORD_BPE) -> Dat
     return bpe_digest(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posterior over the domains is given in thousandths."""
+    rated = mixing_rates(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), again=False)
+    thousandths = F.transform("domains", lambda p: F.round(1000 * p).cast("int"))
+    return rated.select("doc_id", "n_tokens", thousandths.alias("domains"), F.round("rate", 4).alias("rate"), "copies")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -68,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_bpe": op7_bpe,
+    "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_html_extract": op10_html_extract,
 }
