@@ -1,7 +1,7 @@
 """Exact duplicates by sorting content.
 
-Spark samples splitters, deals rows into ranges of the normalised text, sorts each range (spilling to disk) and
-compares neighbours in full, so equal texts end up side by side in one range. A text that holds a large share of
+Spark samples splitters, deals rows into ranges of the normalised text (of its beginning and, where beginnings are equal,
+a hash), sorts each range (spilling to disk) and compares neighbours in full, so equal texts end up side by side in one range. A text that holds a large share of
 all rows would fill a range of its own: such texts are found in a sample, their rows get a salt in the sort key so
 that several ranges share them, and one small pre-aggregated row per hot text joins the shares again. Which texts
 are salted affects only the spread of the work, never the result.
@@ -47,7 +47,7 @@ def exact_dedup(
     """
     if keep not in ("smallest", "largest"):
         raise ValueError(f"unknown keep: {keep}")
-    docs = docs.drop(*OUTPUTS, "_key", "_hot", "_salt", "_rank", "_sha")
+    docs = docs.drop(*OUTPUTS, "_key", "_start", "_code", "_salt", "_rank", "_sha")
     keyed = docs.withColumn("_key", normalised(text_col, normalise))
     code = F.xxhash64("_key")
 
@@ -58,9 +58,10 @@ def exact_dedup(
 
     is_hot = code.isin(hot) if hot else F.lit(False)
     salted = keyed.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int")).otherwise(0))
-    dealt = salted.repartitionByRange("_key", "_salt")
+    salted = salted.withColumns({"_start": F.substring("_key", 1, 32), "_code": code})
+    dealt = salted.repartitionByRange("_start", "_code", "_salt")  # splitters are short, since their sample goes to the driver
     best_first = F.col(id_col).desc_nulls_last() if keep == "largest" else F.col(id_col).asc_nulls_last()
-    group = Window.partitionBy("_key", "_salt")
+    group = Window.partitionBy("_start", "_code", "_salt", "_key")
     ranked = dealt.select(
         *docs.columns,
         F.row_number().over(group.orderBy(best_first)).alias("_rank"),
