@@ -33,6 +33,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def bounded_sample(rows: DataFrame, id_col: str, max_rows: int) -> DataFrame:
+    """At most max_rows rows, chosen by a hash of the identifier; all where there are no more."""
+    share = min(1.0, 1.2 * max_rows / max(1, rows.count()))  # so that tasks send about as much as is kept
+    place = F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1 << 40))
+    return rows.where(place < int(share * (1 << 40))).orderBy(place, id_col).limit(max_rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a local one only where the session names none, as in tests."""
     context = spark.sparkContext

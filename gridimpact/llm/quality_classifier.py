@@ -22,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridimpact.llm.common import GAP, fold_of, text_or_empty, written
+from gridimpact.llm.common import GAP, bounded_sample, fold_of, text_or_empty, written
 
 #: A condition on a statistic: its name, whether it must exceed the threshold, the threshold. A rule is a conjunction.
 Condition = tuple[str, bool, float]
@@ -121,7 +121,7 @@ def quality_scores(
 ) -> DataFrame:
     """id (and columns to keep), held_out, score and predicted of every document; labels of the held-out fold are never read."""
     known = labels.where(F.col("quality").isin(0, 1) & (fold_of(F.col(id_col), folds) != held_out)).select(id_col, F.col("quality").alias("label"))
-    chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
+    chosen = bounded_sample(known, id_col, max_rows)
     sample = written(statistics(docs.join(F.broadcast(chosen), id_col), ["label"]).coalesce(4), "sample")
     model = fit(sample)
     keep = [id_col, *(c for c in keep or [] if c != id_col)]

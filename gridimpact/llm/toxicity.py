@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridimpact.llm.common import fold_of, text_or_empty
+from gridimpact.llm.common import bounded_sample, fold_of, text_or_empty
 
 GRAMS, CONTEXT = (4, 5, 6), 12
 WINDOW, STEP = 36, 26
@@ -174,7 +174,7 @@ def score(text: str, model: ToxicityModel, compressors: list[zstandard.ZstdCompr
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, max_rows: int, id_col: str = "doc_id") -> DataFrame:
     """text and label of at most max_rows rows outside the held-out fold, chosen by a hash of the identifier."""
     known = labels.where(F.col(label).isNotNull() & (fold_of(F.col(id_col), folds) != held_out)).select(id_col, F.col(label).cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
+    chosen = bounded_sample(known, id_col, max_rows)
     return docs.select(id_col, text_or_empty().alias("text")).join(F.broadcast(chosen), id_col).orderBy(F.xxhash64(id_col), "text")
 
 
