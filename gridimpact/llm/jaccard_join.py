@@ -2,10 +2,10 @@
 
 Every set is folded into blocks by the high bits of its shingles' hashes, and each block into the XOR of its hashes: a
 parity sketch. One different shingle changes one block, so two sets whose symmetric difference is at most d agree on at
-least one of d + 1 blocks. Sets are put into bands by size; d is the largest difference that the limit allows in a band,
-and a set that can be linked with a larger one of the next band is sketched for that band too. Blocks that no set fills
-would agree by being empty, so there are some blocks to spare, and only the few sets with more empty blocks than that
-also announce those. Candidates are checked by size, by the Hamming distance of a wider sketch (a lower bound of the
+least one of d + 1 blocks, and with some blocks more on as many more. Sets are put into bands by size; d is the largest difference that the limit allows in a band,
+and a set that can be linked with a larger one of the next band is sketched for that band too. Empty
+blocks agree without telling anything: a set counts its own as lost, and only the few sets with more empty blocks than
+there are to spare also announce those. A set that shares fewer blocks than a linked one must is out. Candidates are checked by size, by the Hamming distance of a wider sketch (a lower bound of the
 difference), and at last by the sets themselves. No link between different texts is lost.
 
 Equal sets are one node of the graph. Nodes that agree on a block are first compared with one pivot of the block, not with
@@ -109,21 +109,24 @@ class Bands:
     def blocks(self, band: int) -> tuple[int, int]:
         """The number of blocks, and how many of them may be empty without announcing it."""
         d = self.difference(self.tops[band], self.tops[band])
-        spare = 2 + d // 16
+        spare = 3 + d // 8
         return d + 1 + spare, spare
 
-    def signatures(self, hashes: np.ndarray) -> np.ndarray:
-        out = []
+    def signatures(self, hashes: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Signatures, the last bit that of the band's number; and for even and odd bands how many of them a linked set shares at least."""
+        out, least = [], [1, 1]
         for band in self.of(len(hashes)):
             n, spare = self.blocks(band)
             block = ((hashes >> _U(32)) * _U(n)) >> _U(32)  # rises with the hash, so a block's hashes are neighbours
             first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             parity = np.bitwise_xor.reduceat(hashes, first)
-            out.append(mixed(parity ^ mixed(block[first] + _U(band << 40))))
+            least[band & 1] = max(1, 1 + spare - (n - len(first)))
+            found = [mixed(parity ^ mixed(block[first] + _U(band << 40)))]
             if n - len(first) > spare:
                 empty = np.setdiff1d(np.arange(n, dtype=np.uint64), block[first])
-                out.append(mixed(mixed(empty + _U(band << 40)) ^ _U(0x5851F42D4C957F2D)))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+                found.append(mixed(mixed(empty + _U(band << 40)) ^ _U(0x5851F42D4C957F2D)))
+            out += [(f & ~_U(1)) | _U(band & 1) for f in found]
+        return (np.concatenate(out) if out else np.zeros(0, np.uint64)), least
 
 
 def _sketch(hashes: np.ndarray) -> np.ndarray:
@@ -142,27 +145,29 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def sketched(docs: DataFrame, id_col: str, width: int, bands: Bands) -> DataFrame:
-    """id, n (set size), node, the wide sketch as longs s0, s1, ..., signatures."""
+    """id, n (set size), node, the wide sketch as longs s0, s1, ..., least0, least1, signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
                 sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+                signed = [bands.signatures(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_node(s) for s in sets], pa.int64()),
                         *(pa.array(np.ascontiguousarray(x)) for x in np.array([_sketch(s) for s in sets]).T),
-                        _lists([bands.signatures(s) for s in sets]),
+                        *(pa.array([least[k] for _, least in signed], pa.int64()) for k in (0, 1)),
+                        _lists([found for found, _ in signed]),
                     ],
                     names,
                 )
 
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty().alias("text"))
-    kind, names = rows.schema[0].dataType.simpleString(), ["id", "n", "node", *SKETCH, "sigs"]
-    return rows.mapInArrow(run, f"id {kind}, n long, node long, {', '.join(f'{c} long' for c in SKETCH)}, sigs array<long>")
+    kind, names = rows.schema[0].dataType.simpleString(), ["id", "n", "node", *SKETCH, "least0", "least1", "sigs"]
+    return rows.mapInArrow(run, f"id {kind}, n long, node long, {', '.join(f'{c} long' for c in SKETCH)}, least0 long, least1 long, sigs array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -230,13 +235,17 @@ class _Links:
         return met.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
 
 
+def _met(members: DataFrame, of: str) -> DataFrame:
+    """Blocks (sig) that hold two different values of a column."""
+    return members.groupBy("sig").agg(F.min(of).alias("l"), F.max(of).alias("h")).where("l != h").select("sig")
+
+
 def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Members (sig, node) of the blocks in which more than one component meets, with their labels."""
     if labels is None:
         return members.withColumn("label", F.col("node"))
     with_label = members.join(labels, "node", "left").select("sig", "node", "o", F.coalesce("label", "node").alias("label"))
-    met = with_label.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("sig")
-    return with_label.join(met, "sig")
+    return with_label.join(_met(with_label, "label"), "sig")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = 5, percent: int = 80, growth: float = 1.5) -> DataFrame:
@@ -248,10 +257,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = 5, per
     classes = full.groupBy("node").agg(F.min("id").alias("low"))
 
     blocks = full.select("node", F.explode("sigs").alias("sig"))
-    shared = blocks.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig")
+    shared = written(blocks.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig"), "shared")
+    release_shuffles(docs.sparkSession)
     members = written(blocks.join(shared, "sig").distinct(), "blocks")
-    met = members.groupBy("sig").agg(F.min("node").alias("l"), F.max("node").alias("h"), F.count(F.lit(1)).alias("c")).where("l != h")
-    members = members.join(met.select("sig", "c"), "sig").select("sig", "node", "c")
+    release_shuffles(docs.sparkSession)
+    least = full.groupBy("node").agg(F.first("least0").alias("least0"), F.first("least1").alias("least1"))
+    for _ in range(2):  # a block must join two nodes, and a node enough blocks of a band
+        members = members.join(_met(members, "node"), "sig").withColumn("odd", F.col("sig").bitwiseAND(F.lit(1)))
+        enough = members.groupBy("node", "odd").agg(F.count(F.lit(1)).alias("k")).join(least, "node")
+        enough = enough.where(F.col("k") >= F.when(F.col("odd") == 1, F.col("least1")).otherwise(F.col("least0"))).select("node", "odd")
+        members = written(members.join(enough, ["node", "odd"]).select("sig", "node"), "members")
+    members = members.join(_met(members, "node"), "sig").join(members.groupBy("sig").agg(F.count(F.lit(1)).alias("c")), "sig")
     popular = members.groupBy("node").agg(F.sum("c").alias("o"))
     members = written(members.join(popular, "node").select("sig", "node", "o"), "members")
     release_shuffles(docs.sparkSession)
