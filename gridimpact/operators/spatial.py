@@ -98,7 +98,8 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, step: float = 1.0)
 def match_units(points: DataFrame, polygons: DataFrame, by: str, step: float = 1.0) -> DataFrame:
     """The unit that holds each point, or else the nearest unit's centre in the same country; how tells which."""
     held = point_in_polygon(points, polygons.drop(by), step).groupBy("pid").agg(F.min("unit").alias("unit"))
-    centres = polygons.select(by, F.col("unit").alias("site"), *(F.aggregate(F.get("rings", F.lit(0)), F.lit(0.0), lambda a, p, c=c: a + p[c]).alias(f"s{c}") / F.size(F.get("rings", F.lit(0))) for c in "xy"))
-    centres = centres.toDF(by, "site", "sx", "sy")
+    outer = F.get("rings", F.lit(0))
+    mean = lambda c: F.aggregate(F.transform(outer, lambda p: p[c]), F.lit(0.0), lambda a, v: a + v) / F.size(outer)
+    centres = polygons.select(by, F.col("unit").alias("site"), mean("x").alias("sx"), mean("y").alias("sy"))
     rest = nearest_match(points.join(held, "pid", "left_anti"), centres, [by]).select("pid", F.col("site").alias("unit"), F.lit("nearest").alias("how"))
     return points.join(held.withColumn("how", F.lit("inside")).unionByName(rest), "pid", "left")
