@@ -60,12 +60,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table that `written` made, when what depends on it is written too."""
-    jvm, files = df.sparkSession.sparkContext._jvm, df.inputFiles()
-    if files:
-        path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made, when what depends on them is written too."""
+    for df in tables:
+        context, files = df.sparkSession.sparkContext, df.inputFiles()
+        if files:
+            path = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridimpact.llm.common import checkpointed, release_shuffles, text_or_empty, written
+from gridimpact.llm.common import checkpointed, discard, release_shuffles, text_or_empty, written
 
 #: Columns of the wide sketch, 64 bits each.
 SKETCH = [f"s{k}" for k in range(8)]
@@ -252,21 +252,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = 5, per
     """id, n_shingles, node (equal for equal sets, null for empty ones) and component_id of every document."""
     bands = Bands(percent, growth)
     docs = docs.select(id_col, "text")
-    rows = written(sketched(docs, id_col, width, bands), "sketches")
+    signed = written(sketched(docs, id_col, width, bands), "sketches")
+    rows = written(signed.drop("sigs"), "nodes")
     full = rows.where("n > 0")
     classes = full.groupBy("node").agg(F.min("id").alias("low"))
 
-    blocks = full.select("node", F.explode("sigs").alias("sig"))
+    blocks = signed.where("n > 0").select("node", F.explode("sigs").alias("sig"))
     shared = written(blocks.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig"), "shared")
     release_shuffles(docs.sparkSession)
     members = written(blocks.join(shared, "sig").distinct(), "blocks")
+    discard(signed, shared)
     release_shuffles(docs.sparkSession)
     least = full.groupBy("node").agg(F.first("least0").alias("least0"), F.first("least1").alias("least1"))
     for _ in range(2):  # a block must join two nodes, and a node enough blocks of a band
+        wide = members
         members = members.join(_met(members, "node"), "sig").withColumn("odd", F.col("sig").bitwiseAND(F.lit(1)))
         enough = members.groupBy("node", "odd").agg(F.count(F.lit(1)).alias("k")).join(least, "node")
         enough = enough.where(F.col("k") >= F.when(F.col("odd") == 1, F.col("least1")).otherwise(F.col("least0"))).select("node", "odd")
         members = written(members.join(enough, ["node", "odd"]).select("sig", "node"), "members")
+        discard(wide)
     members = members.join(_met(members, "node"), "sig").join(members.groupBy("sig").agg(F.count(F.lit(1)).alias("c")), "sig")
     popular = members.groupBy("node").agg(F.sum("c").alias("o"))
     members = written(members.join(popular, "node").select("sig", "node", "o"), "members")
@@ -293,6 +297,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = 5, per
             to = open_.join(pivots, "sig").where("label != p.label").groupBy("node").agg(F.min("p").alias("p"))
             pairs = check.with_pivots(to.select(F.col("node").alias("a"), F.col("p.node").alias("b")))
         found = written(check.verified(pairs), "links")
+        discard(open_)
         links = found if links is None else links.union(found)
         labels = components(links)
         release_shuffles(docs.sparkSession)
