@@ -14,13 +14,14 @@ ROLL_UP = ["DisNo.", "sid", "level", "GID_0", "GID_1", "iso3", "cyclone_basin",
 
 def usable_events(rows: DataFrame, event: str, country: str, unit: str, amount: str, level: str, least: float = 100.0) -> DataFrame:
     """Events with a large enough report, below national level, that spare a region of the country or whose country has just one."""
-    known = rows.where(F.col(unit).isNotNull() & F.col(country).isNotNull())
-    large = rows.where(F.col(amount) > least).select(event).distinct()
-    local = rows.where(F.col(level) != "ADM0").select(event).distinct()
-    by_unit = known.groupBy(event, country, unit).agg(F.bool_or(F.col(amount) > 0).alias("hit"))
-    share = by_unit.groupBy(event, country).agg(F.avg(F.coalesce("hit", F.lit(False)).cast("int")).alias("share"))
-    sizes = known.groupBy(country).agg(F.count_distinct(unit).alias("n"))
-    spared = share.join(sizes, country).where("share < 1 OR n = 1").select(event).distinct()
+    q = lambda c: F.col(f"`{c}`")
+    known = rows.where(q(unit).isNotNull() & q(country).isNotNull())
+    large = rows.where(q(amount) > least).select(q(event)).distinct()
+    local = rows.where(q(level) != "ADM0").select(q(event)).distinct()
+    by_unit = known.groupBy(q(event), q(country), q(unit)).agg(F.bool_or(q(amount) > 0).alias("hit"))
+    share = by_unit.groupBy(q(event), q(country)).agg(F.avg(F.coalesce("hit", F.lit(False)).cast("int")).alias("share"))
+    sizes = known.groupBy(q(country)).agg(F.count_distinct(q(unit)).alias("n"))
+    spared = share.join(sizes, country).where("share < 1 OR n = 1").select(q(event)).distinct()
     return large.join(local, event, "left_semi").join(spared, event, "left_semi")
 
 
@@ -39,7 +40,7 @@ def prepared(rows: DataFrame, regions: DataFrame, reports: DataFrame, aggregate:
     named = regions.select("iso3", "region", basin(F.col("region")).alias("cyclone_basin"))
     dates = reports.select("`DisNo.`", day_of(F.col("Start Year"), F.col("Start Month"), F.col("Start Day")).alias("date")).distinct()
     rows = rows.distinct().join(named, "iso3", "left")
-    events = usable_events(rows, "`DisNo.`", "GID_0", "GID_1", "Total Affected", "level")
+    events = usable_events(rows, "DisNo.", "GID_0", "GID_1", "Total Affected", "level")
     rows = rows.join(events, "DisNo.", "left_semi").join(dates, "DisNo.", "left")
     return rolled_up(rows, ROLL_UP, MEANS, MAXIMA, ["population"]) if aggregate else rows
 
