@@ -125,8 +125,8 @@ def measures(gain: np.ndarray) -> list[float]:
     return [np.log(n), *(c / n for c in counts), *(np.log1p(c) for c in counts[1:]), gain.clip(0).sum() / n, min(int(gain.max()), 12)]
 
 
-def fit(rows: list[tuple[str, int]], least: int = 6, ratio: float = 10.0, ordinary_bytes: int = 32768, toxic_bytes: int = 16384) -> ToxicityModel:
-    """rows: text and whether it is toxic."""
+def fit(rows: list[tuple[str, int]], least: float = 0.012, ratio: float = 20.0, ordinary_bytes: int = 32768, toxic_bytes: int = 4096) -> ToxicityModel:
+    """rows: text and whether it is toxic. least: contexts that a sequence needs, as a share of the toxic rows; ratio: see telling_runs."""
     toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
     share = len(toxic) / len(rows) if rows else 0.0
     if not toxic or not ordinary:
@@ -135,7 +135,7 @@ def fit(rows: list[tuple[str, int]], least: int = 6, ratio: float = 10.0, ordina
         trained = zstandard.train_dictionary(ordinary_bytes, [_lower(t) for t in ordinary[:: max(1, len(ordinary) // 2000)]], level=3).as_bytes()
     except zstandard.ZstdError:  # too little text to train on
         trained = b" ".join(_lower(t) for t in ordinary)[-ordinary_bytes:]
-    runs = telling_runs(toxic, ordinary, least, ratio)
+    runs = telling_runs(toxic, ordinary, max(4, round(least * len(toxic))), ratio)
     body, known, size = [], set(), 0
     for run in sorted(runs, key=lambda r: (-runs[r], r)):  # a run that adds two letters on either side to a known one tells nothing new
         cores = [run[i : len(run) - j] for i in range(3) for j in range(3) if len(run) - i - j >= 4]
