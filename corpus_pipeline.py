@@ -5,6 +5,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,17 +20,35 @@ from gridimpact.llm.queries import WORD_BPE
 from gridimpact.session import ship
 
 
+CORE = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def carried(stage):
+    """A stage under which further columns of docs have names that no operator uses; they come out as they went in."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: f"_carried_{k}" for k, c in enumerate(docs.columns) if c not in CORE}
+        out = stage(spark, docs.withColumnsRenamed(names), sf_dir)
+        return out.withColumnsRenamed({v: k for k, v in names.items()})
+
+    return run_stage
+
+
+@carried
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     scored = quality_scores(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
     return scored.where("predicted = 1").select(*docs.columns)
 
 
+@carried
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     return exact_dedup(docs).where("kept").select(*docs.columns)
 
 
+@carried
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest identifier of each group of near copies: shingles of five words, similarity of 0.8 or more."""
     found = near_duplicates(docs, width=5, percent=80)
@@ -36,6 +56,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(stay, docs.doc_id.eqNullSafe(stay.stays), "left_semi")
 
 
+@carried
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document once, and those of domains below their target weight more often, up to 1.25 epochs in all."""
     return mixed(docs, table(spark, sf_dir, "labels"), epochs=1.25, lowest=1.0)

@@ -28,9 +28,13 @@ from gridimpact.llm.common import GAP, bounded_sample, fold_of, text_or_empty, w
 Condition = tuple[str, bool, float]
 Rule = tuple[Condition, ...]
 
-STATISTICS = (
-    "log_words", "mean_word", "distinct_words", "distinct_lines", "symbols", "bars", "exclamations", "upper", "digits", "punctuation", "spaces", "long_words",
+STATISTICS = tuple(
+    f"_stat_{s}"
+    for s in (
+        "log_words", "mean_word", "distinct_words", "distinct_lines", "symbols", "bars", "exclamations", "upper", "digits", "punctuation", "spaces", "long_words",
+    )
 )
+OUTPUTS = ("held_out", "score", "predicted")
 
 
 def statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -55,7 +59,7 @@ def statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> Data
         "spaces": share(GAP),
         "long_words": ratio(F.length(F.regexp_replace(text, r"[^\x20\x09-\x0D]{1,24}(?=[\x20\x09-\x0D]|$)", "")), F.col("_chars")),
     }
-    return rows.select(*keep, *(values[s].cast("double").alias(s) for s in STATISTICS))
+    return rows.select(*keep, *(values[s.removeprefix("_stat_")].cast("double").alias(s) for s in STATISTICS))
 
 
 def tree_rules(forest, names: tuple[str, ...]) -> list[Rule]:
@@ -124,7 +128,7 @@ def quality_scores(
     chosen = bounded_sample(known, id_col, max_rows)
     sample = written(statistics(docs.join(F.broadcast(chosen), id_col), ["label"]).coalesce(4), "sample")
     model = fit(sample)
-    keep = [id_col, *(c for c in keep or [] if c != id_col)]
+    keep = [id_col, *(c for c in keep or [] if c != id_col and c not in OUTPUTS)]
     scored = statistics(docs, keep).withColumn("_score", model.score())
     return scored.select(
         *keep,

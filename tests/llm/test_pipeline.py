@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from gridimpact.llm.common import clear_work, table, written
 
@@ -48,3 +50,20 @@ def test_stages(spark):
 def test_run_and_clear(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
     clear_work(spark)
+
+
+def test_further_columns_come_out_as_they_went_in(spark):
+    extra = {c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in ("kept", "score", "predicted", "label", "copies", "rate", "node", "_text", "n_tokens", "keep_id", "id")}
+    docs = table(spark, DATA, "documents").limit(80).withColumns(extra)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, DATA), name)
+        rows = docs.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in extra)
+
+
+def test_stages_on_nothing_and_on_nulls(spark):
+    schema = table(spark, DATA, "documents").schema
+    empty, nulls = spark.createDataFrame([], schema), spark.createDataFrame([(None, None, None, None, None), (1, None, None, None, None), (1, "", "en", None, 0)], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, DATA).count() == 0
+        assert stage(spark, nulls, DATA).count() >= 0
