@@ -79,6 +79,11 @@ def within(points: DataFrame, sites: DataFrame, radius: float, by: list[str] | N
     return _near(points, sites, by or [], radius).where(F.col("dist") <= radius)
 
 
+def tiles_near(tiles: DataFrame, cells: DataFrame, country: str, buffer: float = 3.0) -> DataFrame:
+    """Tiles (pid, x, y: the place in the name) inside the buffer around a country's cells (site, sx, sy)."""
+    return within(tiles, cells.select(country, "site", "sx", "sy"), buffer).select(country, "pid").distinct()
+
+
 def buffer_max(points: DataFrame, sites: DataFrame, value: str, radius: float, by: list[str] | None = None) -> DataFrame:
     """Every point with the largest value among the sites within `radius`; missing where there is none."""
     top = within(points, sites, radius, by).groupBy("pid").agg(F.max(value).alias(value))

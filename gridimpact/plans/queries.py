@@ -216,6 +216,17 @@ def surge_complete_grid(spark: SparkSession, d: str) -> DataFrame:
     return filled.select("pid", r(F.coalesce("surge", F.lit(0.0)), 6).alias("surge"))
 
 
+@query(f"""
+    WITH {_PLACES}
+    SELECT DISTINCT b.label AS country, a.vec_id AS tile FROM place a JOIN place b ON a.vec_id % 4 = 0 AND b.vec_id % 4 = 1 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.03
+""")
+def tiles_near_country(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles inside the buffer around a country."""
+    p = _places(spark, d)
+    cells = p.where("vec_id % 4 = 1").select(F.col("vec_id").alias("site"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("label").alias("country"))
+    return spatial.tiles_near(p.where("vec_id % 4 = 0").select(F.col("vec_id").alias("pid"), "x", "y"), cells, "country", 0.03).withColumnRenamed("pid", "tile")
+
+
 _SQUARES = """u AS (SELECT * FROM (VALUES ('A', -0.3, -0.3, 0.0, 0.0), ('B', 0.0, -0.3, 0.3, 0.0), ('C', -0.3, 0.0, 0.0, 0.3)) t(unit, x1, y1, x2, y2))"""
 
 
