@@ -38,7 +38,8 @@ def carried(stage):
 @carried
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    scored = quality_scores(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
+    scored = quality_scores(docs, table(spark, sf_dir, "labels"), keep=docs.columns).drop("held_out", "score")
+    scored = written(scored, "scored")  # a filter on a computed score would be pushed down and compute it again
     return scored.where("predicted = 1").select(*docs.columns)
 
 
