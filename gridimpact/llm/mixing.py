@@ -4,8 +4,9 @@ Domains are the combinations of labels in a labelled table. A Gaussian naive Bay
 documents with SQL aggregates, gives every document a posterior over the domains. The expected tokens of a domain are
 the sum of rate * tokens * posterior; nonnegative rates are found by projected gradient steps on the squared distance from
 the target totals. A step needs only one small vector, so a document's rate is a fold of its posterior over the steps so far:
-each iteration is one aggregate over a compact table, and only sums over domains reach the driver. The gradient is scaled by
-the matrix of expected shared tokens, so few steps do.
+an iteration is two aggregates over a compact table, and only sums over domains reach the driver. Each iteration takes the best of
+the plain gradient step (over the largest eigenvalue of the matrix of shared tokens), longer ones, and gradients scaled by that matrix of
+the documents that may move. It ends when the projected gradient vanishes; if `iterations` come first, a warning says so.
 
 Defined results: null and empty texts have no tokens and a posterior like any other; without labelled documents there is one domain
 and all rates are the number of epochs; repeated rows are separate rows and get equal rates; an empty table gives an empty
@@ -15,13 +16,14 @@ table; other columns pass through, except that a column named like an output is
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+import warnings
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridimpact.llm.common import GAP, let, text_or_empty, written
+from gridimpact.llm.common import GAP, discard, let, text_or_empty, written
 
 MEASURES = ("x_words", "x_word", "x_distinct", "x_symbols", "x_upper", "x_marks")
 OUTPUTS = ("n_tokens", "domains", "rate", "copies")
@@ -56,6 +58,10 @@ class Mixer:
     lowest: float
     highest: float
     steps: list[list[float]]
+    natural: list[float] = field(default_factory=list)  # shares of the tokens as they are; shares of all that is asked: the targets, and what the rates give
+    aim: list[float] = field(default_factory=list)
+    reached: list[float] = field(default_factory=list)
+    left: float = 0.0  # the projected gradient at the end, as a root mean square of rates
 
     def posterior(self) -> Column:
         """array<double> over the domains, from the measures' columns."""
@@ -98,8 +104,9 @@ def fit_mixer(
     temperature: float,
     epochs: float,
     lowest: float,
-    highest: float,
+    highest: float | None,
     iterations: int,
+    tolerance: float = 1e-5,
 ) -> Mixer:
     """table: id, n_tokens and the measures of all documents."""
     domain = F.concat_ws("_", *(F.concat(F.lit(c), F.col(c).cast("string")) for c in label_cols))
@@ -108,7 +115,7 @@ def fit_mixer(
         F.count(F.lit(1)).alias("n"), *(F.avg(x).alias(f"m_{x}") for x in MEASURES), *(F.coalesce(F.var_pop(x), F.lit(0.0)).alias(f"v_{x}") for x in MEASURES)
     )
     found = sorted(stats.collect(), key=lambda r: r.domain)  # a row for each combination of labels
-    mixer = Mixer(["all"], [0.0], [], [], epochs, lowest, highest, [])
+    mixer = Mixer(["all"], [0.0], [], [], epochs, lowest, math.inf if highest is None else highest, [])
     if found:
         n = sum(r.n for r in found)
         mixer.names = [r.domain for r in found]
@@ -127,17 +134,57 @@ def fit_mixer(
     for a, b in pairs:
         shared[a, b] = shared[b, a] = sums[f"m{a}_{b}"]
     aim = np.array([weights.get(name, 0.0) for name in mixer.names]) if weights else (natural / natural.sum()) ** temperature
-    aim = aim / aim.sum() * natural.sum() * epochs
-    ridge = np.eye(size) * 0.05 * natural.sum()  # domains that the classifier hardly tells apart must not pull rates to extremes
-    for _ in range(iterations):
-        totals = rows.agg(*(F.sum(F.col("n_tokens") * p(k) * mixer.rate(F.col("domains"))).alias(f"t{k}") for k in range(size))).first()
-        gap = aim - np.array([totals[f"t{k}"] for k in range(size)])
-        if np.abs(gap).max() <= 1e-3 * aim.sum():
-            break
-        mixer.steps.append([round(float(x), 9) for x in np.linalg.solve(shared + ridge, gap)])
+    aim = aim / aim.sum() * epochs
+    scale = natural.sum()
+    mixer.natural, mixer.aim = (natural / scale).tolist(), (aim / aim.sum()).tolist()
+    _descend(mixer, rows.select("n_tokens", *(p(k).alias(f"p{k}") for k in range(size))), natural / scale * epochs, aim, np.linalg.eigvalsh(shared / scale)[-1], scale, iterations, tolerance)
     return mixer
 
 
+def _descend(mixer: Mixer, rows: DataFrame, totals: np.ndarray, aim: np.ndarray, largest: float, scale: float, iterations: int, tolerance: float) -> None:
+    """Adds steps to the mixer until the projected gradient is below `tolerance`; sums are shares of `scale`, rows: n_tokens and the posterior."""
+    size = len(aim)
+    number = lambda x: f"{float(x)!r}D"
+    along = lambda step: "(0D" + "".join(f" + {number(x)} * p{k}" for k, x in enumerate(step)) + ")"
+    raised = lambda x: f"greatest({x}, {number(mixer.lowest)})"
+    within = lambda x: raised(x) if math.isinf(mixer.highest) else f"least({raised(x)}, {number(mixer.highest)})"
+    moved = lambda step: within(f"r + {along(step)}")
+    share = lambda x: round((x or 0.0) / scale, 12)  # noqa: E731  # the order of summation is not to show
+    pairs = [(a, b) for a in range(size) for b in range(a, size)]
+    shares = [f"p{k}" for k in range(size)]
+    fixed = f"(r <= {number(mixer.lowest)} AND g < 0)" + ("" if math.isinf(mixer.highest) else f" OR (r >= {number(mixer.highest)} AND g > 0)")
+    state, kept = rows.withColumn("r", F.lit(float(mixer.start))), None
+    for turn in range(iterations + 1):
+        if turn % 5 == 0:  # so that the plan stays short
+            state, old = written(state, "rates"), kept
+            kept = state
+            if old is not None:
+                discard(old)
+        gap = aim - totals
+        now = state.selectExpr("n_tokens", *shares, "r", f"{along(gap)} AS g", f"{moved(gap / largest)} - r AS change")
+        now = now.selectExpr("n_tokens", *shares, "change", f"IF({fixed}, 0D, n_tokens) AS free")
+        found = now.selectExpr("sum(n_tokens * change * change) AS change", *(f"sum(free * p{a} * p{b}) AS m{a}_{b}" for a, b in pairs)).first()
+        mixer.left = math.sqrt(share(found.change))
+        if mixer.left <= tolerance or turn == iterations:
+            break
+        shared = np.zeros((size, size))
+        for a, b in pairs:
+            shared[a, b] = shared[b, a] = share(found[f"m{a}_{b}"])
+        steps = [gap / largest * x for x in (1, 8)]  # the first never leads up
+        steps += [np.linalg.solve(shared + ridge * largest * np.eye(size), gap) for ridge in (1e-4, 1e-3, 1e-2, 1e-1)]
+        steps = [[round(float(x), 9) for x in step] for step in steps]
+        tried = state.selectExpr("n_tokens", *shares, *(f"n_tokens * {moved(step)} AS c{j}" for j, step in enumerate(steps)))
+        found = tried.selectExpr(*(f"sum(p{k} * c{j}) AS t{j}_{k}" for j in range(len(steps)) for k in range(size))).first()
+        reached = [np.array([share(found[f"t{j}_{k}"]) for k in range(size)]) for j in range(len(steps))]
+        best = min(range(len(steps)), key=lambda j: round(float(((aim - reached[j]) ** 2).sum()), 15))
+        mixer.steps.append(steps[best])
+        state, totals = state.selectExpr("n_tokens", *shares, f"{moved(steps[best])} AS r"), reached[best]
+    discard(kept)
+    mixer.reached = (totals / aim.sum()).tolist()
+    if mixer.left > tolerance:
+        warnings.warn(f"mixing stops after {iterations} iterations with a projected gradient of {mixer.left:.2g}, above {tolerance:.2g}", stacklevel=2)
+
+
 def mixing_rates(
     docs: DataFrame,
     labels: DataFrame,
@@ -147,12 +194,13 @@ def mixing_rates(
     temperature: float = 0.7,
     epochs: float = 1.0,
     lowest: float = 0.0,
-    highest: float = 8.0,
-    iterations: int = 8,
+    highest: float | None = 8.0,
+    iterations: int = 400,
     again: bool = True,
 ) -> DataFrame:
     """docs with n_tokens, domains (posterior), rate and copies. weights: a share for each domain, else natural shares to the power `temperature`.
 
+    highest: the largest rate, None for no bound; iterations: a limit for targets that no rates within the bounds come near.
     again: read docs again for the result, with all its columns; else only the identifier is returned, from the table of measures.
     """
     table = written(measured(docs).select(id_col, "n_tokens", *MEASURES), "measures")

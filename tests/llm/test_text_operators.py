@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -294,6 +295,34 @@ def test_mixing(tables, docs, none):
     assert {r.doc_id for r in more.select("doc_id").collect()} == {r[0] for r in corpus()} and more.columns == docs.columns
 
 
+@pytest.mark.parametrize(("highest", "lowest", "epochs"), [(8.0, 0.0, 1.0), (8.0, 1.0, 1.25)])
+def test_mixing_comes_as_near_to_the_targets_as_the_bounds_allow(tables, highest, lowest, epochs):
+    documents, labels, _ = tables
+    rows = mixing.mixing_rates(documents, labels, epochs=epochs, lowest=lowest, highest=highest, again=False).select("n_tokens", "domains", "rate").collect()
+    p, t, rate = np.array([r.domains for r in rows]), np.array([r.n_tokens for r in rows], float), np.array([r.rate for r in rows])
+    natural = t @ p
+    aim = natural**0.7 / (natural**0.7).sum() * epochs
+    weight, step = t / t.sum(), np.linalg.eigvalsh((p * t[:, None]).T @ p / t.sum())[-1]
+    distance = lambda r: np.linalg.norm(aim - (weight * r) @ p)
+    r, y, k = np.full(len(t), epochs), np.full(len(t), epochs), 1.0
+    for _ in range(20_000):  # plain accelerated projected gradient
+        new = np.clip(y + p @ (aim - (weight * y) @ p) / step, lowest, highest)
+        k, last = (1 + math.sqrt(1 + 4 * k * k)) / 2, k
+        y, r = new + (last - 1) / k * (new - r), new
+    assert lowest <= rate.min() and rate.max() <= highest
+    assert distance(rate) <= distance(r) + 1e-4
+
+
+def test_mixing_may_have_no_upper_bound_and_tells_an_early_stop(tables):
+    documents, labels, _ = tables
+    table = mixing.measured(documents).select("doc_id", "n_tokens", *mixing.MEASURES)
+    fit = lambda highest: mixing.fit_mixer(table, labels, "doc_id", ("quality", "toxic"), None, 0.7, 1.0, 0.0, highest, 12)
+    with pytest.warns(UserWarning, match="projected gradient"):
+        free, bounded = fit(None), fit(1.5)
+    distance = lambda m: np.linalg.norm(np.subtract(m.aim, m.reached))
+    assert free.highest == math.inf and distance(free) < distance(bounded)
+
+
 def test_html(spark, tables):
     pages = tables[2]
     hand = [(1, "u", None), (2, "u", ""), (3, "u", "<p>plain"), (4, "u", "<div class='x' <<a <b>c</b> &amp; <script>1<2</script"), (5, "u", "<article><p>" + "word. " * 20_000 + "</article>")]
