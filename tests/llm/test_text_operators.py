@@ -134,6 +134,16 @@ def test_secrets(spark, none):
     assert secret_scan.secret_digest(none).count() == 0
 
 
+def test_secrets_behind_a_name_without_blanks(spark):
+    key, secret = "AKIA" + "Q7" * 8, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLE123"
+    texts = [f"{key} aws_secret_access_key={secret} https://example.org", f"{key}\nexport X-KEY-{secret}_", f"{key} a={secret}b", f"a={secret}"]
+    out = {r.doc_id: r.spans for r in secret_scan.secret_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    places = {k: texts[k].index(secret) for k in (0, 1)}
+    for k, at in places.items():
+        assert f"linked_secret:{at}:{at + 40}" in out[k].split(",")
+    assert "linked_endpoint" in out[0] and "linked_secret" not in out[2] and out[3] == ""
+
+
 def test_quality_rules(docs, none):
     texts = {r[0]: r[1] or "" for r in corpus()}
     out = quality_rules.quality_rules(docs).collect()
