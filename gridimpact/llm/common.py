@@ -6,6 +6,7 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,25 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def unused(columns: Sequence[str], *stems: str) -> list[str]:
+    """A name for each stem that no column has, upper and lower case being the same."""
+    taken, out = {c.lower() for c in columns}, []
+    for stem in stems:
+        name = stem
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def set_aside(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns of these names (upper and lower case being the same) under others, and what gives them back."""
+    clash = [c for c in df.columns if c.lower() in {n.lower() for n in names}]
+    others = unused(df.columns, *(f"_kept_{c}" for c in clash))
+    return df.withColumnsRenamed(dict(zip(clash, others, strict=True))), dict(zip(others, clash, strict=True))
+
+
 def bounded_sample(rows: DataFrame, id_col: str, max_rows: int) -> DataFrame:
     """At most max_rows rows, chosen by a hash of the identifier; all where there are no more."""
     share = min(1.0, 1.2 * max_rows / max(1, rows.count()))  # so that tasks send about as much as is kept
