@@ -53,11 +53,12 @@ def set_aside(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, dict[str,
     return df.withColumnsRenamed(dict(zip(clash, others, strict=True))), dict(zip(others, clash, strict=True))
 
 
-def bounded_sample(rows: DataFrame, id_col: str, max_rows: int) -> DataFrame:
-    """At most max_rows rows, chosen by a hash of the identifier; all where there are no more."""
+def bounded_sample(rows: DataFrame, id_col: str, max_rows: int, once: bool = False) -> DataFrame:
+    """At most max_rows rows, chosen by a hash of the identifier; all where there are no more. once: equal rows count as one."""
     share = min(1.0, 1.2 * max_rows / max(1, rows.count()))  # so that tasks send about as much as is kept
     place = F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1 << 40))
-    return rows.where(place < int(share * (1 << 40))).orderBy(place, id_col).limit(max_rows)
+    chosen = rows.where(place < int(share * (1 << 40)))
+    return (chosen.distinct() if once else chosen).orderBy(place, id_col).limit(max_rows)
 
 
 def shared_dir(spark: SparkSession) -> str:

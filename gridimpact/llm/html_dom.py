@@ -4,20 +4,29 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import numpy as np
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|</?[a-zA-Z][^>]*>""", re.S)
+_NAME = r"""<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)"""
+TAG = re.compile(rf"""{_NAME}((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
+#: For the rest of a page from a quote that never ends: quotes mean nothing there, so a page is read in linear time whatever it holds.
+ROUGH = re.compile(rf"""{_NAME}([^>]*)>""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 PART = re.compile(r"[A-Za-z][a-z]*")
 
-#: Element names of HTML.
+#: Element names of HTML. HIDDEN content is never shown; PLAIN content is text without markup, decoded only where it says so.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-OPAQUE = frozenset("script style template noscript iframe svg math object canvas noembed noframes xmp title textarea".split())
+HIDDEN = frozenset("script style title iframe noembed noframes template".split())
+PLAIN = {"textarea": True, "xmp": False}
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
-CLOSES_SAME = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
+#: Start tags that end an open element of one of the first names, if none of the others stands between.
+CLOSES = {
+    "li": ("li", "ul ol table"), "dt": ("dt dd", "dl table"), "dd": ("dt dd", "dl table"), "tr": ("tr", "table"), "td": ("td th", "table"),
+    "th": ("td th", "table"), "option": ("option", "select table"),
+}
 ASIDE_TAGS = frozenset("nav aside footer header form button select menu dialog fieldset".split())
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 blockquote pre li td dd figcaption".split())
 MAIN_TAGS = frozenset("article main".split())
@@ -28,50 +37,79 @@ ASIDE_WORDS = frozenset(
 MAIN_WORDS = frozenset("article main content post entry story body text prose page hentry single".split())
 
 
+def unescape(text: str) -> str:
+    return html.unescape(text) if "&" in text else text
+
+
+def _end_of(name: str, source: str, at: int) -> tuple[int, int]:
+    """Where the content that starts at a place ends, and where the page goes on; a template may hold others."""
+    depth = 1
+    for m in re.compile(rf"<(/?){name}(?=[\s/>])", re.I).finditer(source, at):
+        depth += -1 if m[1] else name == "template"
+        if not depth:
+            end = source.find(">", m.end())
+            return m.start(), len(source) if end < 0 else end + 1
+    return len(source), len(source)
+
+
 class Page:
-    """Elements in page order: parent, tag, depth, attribute words; blocks: (element, raw text)."""
+    """Elements in page order: parent, tag, depth, attribute words; blocks: (element, text).
+
+    Every step looks at the ends of a few lists only, so reading is linear in the page, however deep it is nested.
+    """
 
     def __init__(self, source: str):
         self.parent, self.tag, self.depth = [-1], ["#root"], [0]
         self.words: list[frozenset[str]] = [frozenset()]
         self.blocks: list[tuple[int, str]] = []
         self.linked: list[int] = [0]  # characters of link text inside, own blocks only
-        stack, block, pending, in_link = [0], 0, [], 0
+        self._open, self._blocks, self._places = [0], [0], defaultdict(list)  # open elements; places of those that are not inline; places by name
+        pending: list[str] = []
+        block = 0
 
         def flush() -> None:
-            text = " ".join(html.unescape("".join(pending)).split())
+            text = " ".join("".join(pending).split())
             pending.clear()
             if text:
                 self.blocks.append((block, text))
 
-        def enclosing() -> int:
-            return next(n for n in reversed(stack) if self.tag[n] not in INLINE)
-
-        at = 0
-        while at < len(source):
-            m = TOKEN.search(source, at)
-            text = source[at : m.start() if m else len(source)]
+        def put(text: str) -> None:
             if text:
                 pending.append(text)
-                if in_link:
+                if self._places["a"]:
                     self.linked[block] += len(text.strip())
-            if not m:
+
+        at, tag, last = 0, TAG, source.rfind(">") + 1  # no tag ends after the last ">"
+        while at < len(source):
+            start = source.find("<", at, last)
+            put(unescape(source[at : start if start >= 0 else len(source)]))
+            if start < 0:
                 break
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                at = end + 3 if end >= 0 else len(source)
+                continue
+            m = tag.match(source, start, last)
+            if not m and (m := ROUGH.match(source, start, last)):
+                tag = ROUGH
+            if not m:
+                put("<")
+                at = start + 1
+                continue
             at, name = m.end(), (m[2] or "").lower()
             if not name:
                 continue
             if m[1]:
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] == name), 0)
                 if name not in INLINE:
                     flush()
-                if depth and not (name in INLINE and any(self.tag[n] not in INLINE for n in stack[depth + 1 :])):
-                    in_link -= sum(self.tag[n] == "a" for n in stack[depth:])
-                    del stack[depth:]
-                block = enclosing()
+                places = self._places[name]
+                if places and not (name in INLINE and self._blocks[-1] > places[-1]):
+                    self._close(places[-1])
+                block = self._open[self._blocks[-1]]
                 continue
-            if name in OPAQUE and not m[3].endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
+            empty = m[3].endswith("/")
+            if name in HIDDEN and not empty:
+                at = _end_of(name, source, at)[1]
                 pending.append(" ")
                 continue
             if name in VOID:
@@ -81,32 +119,42 @@ class Page:
                 continue
             if name not in INLINE:
                 flush()
-                self._close_for(name, stack)
-                in_link = sum(self.tag[n] == "a" for n in stack)
-            node = len(self.tag)
-            self.parent.append(stack[-1])
+                self._close_for(name)
+            node, up = len(self.tag), self._open[-1]
+            self.parent.append(up)
             self.tag.append(name)
-            self.depth.append(self.depth[stack[-1]] + 1)
+            self.depth.append(self.depth[up] + 1)
             self.words.append(frozenset(p.lower() for _, v in ATTRIBUTE.findall(m[3]) for p in PART.findall(v)))
             self.linked.append(0)
-            if not m[3].endswith("/"):
-                stack.append(node)
-                in_link += name == "a"
-            block = enclosing()
+            if name in PLAIN and not empty:
+                block = node
+                end, at = _end_of(name, source, at)
+                put(unescape(source[m.end() : end]) if PLAIN[name] else source[m.end() : end])
+                flush()
+            elif not empty:
+                self._places[name].append(len(self._open))
+                if name not in INLINE:
+                    self._blocks.append(len(self._open))
+                self._open.append(node)
+            block = self._open[self._blocks[-1]]
         flush()
 
-    def _close_for(self, name: str, stack: list[int]) -> None:
+    def _close(self, place: int) -> None:
+        """Ends the open elements from a place on."""
+        while len(self._open) > place:
+            self._places[self.tag[self._open.pop()]].pop()
+            if self._blocks[-1] == len(self._open):
+                self._blocks.pop()
+
+    def _close_for(self, name: str) -> None:
         """Ends the elements whose end tags may be missing before this start tag."""
-        open_p = next((k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] == "p"), 0)
-        if open_p and all(self.tag[n] in INLINE for n in stack[open_p + 1 :]):
-            del stack[open_p:]
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[k]]
-            if tag in CLOSES_SAME.get(name, ()) or (name in CLOSES_SAME and tag == "table"):
-                break
-            if tag == name and name in CLOSES_SAME or (name in ("dt", "dd") and tag in ("dt", "dd")) or (name in ("td", "th") and tag in ("td", "th")):
-                del stack[k:]
-                break
+        if self.tag[self._open[self._blocks[-1]]] == "p":
+            self._close(self._blocks[-1])
+        if name in CLOSES:
+            last = lambda names: max((self._places[n][-1] for n in names.split() if self._places[n]), default=0)
+            same, bound = map(last, CLOSES[name])
+            if same > bound:
+                self._close(same)
 
     def features(self) -> np.ndarray:
         """A row of FEATURES for each element."""

@@ -5,12 +5,14 @@ ancestors, its depth and its siblings. Gradient-boosted trees say how likely it
 the whole tree are chosen together, so nothing below a dropped element is kept and an element is dropped only if
 that explains all below it best.
 
-There are no labelled pages, so the trees learn from pages laid out anew: at most `max_pages` pages, chosen by a hash of the
-identifier, lend their article's blocks and their other texts, which are put into layouts of many kinds with known parts.
-
-Defined results: null and empty html give an empty text; repeated rows are separate rows; without pages to learn from
-nothing is to be scored; an empty table gives an empty table; extra columns are ignored. A line break counts as
-white space inside its block.
+There are no labelled pages, so the trees learn from pages laid out anew, whose labels are known by construction: at most
+`max_pages` pages, chosen by a hash of their content, lend their texts, whatever tags and names surround them. Long blocks become
+articles and comments, short ones the rest, in layouts of many kinds: with telling names, with names that tell nothing, and with
+none. Pages without such texts get made-up words, so there is always something to learn from.
+
+Defined results: null and empty html give an empty text; repeated rows are separate rows; an empty table gives an empty table; extra
+columns are ignored. A line break counts as white space inside its block. What a browser never shows (scripts, styles, titles,
+templates, frames' fallbacks) is no text.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridimpact.llm.common import written
-from gridimpact.llm.html_dom import ASIDE_TAGS, ASIDE_WORDS, FEATURES, MAIN_TAGS, Page, decode, kept_text
+from gridimpact.llm.common import bounded_sample, written
+from gridimpact.llm.html_dom import FEATURES, Page, decode, kept_text
 
 
 class Trees:
@@ -72,16 +74,14 @@ class Trees:
         return 2 * out
 
 
-def marked_parts(page: Page) -> tuple[set[int], list[str]]:
-    """Order numbers of the blocks inside the article, and the texts outside it, as tags and attribute words of the elements say."""
-    n = len(page.tag)
-    inside, outside = np.zeros(n, bool), np.zeros(n, bool)
-    for k in range(1, n):
-        p = page.parent[k]
-        outside[k] = outside[p] or page.tag[k] in ASIDE_TAGS or bool(page.words[k] & ASIDE_WORDS)
-        inside[k] = inside[p] or page.tag[k] in MAIN_TAGS
-    main = {i for i, (node, _) in enumerate(page.blocks) if inside[node] and not outside[node]}
-    return main, [t for node, t in page.blocks if outside[node]]
+def material(page: Page, rng: random.Random, least: int = 80) -> tuple[list[str], list[str]]:
+    """Long blocks of a page, in order, and its short ones; made-up ones where it has none."""
+    made = lambda n: " ".join("".join(rng.choice("aeioubcdlmnprst") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    texts = [t for _, t in page.blocks]
+    long = [t for t in texts if len(t) >= least] or [made(rng.randint(20, 120)).capitalize() + "." for _ in range(rng.randint(1, 8))]
+    short = [t for t in texts if len(t) < least] or [made(rng.randint(1, 6)) for _ in range(8)]
+    heading = rng.random()
+    return ([" ".join(long[0].split()[: rng.randint(2, 12)])] if heading < 0.8 else []) + long, short + [rng.choice(long)]
 
 
 def laid_out(main: list[str], rest: list[str], rng: random.Random) -> tuple[str, set[int]]:
@@ -89,9 +89,9 @@ def laid_out(main: list[str], rest: list[str], rng: random.Random) -> tuple[str,
     out: list[str] = []
     kept: set[int] = set()
     count = 0
-    rest = rest or ["home", "more"]
+    telling = rng.choice([1.0, 0.9, 0.6])  # how many names say what is inside
     esc = html.escape
-    prose = [t for t in main if len(t) > 40] or main or ["text"]
+    prose = [t for t in main if len(t) > 40] or main
 
     def put(text: str, tag: str, article: bool = False) -> None:
         nonlocal count
@@ -106,7 +106,7 @@ def laid_out(main: list[str], rest: list[str], rng: random.Random) -> tuple[str,
     def box(tags: list[str], words: list[str], body, bare: float = 0.25) -> None:
         tag = rng.choice(tags)
         named = tag in ("div", "section", "ul") or rng.random() < 0.5
-        label = rng.choice(words) + rng.choice(["", "", "-box", "_1", " clearfix"])
+        label = rng.choice(words) + rng.choice(["", "", "-box", "_1", " clearfix"]) if rng.random() < telling else rng.choice("abcdefgh") + str(rng.randint(1, 99)) + rng.choice(["", " row", " xq"])
         out.append(f'<{tag} {rng.choice(["class", "class", "id"])}="{label}">' if named and rng.random() >= bare * (tag not in ("div", "section", "ul")) else f"<{tag}>")
         body()
         out.append(f"</{tag}>")
@@ -122,14 +122,22 @@ def laid_out(main: list[str], rest: list[str], rng: random.Random) -> tuple[str,
             count += 1
         out.append("</ul>" if listed else "</div>")
 
+    chance = lambda p: rng.random() < p
     short = lambda: put(" ".join(rng.choice(rest).split()[: rng.randint(3, 30)]), rng.choice(["", "p", "span", "div"]))
     talk = lambda: [put(" ".join(rng.choice(prose).split()[: rng.randint(5, 60)]), rng.choice(["p", "div", 'div class="comment"', "li"])) for _ in range(rng.randint(1, 6))]
 
     def article() -> None:
         plain = rng.choice(["p", "p", "p", "div"])
+        nested = chance(0.2)
         for k, text in enumerate(main):
             tag = rng.choice(["h1", "h2"]) if k == 0 and len(text) < 120 else rng.choice([plain] * 12 + ["blockquote", "li", "h2"])
+            if chance(0.3):  # articles have short paragraphs too
+                text = " ".join(text.split()[: rng.randint(1, 14)])
+            if nested:
+                out.append(rng.choice(["<div>", "<section>", '<div class="part">', '<div class="row">']))
             put(text, tag, True)
+            if nested:
+                out.append("</section></div>")
             if rng.random() < 0.04:
                 box(["div", "aside"], ["ad", "promo", "related", "share"], short)
 
@@ -138,7 +146,6 @@ def laid_out(main: list[str], rest: list[str], rng: random.Random) -> tuple[str,
         out.append('<input type="text">')
         put(rng.choice(["Send", "Go", "OK"]), "button")
 
-    chance = lambda p: rng.random() < p
     if chance(0.4):
         box(["header", "div"], ["header", "masthead", "top", "banner"], lambda: (put(" ".join(rng.choice(rest).split()[:4]), "h1" if chance(0.3) else "div"), links() if chance(0.5) else None))
     if chance(0.8):
@@ -153,7 +160,10 @@ def laid_out(main: list[str], rest: list[str], rng: random.Random) -> tuple[str,
     side = lambda: box(["aside", "div"], ["sidebar", "widget", "related", "side"], lambda: (put("Related", "h3"), links(), short()))
     if side_first:
         side()
-    box(["article", "main", "div", "div", "section"], ["content", "post", "entry-content", "story", "article-body", "main", "text", "page-body", "c12", "col"], article)
+    if chance(0.1):
+        article()
+    else:
+        box(["article", "main", "div", "div", "section"], ["content", "post", "entry-content", "story", "article-body", "main", "text", "page-body", "c12", "col"], article)
     if chance(0.3):
         box(["div"], ["share", "social", "tags"], links)
     if chance(0.45):
@@ -182,41 +192,38 @@ def labelled_elements(page: Page, kept: set[int]) -> Iterator[tuple[float, np.nd
 
 
 def learning_rows(source: str, layouts: int, seed: int) -> Iterator[tuple[float, np.ndarray]]:
-    """Rows of the page as it is and of the page laid out anew; nothing if it marks no article."""
-    page = Page(source)
-    marked, rest = marked_parts(page)
-    if not marked:
-        return
-    yield from labelled_elements(page, marked)
-    main, rng = [page.blocks[k][1] for k in sorted(marked)], random.Random(seed)
+    """Rows of pages in which this page's texts are laid out anew."""
+    rng = random.Random(seed)
+    main, rest = material(Page(source), rng)
     for _ in range(layouts):
         chosen = main if rng.random() < 0.7 else main[: rng.randint(1, 6)]
         text, kept = laid_out(chosen, rest, rng)
         yield from labelled_elements(Page(text), kept)
 
 
-def fit(pages: DataFrame, id_col: str, max_pages: int, layouts: int, rounds: int = 20, depth: int = 5) -> Trees:
-    """Trees from at most max_pages pages; pages: id and html."""
-    sample = pages.where(F.length("html") > 0).select(F.xxhash64(id_col).alias("h"), "html").orderBy("h", "html").limit(max_pages)
+def fit(pages: DataFrame, max_pages: int, layouts: int, rounds: int = 20, depth: int = 5) -> Trees:
+    """Trees from at most max_pages pages (html) of different content; only their hashes are put in order, so no task gathers pages."""
+    keyed = pages.select(F.xxhash64("html").alias("h"), "html")
+    chosen = bounded_sample(keyed.select("h"), "h", max_pages, once=True)
+    sample = keyed.join(F.broadcast(chosen), "h", "left_semi").groupBy("h").agg(F.first("html").alias("html"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = list(learning_rows(source, layouts, h))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in found]), *(pa.array(c) for c in np.array([x for _, x in found]).T)], ["label", *FEATURES])
+                yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in found]), *(pa.array(c) for c in np.array([x for _, x in found]).T)], ["label", *FEATURES])
 
-    table = written(sample.repartition(6, "h").mapInArrow(rows, ", ".join(f"{c} double" for c in ["label", *FEATURES])).coalesce(6), "elements")
-    if table.agg(F.count_distinct("label")).first()[0] < 2:
+    table = written(sample.repartition(6, "h").mapInArrow(rows, ", ".join(f"{c} double" for c in ["label", *FEATURES])), "elements")
+    if table.isEmpty():  # no pages at all
         return Trees([], [])
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(table).select("label", "x")
     return Trees.of(GBTClassifier(featuresCol="x", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=3).fit(vectors))
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", max_pages: int = 400, layouts: int = 2) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", max_pages: int = 400, layouts: int = 3) -> DataFrame:
     """id, url, text and n_chars of every page."""
-    rows = pages.select(F.col(id_col), F.coalesce("html", F.lit("")).alias("html"))
-    shared = pages.sparkSession.sparkContext.broadcast(fit(rows, id_col, max_pages, layouts))
+    rows = pages.select(F.coalesce("html", F.lit("")).alias("html"))
+    shared = pages.sparkSession.sparkContext.broadcast(fit(rows, max_pages, layouts))
     rows = pages.select(F.col(id_col), "url", F.coalesce("html", F.lit("")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
