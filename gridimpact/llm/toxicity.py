@@ -1,16 +1,18 @@
 """Toxicity by compression: how much shorter a window of text gets with a dictionary of toxic text at hand.
 
-The ordinary dictionary is trained by zstandard on ordinary texts. The toxic dictionary holds the ordinary one and,
-nearest to the window, what sets toxic texts apart: runs of byte sequences that stand in many different contexts of toxic
-texts and in few of ordinary ones (contexts are counted instead of texts, so copies count once). A window of toxic
-text compresses better with it; any other window the same. Counts of windows by gain, and the largest gain, go through a
-logistic scale that is fitted with the dictionaries, so 0.5 is the calibrated threshold.
+Two dictionaries are trained by zstandard: one on ordinary texts, and one on what stands out in toxic texts, the runs of byte
+sequences that stand in many different contexts of toxic texts and in few of ordinary ones (contexts are counted instead of texts, so
+copies count once). Windows are compressed with the ordinary dictionary, and with the toxic one behind it, so a window of
+toxic text gets shorter and any other stays the same. Counts of windows by gain, and the largest gain, go through a logistic scale that is
+fitted on the same rows, so 0.5 is the calibrated threshold.
 
-The fit reads at most `max_rows` labelled rows, chosen by a hash of the identifier, on the driver; everything else is
-whole texts in tasks, with both dictionaries sent to them (a few hundred kilobytes).
+The fit reads at most `max_rows` labelled rows and `max_bytes` of text, chosen by a hash of the identifier: dictionaries are trained in one
+task, the windows of the rows are measured in many, and only the dictionaries and a few numbers for each row reach the driver. Everything
+else is whole texts in tasks, with both dictionaries sent to them (36 kilobytes).
 
 Defined results: null and empty texts have one empty window; if the rows to learn from lack a class, every score is the
-share of toxic rows; repeated rows are separate rows; an empty table gives an empty table; extra columns are ignored.
+share of toxic rows; repeated rows are separate rows, but an identifier is learned from once, by its smallest text; an empty table gives an
+empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridimpact.llm.common import bounded_sample, fold_of, text_or_empty
+from gridimpact.llm.common import bounded_sample, fold_of, text_or_empty, written
 
 GRAMS, CONTEXT = (4, 5, 6), 12
 WINDOW, STEP = 36, 26
@@ -44,7 +46,7 @@ def _grams(raw: bytes, size: int) -> np.ndarray:
     return out
 
 
-def context_counts(texts: list[str], size: int, turns: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def context_counts(texts: list[str], size: int, turns: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Byte sequences of a size, and in how many contexts (the CONTEXT bytes before) each stands; in turns, to hold less at once."""
     parts = [_context_counts(texts, size, turns, t) for t in range(turns)]
     grams, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -125,32 +127,25 @@ def measures(gain: np.ndarray) -> list[float]:
     return [np.log(n), *(c / n for c in counts), *(np.log1p(c) for c in counts[1:]), gain.clip(0).sum() / n, min(int(gain.max()), 12)]
 
 
-def fit(rows: list[tuple[str, int]], least: float = 0.012, ratio: float = 20.0, ordinary_bytes: int = 32768, toxic_bytes: int = 4096) -> ToxicityModel:
-    """rows: text and whether it is toxic. least: contexts that a sequence needs, as a share of the toxic rows; ratio: see telling_runs."""
+def _trained(size: int, samples: list[bytes]) -> bytes:
+    try:
+        return zstandard.train_dictionary(size, samples, level=3).as_bytes()
+    except zstandard.ZstdError:  # too little text to train on: all of it is the dictionary
+        return b" ".join(samples)[-size:]
+
+
+def trained(rows: list[tuple[str, int]], least: float = 0.012, ratio: float = 20.0, ordinary_bytes: int = 32768, toxic_bytes: int = 4096) -> ToxicityModel:
+    """Both dictionaries. rows: text and whether it is toxic; least: contexts that a sequence needs, as a share of the toxic rows; ratio: see telling_runs."""
     toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
-    share = len(toxic) / len(rows) if rows else 0.0
     if not toxic or not ordinary:
-        return ToxicityModel(base=share)
-    try:
-        trained = zstandard.train_dictionary(ordinary_bytes, [_lower(t) for t in ordinary[:: max(1, len(ordinary) // 2000)]], level=3).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
-        trained = b" ".join(_lower(t) for t in ordinary)[-ordinary_bytes:]
+        return ToxicityModel(base=len(toxic) / len(rows) if rows else 0.0)
     runs = telling_runs(toxic, ordinary, max(4, round(least * len(toxic))), ratio)
-    body, known, size = [], set(), 0
-    for run in sorted(runs, key=lambda r: (-runs[r], r)):  # a run that adds two letters on either side to a known one tells nothing new
-        cores = [run[i : len(run) - j] for i in range(3) for j in range(3) if len(run) - i - j >= 4]
-        if not cores or any(c in known for c in cores):
-            continue
-        size += len(run) + 1
-        if size > toxic_bytes:
-            break
-        body.append(run)
-        known.update(cores)
-    model = ToxicityModel(ordinary=trained, toxic=b" ".join(reversed(body)))
+    samples = [raw[k : k + 400] for raw in map(_lower, ordinary) for k in range(0, len(raw), 400)]  # pieces of about the size that the trainer looks for
+    return ToxicityModel(ordinary=_trained(ordinary_bytes, samples), toxic=_trained(toxic_bytes, [r for r in sorted(runs) for _ in range(runs[r])]))
 
-    compressors = model.compressors()
-    x = np.array([measures(gains(t, compressors)) for t, _ in rows])
-    y = np.array([v for _, v in rows], float)
+
+def calibrated(model: ToxicityModel, x: np.ndarray, y: np.ndarray) -> ToxicityModel:
+    """The model with a logistic scale fitted to measures and labels."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.c_[np.ones(len(x)), (x - mean) / scale]
     w = np.zeros(z.shape[1])
@@ -164,6 +159,41 @@ def fit(rows: list[tuple[str, int]], least: float = 0.012, ratio: float = 20.0,
     return model
 
 
+def fit(rows: list[tuple[str, int]], **options) -> ToxicityModel:
+    """The model of a few rows at hand (text and whether it is toxic)."""
+    model = trained(rows, **options)
+    if not model.ordinary:
+        return model
+    compressors = model.compressors()
+    return calibrated(model, np.array([measures(gains(t, compressors)) for t, _ in rows]), np.array([v for _, v in rows], float))
+
+
+def fit_distributed(sample: DataFrame) -> ToxicityModel:
+    """The model of a bounded sample (id, text, label): one task trains, all tasks measure."""
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        model = trained(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([model.ordinary]), pa.array([model.toxic]), pa.array([model.base])], ["ordinary", "toxic", "base"])
+
+    one = sample.select("text", "label").repartition(1).sortWithinPartitions("text", "label")
+    row = one.mapInArrow(train, "ordinary binary, toxic binary, base double").collect()
+    model = ToxicityModel(bytes(row[0].ordinary), bytes(row[0].toxic), base=row[0].base) if row else ToxicityModel()
+    if not model.ordinary:
+        return model
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressors = shared.value.compressors()
+        for batch in batches:
+            x = [measures(gains(t, compressors)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "label"])
+
+    found = sample.select("text", "label").mapInArrow(measure, "x array<double>, label int").collect()  # at most max_rows rows of a few numbers
+    found.sort()  # the order of the rows is not to show
+    return calibrated(model, np.array([r.x for r in found]), np.array([r.label for r in found], float))
+
+
 def score(text: str, model: ToxicityModel, compressors: list[zstandard.ZstdCompressor]) -> float:
     if not model.weights:
         return model.base
@@ -171,19 +201,24 @@ def score(text: str, model: ToxicityModel, compressors: list[zstandard.ZstdCompr
     return float(1 / (1 + np.exp(-np.clip(model.weights[0] + z @ np.array(model.weights[1:]), -30, 30))))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, max_rows: int, id_col: str = "doc_id") -> DataFrame:
-    """text and label of at most max_rows rows outside the held-out fold, chosen by a hash of the identifier."""
-    known = labels.where(F.col(label).isNotNull() & (fold_of(F.col(id_col), folds) != held_out)).select(id_col, F.col(label).cast("int").alias("label"))
-    chosen = bounded_sample(known, id_col, max_rows)
-    return docs.select(id_col, text_or_empty().alias("text")).join(F.broadcast(chosen), id_col).orderBy(F.xxhash64(id_col), "text")
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, max_rows: int, max_bytes: int, id_col: str = "doc_id"
+) -> DataFrame:
+    """id, text and label of at most max_rows identifiers outside the held-out fold, in the order of a hash, with at most max_bytes of whole texts."""
+    known = labels.where(F.col(label).isNotNull() & (fold_of(F.col(id_col), folds) != held_out))
+    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    chosen = bounded_sample(known, "id", max_rows)
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    rows = written(rows, "labelled")
+    sizes = rows.select("id", F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("id"), "id")).alias("so_far"))  # numbers of at most max_rows rows
+    return rows.join(F.broadcast(sizes.where(F.col("so_far") <= max_bytes).select("id")), "id", "left_semi")
 
 
 def toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", folds: int = 5, held_out: int = 0, max_rows: int = 6000, threshold: float = 0.5
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", folds: int = 5, held_out: int = 0, max_rows: int = 6000, max_bytes: int = 16_000_000, threshold: float = 0.5
 ) -> DataFrame:
     """id, held_out, score and predicted of every document; labels of the held-out fold are never read."""
-    sample = labelled_sample(docs, labels, "toxic", folds, held_out, max_rows, id_col)
-    model = fit([(r.text, r.label) for r in sample.select("text", "label").toLocalIterator()])
+    model = fit_distributed(labelled_sample(docs, labels, "toxic", folds, held_out, max_rows, max_bytes, id_col))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
