@@ -29,6 +29,29 @@ def crosses_zero(low: Column, high: Column) -> Column:
     return (low < 0) & (high > 0)
 
 
+def name_part(name: Column, suffix: str, part: int) -> Column:
+    """A part of a file name between underscores, counted from 1, without its suffix."""
+    return F.split_part(F.replace(name, F.lit(suffix), F.lit("")), F.lit("_"), F.lit(part))
+
+
+def year_of_storm(sid: Column) -> Column:
+    """The year that a storm's key starts with."""
+    return F.substring(sid, 1, 4).try_cast("int")
+
+
+def named_storm(name: Column, sid: Column) -> Column:
+    return F.concat(name, F.substring(sid, 1, 4))
+
+
+def has_form(name: Column, prefix: str, suffix: str) -> Column:
+    return name.startswith(prefix) & name.endswith(suffix)
+
+
+def same_name(a: Column, b: Column) -> Column:
+    """Whether two names are equal without regard to case and blanks around them."""
+    return F.lower(F.trim(a)) == F.lower(F.trim(b))
+
+
 def share(part: Column, whole: Column) -> Column:
     """part / whole, or 0 where whole is 0."""
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0).cast("double"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: What becomes of the columns of the training table when cells become regions.
 MEANS = [
     "coast_length_meters", "with_coast", "mean_elev", "mean_slope", "mean_rug", "urban", "rural", "water", "storm_tide_rp_0010", "landslide_risk_sum",
 ]
@@ -45,17 +48,28 @@ def prepared(rows: DataFrame, regions: DataFrame, reports: DataFrame, aggregate:
     return rolled_up(rows, ROLL_UP, MEANS, MAXIMA, ["population"]) if aggregate else rows
 
 
-def balanced(rows: DataFrame, target: str, times: float, key: str, seed: int = 42) -> DataFrame:
+def balanced(rows: DataFrame, target: str, times: float, key: str | Sequence[str], seed: int = 42) -> DataFrame:
     """All rows of class 1, and the rows of class 0 with the smallest keyed hashes, `times` as many as class 1 at most.
 
-    The hash makes the choice the same in every run; rank by hash needs the place only up to the limit, which is one small row.
+    The hash makes the choice the same in every run. Counts by the first four digits say where the limit falls, and only the rows of
+    that one 65,536th are put in order; rows with equal keys are chosen in any order.
     """
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
-    n = rows.agg(F.sum(F.col(target).cast("long")).alias("_n"))
+    keys = [key] if isinstance(key, str) else list(key)
+    order = F.md5(F.concat_ws(":", F.lit(seed), *(F.col(f"`{k}`").cast("string") for k in keys)))
     ones = rows.where(F.col(target) == 1)
-    zeros = rows.where(F.col(target) == 0).withColumn("_o", order)
-    limit = int(times * (n.first()[0] or 0))
-    return ones.unionByName(zeros.orderBy("_o", key).limit(limit).drop("_o"))
+    zeros = rows.where(F.col(target) == 0).withColumn("_o", order).withColumn("_p", F.substring("_o", 1, 4))
+    limit = int(times * ones.count())
+    before, edge = 0, None
+    for part in zeros.groupBy("_p").count().orderBy("_p").collect():  # at most 65,536 rows
+        if before + part["count"] > limit:
+            edge = part["_p"]
+            break
+        before += part["count"]
+    if edge is not None:
+        place = F.row_number().over(Window.partitionBy("_p").orderBy("_o", *(F.col(f"`{k}`") for k in keys)))
+        last = zeros.where(F.col("_p") == edge).withColumn("_n", place).where(F.col("_n") <= limit - before).drop("_n")
+        zeros = zeros.where(F.col("_p") < edge).unionByName(last)
+    return ones.unionByName(zeros.drop("_o", "_p"))
 
 
 def folds(events: DataFrame, strategy: str) -> DataFrame:

@@ -4,12 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridimpact.functions.scalar import SEVERE, category, share
 
 
+def medians(rows: DataFrame, by: Sequence[str], value: str | Column, out: str = "median", bins: int = 1024) -> DataFrame:
+    """The exact median of each group (one row where there is no `by`), groups without a value left out.
+
+    No group is held at once: values are counted, then counted by ranges of values, and only the range in the middle is put in order.
+    """
+    keys = [f"_k{i}" for i in range(len(by) + 1)]
+    v = F.col(value) if isinstance(value, str) else value
+    rows = rows.select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=False)), F.lit(0).alias(keys[-1]), v.cast("double").alias("_v")).where("_v IS NOT NULL")
+    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ends = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
+    share = F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    placed = _null_safe(counts, ends, keys).withColumn("_bin", F.least(F.floor(share * bins), F.lit(bins - 1)))
+    holds = (F.col("_before") < F.floor(F.col("_n") / 2) + 1) & (F.col("_before") + F.col("_c") >= F.floor((F.col("_n") + 1) / 2))
+    ranges = placed.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_c"), F.first("_n").alias("_n"))
+    ranges = ranges.withColumn("_before", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_bin")) - F.col("_c")).where(holds)  # at most `bins` rows a group
+    near = _null_safe(placed.drop("_n", "_lo", "_hi"), ranges.drop("_c"), [*keys, "_bin"])
+    w = Window.partitionBy(*keys, "_bin").orderBy("_v")
+    near = near.withColumn("_before", F.col("_before") + F.sum("_c").over(w) - F.col("_c")).where(holds)
+    low, high = F.min("_v"), F.max("_v")
+    return near.groupBy(*keys).agg(((low + high) / 2).alias(out)).select(*(F.col(k).alias(c) for c, k in zip(by, keys, strict=False)), out)
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    named = right.withColumnsRenamed({k: f"_r{k}" for k in keys})
+    return left.join(named, [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys]).drop(*(f"_r{k}" for k in keys))
+
+
 def binary_metrics(rows: DataFrame, target: str, predicted: str, by: Sequence[str] = (), thresholds: Sequence[float] = (0.0, SEVERE)) -> DataFrame:
     """A row for each threshold (and each `by`): counts, ratios (0 where the denominator is) and absolute errors."""
     each = rows.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
@@ -17,8 +44,10 @@ def binary_metrics(rows: DataFrame, target: str, predicted: str, by: Sequence[st
     error = F.abs(F.col(target) - F.col(predicted))
     c = each.groupBy(*by, "threshold").agg(
         F.count_if(real & said).alias("tp"), F.count_if(~real & ~said).alias("tn"), F.count_if(~real & said).alias("fp"), F.count_if(real & ~said).alias("fn"),
-        F.avg(error).alias("mean_abs_error"), F.median(error).alias("median_abs_error"),
+        F.avg(error).alias("mean_abs_error"),
     )
+    middle = medians(rows, by, error, "median_abs_error")  # the same at every threshold
+    c = _null_safe(c, middle, by) if by else c.crossJoin(F.broadcast(middle))  # one row
     tp, tn, fp, fn = map(F.col, ("tp", "tn", "fp", "fn"))
     return c.withColumns(
         {
@@ -33,9 +62,11 @@ def distance_metrics(rows: DataFrame, target: str, predicted: str, by: Sequence[
     d = F.col(target) - F.col(predicted)
     r, p = category(F.col(target)), category(F.col(predicted))
     sums = rows.groupBy(*by).agg(
-        F.avg(F.abs(d)).alias("mae"), F.median(F.abs(d)).alias("medae"), F.sqrt(F.avg(d * d)).alias("rmse"),
+        F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"),
         F.avg((r - p) * (r - p)).alias("_o"), F.avg(r * r).alias("_rr"), F.avg(p * p).alias("_pp"), F.avg(r).alias("_r"), F.avg(p).alias("_p"),
     )
+    middle = medians(rows, by, F.abs(d), "medae")
+    sums = _null_safe(sums, middle, by) if by else sums.crossJoin(F.broadcast(middle))  # one row
     expected = F.col("_rr") + F.col("_pp") - 2 * F.col("_r") * F.col("_p")  # weights are squares, so expectations do
     return sums.withColumn("kappa", 1 - F.try_divide(F.col("_o"), expected)).drop("_o", "_rr", "_pp", "_r", "_p")
 
@@ -47,7 +78,7 @@ def all_models(predictions: DataFrame, target: str, predicted: str) -> DataFrame
 
 def regional_median(train: DataFrame, test: DataFrame, region: str, target: str, out: str = "prediction_perc") -> DataFrame:
     """The region's median in the training rows, or else that of all, and not below 0."""
-    medians = train.where(F.col(region).isNotNull()).groupBy(region).agg(F.median(target).alias("_m"))
-    whole = train.agg(F.median(target).alias("_all"))
-    rows = test.join(medians, region, "left").crossJoin(F.broadcast(whole))  # one row
+    own = medians(train.where(F.col(region).isNotNull()), [region], target, "_m")
+    whole = medians(train, [], target, "_all")
+    rows = test.join(own, region, "left").join(F.broadcast(whole), how="left")  # one row
     return rows.withColumn(out, F.greatest(F.coalesce("_m", "_all"), F.lit(0.0))).drop("_m", "_all")

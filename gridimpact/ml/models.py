@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 from math import factorial
@@ -20,7 +20,10 @@ from gridimpact.functions.scalar import SEVERE
 from gridimpact.ml.events import balanced, folds
 from gridimpact.ml.metrics import regional_median
 from gridimpact.operators.assemble import FEATURES
+from gridimpact.sources.tables import settled
 
+#: What tells rows of the training table apart, of cells or of regions.
+KEYS = ("DisNo.", "sid", "id", "GID_0", "GID_1", "GID_2")
 TARGET = "perc_affected_pop_grid_region"
 #: Boosting rounds, depth, learning rate and sampling of both stages.
 STAGE = {"maxIter": 100, "maxDepth": 4, "stepSize": 0.01, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 0}
@@ -41,15 +44,16 @@ class TwoStage:
 
     features: list[str] = field(default_factory=lambda: list(FEATURES))
     target: str = TARGET
-    key: str = "row_id"
+    key: str | Sequence[str] | None = None  # columns that tell rows apart; else those of KEYS that there are
     classes: dict = field(default_factory=lambda: dict(STAGE))
     amounts: dict = field(default_factory=lambda: dict(STAGE))
 
     def fit(self, train: DataFrame, u1: float = 3, u2: float = 3) -> TwoStage:
+        key = self.key or [c for c in KEYS if c in train.columns] or train.columns
         rows = vectors(train, self.features).withColumn("hit", (F.col(self.target) > 0).cast("double"))
-        self.classifier = GBTClassifier(featuresCol="features", labelCol="hit", **self.classes).fit(balanced(rows, "hit", u1, self.key))
+        self.classifier = GBTClassifier(featuresCol="features", labelCol="hit", **self.classes).fit(balanced(rows, "hit", u1, key))
         some = rows.where("hit = 1").withColumn("severe", (F.col(self.target) >= SEVERE).cast("double"))
-        severe = balanced(some, "severe", u2, self.key)
+        severe = balanced(some, "severe", u2, key)
         if severe.isEmpty():  # no severe row to balance on
             severe = some
         self.regressor = GBTRegressor(featuresCol="features", labelCol=self.target, **self.amounts).fit(severe)
@@ -106,7 +110,12 @@ def model_of(name: str):
 
 
 def leave_one_out(rows: DataFrame, model, strategy: str, event: str = "DisNo.", date: str = "date", basin: str = "cyclone_basin", method: str = "") -> Iterator[DataFrame]:
-    """Predictions of each event by a model trained on its fold. The fits follow one another on the driver; each is a distributed job."""
+    """Predictions of each event by a model trained on its fold.
+
+    The fits follow one another on the driver, one for each event (some hundreds, however many rows there are); each is a distributed job over
+    rows that are settled once, in partitions by event, so a test scans its own event only.
+    """
+    rows = settled(rows.repartition(F.col(f"`{event}`")).sortWithinPartitions(F.col(f"`{event}`")), "folds")
     events = rows.select(F.col(f"`{event}`").alias("event"), F.col(date).alias("date"), F.col(basin).alias("basin")).distinct()
     pairs = folds(events, strategy)
     for row in pairs.select("test_event").distinct().orderBy("test_event").toLocalIterator():

@@ -47,8 +47,22 @@ def admin_of_cells(cells: DataFrame, matched: DataFrame, country: str = "iso3",
 
 def median_filled(rows: DataFrame, column: str) -> DataFrame:
     """Missing values of a column as its median; the median is one row."""
-    middle = rows.agg(F.median(column).alias("_median"))
-    return rows.crossJoin(F.broadcast(middle)).withColumn(column, F.coalesce(column, "_median")).drop("_median")
+    from gridimpact.ml.metrics import medians
+
+    middle = medians(rows, [], column, "_median")
+    return rows.join(F.broadcast(middle), how="left").withColumn(column, F.coalesce(column, "_median")).drop("_median")
+
+
+def national_countries(admin: DataFrame) -> DataFrame:
+    """iso3 of the countries in which every cell's unit is the country itself."""
+    return admin.groupBy("iso3").agg(F.bool_and(F.coalesce(F.col("GID_1") == F.col("iso3"), F.lit(False))).alias("_whole")).where("_whole").select("iso3")
+
+
+def national_impact(impact: DataFrame) -> DataFrame:
+    """One row for each storm of a country: its country code and level, and the largest amount and share that any unit reports."""
+    first = lambda c: F.min_by(c, F.struct(F.coalesce(F.col("GID_1"), F.lit("")), F.coalesce(F.col("GID_2"), F.lit("")))).alias(c)
+    most = lambda c: F.max(F.col(f"`{c}`")).alias(c)
+    return impact.groupBy("sid", "iso3").agg(first("GID_0"), first("level"), most("Total Affected"), most("perc_affected_pop_grid_region"))
 
 
 def training_table(
@@ -56,14 +70,18 @@ def training_table(
 ) -> DataFrame:
     """Wind rows (id, iso3, sid) with admin units, target, rain, event, history and static layers.
 
-    The target is joined on the cell (join_on="id"), or on units as with tables that hold one row for each (join_on="admin"). The event of a
-    storm is that of the cell's own country.
+    The target is joined on the cell (join_on="id"), or on units as with tables that hold one row for each (join_on="admin"). Countries
+    whose cells have no unit below the country (GID_1 is the country) get one national target for each storm with join_on="admin".
+    The event of a storm is that of the cell's own country.
     """
     rows = wind.join(admin.select("id", "iso3", "GID_1", "GID_2").distinct(), ["id", "iso3"])
     if join_on == "id":
         rows = rows.join(impact.drop("iso3", "GID_1", "GID_2", "population").distinct(), ["sid", "id"])
     else:
-        rows = null_safe_join(rows, impact.drop("iso3", "id", "population").distinct(), ["sid", "GID_1", "GID_2"])
+        whole = national_countries(admin)
+        own = null_safe_join(rows.join(whole, "iso3", "left_anti"), impact.drop("iso3", "id", "population").distinct(), ["sid", "GID_1", "GID_2"])
+        collapsed = national_impact(impact.join(whole, "iso3", "left_semi"))
+        rows = own.unionByName(rows.join(whole, "iso3", "left_semi").join(collapsed, ["sid", "iso3"]), allowMissingColumns=True)
     rows = rows.join(rain, ["id", "iso3", "sid"], "left").na.fill({"rainfall_max_24h": 0.0})
     if "DisNo." not in rows.columns:
         rows = rows.join(storms.select("sid", F.col("GID_0").alias("iso3"), "`DisNo.`").distinct(), ["sid", "iso3"], "left")

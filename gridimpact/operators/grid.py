@@ -64,21 +64,36 @@ def _box(step: float) -> tuple[Column, Column, Column, Column]:
     return left, low, left + step, low + step
 
 
+def edges_of(polygons: DataFrame, keys: list[str], rings: str = "rings") -> DataFrame:
+    """keys and x1, y1, x2, y2 of every edge."""
+    each = polygons.select(*keys, F.explode(rings).alias("_ring")).where(F.size("_ring") > 1).select(*keys, F.explode(_edges(F.col("_ring"))).alias("_e"))
+    return each.select(*keys, F.col("_e.p.x").alias("x1"), F.col("_e.p.y").alias("y1"), F.col("_e.q.x").alias("x2"), F.col("_e.q.y").alias("y2"))
+
+
+def _reach(a: str, b: str, start: float, step: float, around: int = 0) -> Column:
+    return F.sequence(F.least(cell_index(F.col(a), start, step), cell_index(F.col(b), start, step)) - around, F.greatest(cell_index(F.col(a), start, step), cell_index(F.col(b), start, step)) + around)
+
+
 def land_cells(polygons: DataFrame, country: str = "iso3", rings: str = "rings", step: float = 0.1) -> DataFrame:
-    """Cells that a country's polygons touch, once for each country; boxes are not clipped."""
-    xs = F.flatten(F.transform(rings, lambda r: F.transform(r, lambda p: p["x"])))
-    ys = F.flatten(F.transform(rings, lambda r: F.transform(r, lambda p: p["y"])))
-    reach = lambda v, start: F.sequence(cell_index(F.array_min(v), start, step), cell_index(F.array_max(v), start, step))
-    cells = polygons.select(country, rings, reach(ys, -90.0).alias("lats"), F.explode(reach(xs, -180.0)).alias("lon_idx"))
-    cells = with_centres(cells.select(country, rings, "lon_idx", F.explode("lats").alias("lat_idx")), step)
-    left, low, right, high = _box(step)
-
-    def meets(e: Column) -> Column:
-        start, end = clipped(e["p"]["x"], e["p"]["y"], e["q"]["x"], e["q"]["y"], left, low, right, high)
-        return start <= end
-
-    border = F.exists(rings, lambda r: F.exists(_edges(r), meets))
-    return cells.where(border | in_polygon(F.col("Longitude"), F.col("Latitude"), F.col(rings))).select(country, "lon_idx", "lat_idx").distinct()
+    """Cells that a country's polygons touch, once for each country; boxes are not clipped.
+
+    Every edge goes to the cells it crosses, which are the border; inside, the edges that cross the middle of a row of cells pair up along
+    the row. The work is edges plus cells, never edges times cells.
+    """
+    shapes = polygons.select(country, F.xxhash64(rings).alias("_shape"), rings).dropDuplicates([country, "_shape"])
+    edges = edges_of(shapes, [country, "_shape"], rings)
+    border = edges.withColumn("lon_idx", F.explode(_reach("x1", "x2", -180.0, step, 1))).withColumn("lat_idx", F.explode(_reach("y1", "y2", -90.0, step, 1)))
+    start, end = clipped(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), *_box(step))
+    border = border.where(start <= end).select(country, "lon_idx", "lat_idx")
+
+    rows = edges.withColumn("lat_idx", F.explode(_reach("y1", "y2", -90.0, step, 1))).withColumn("_y", (F.col("lat_idx") + 0.5) / round(1 / step) - 90.0)
+    rows = rows.where((F.col("y1") > F.col("_y")) != (F.col("y2") > F.col("_y")))
+    rows = rows.withColumn("_x", (F.col("x2") - F.col("x1")) * (F.col("_y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
+    row = Window.partitionBy(country, "_shape", "lat_idx").orderBy("_x")
+    spans = rows.select(country, "lat_idx", F.row_number().over(row).alias("_n"), "_x", F.lead("_x").over(row).alias("_to")).where("_n % 2 = 1")
+    inside = spans.withColumn("lon_idx", F.explode(_reach("_x", "_to", -180.0, step, 1))).withColumn("_c", (F.col("lon_idx") + 0.5) / round(1 / step) - 180.0)
+    inside = inside.where((F.col("_c") >= F.col("_x")) & (F.col("_c") < F.col("_to"))).select(country, "lon_idx", "lat_idx")
+    return border.union(inside).distinct()
 
 
 def line_length_by_cell(segments: DataFrame, keys: list[str], step: float = 0.1, metre_a_degree: float = 111_195.0) -> DataFrame:

@@ -26,6 +26,25 @@ def landfall(points: DataFrame, keys: list[str], on_land: Column, time: str, dis
     return rows.select(*keys, F.to_date("start").alias("startdate"), F.to_date("end").alias("enddate"), F.to_date("landfall").alias("landfalldate"), F.date_format("landfall", "HH:mm:ss").alias("landfall_time"))
 
 
+def storm_metadata(track: DataFrame, land: DataFrame, events: DataFrame, keys: list[str], time: str, step: float = 1.0) -> DataFrame:
+    """Days and landfall of each track from the country's polygons (unit, rings), with the event of each storm where there is one.
+
+    track: keys, x, y, time; events: keys, event. The distance to land is needed only for storms that never touch it, and is taken to the
+    country's edges, which are few beside the points.
+    """
+    from gridimpact.operators.grid import edges_of
+    from gridimpact.operators.spatial import point_in_polygon
+
+    held = point_in_polygon(track.select("x", "y").distinct(), land, step).select("x", "y").distinct().withColumn("_in", F.lit(True))
+    rows = track.join(held, ["x", "y"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+    landed = rows.where("_in").select(*keys).distinct()
+    offshore = rows.join(landed, keys, "left_anti").select("x", "y").distinct()
+    edges = edges_of(land, [])
+    d = segment_distance(*map(F.col, ("x", "y", "x1", "y1", "x2", "y2")))
+    far = offshore.join(edges).groupBy("x", "y").agg(F.min(d).alias("_far"))  # points of offshore storms x edges of one country
+    return landfall(rows.join(far, ["x", "y"], "left"), keys, F.col("_in"), time, "_far").join(events, keys, "left")
+
+
 def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     dx, dy = x2 - x1, y2 - y1
     t = F.coalesce(F.try_divide((px - x1) * dx + (py - y1) * dy, dx * dx + dy * dy), F.lit(0.0))

@@ -38,6 +38,21 @@ def expanded(events: DataFrame, reported: DataFrame, units: DataFrame, event: st
     return rows.withColumn(amount, F.coalesce("_part", "_whole", F.lit(0.0))).drop("_part", "_whole")
 
 
+def expanded_by_level(events: DataFrame, reported: DataFrame, units: DataFrame, event: str, amount: str) -> DataFrame:
+    """Every event with every second-level unit (GID_0, GID_1, GID_2) of its country: the reported amount, or 0.
+
+    events: a row each (event, GID_0); reported: event, level, GID_1, GID_2, amount. A report reaches all units that it names: ADM1 those
+    below its GID_1, ADM2 those of its GID_1 and GID_2, any other level the whole country. An event has one level.
+    """
+    rows = events.select(event, "GID_0").distinct().join(units.select("GID_0", "GID_1", "GID_2").distinct(), "GID_0")
+    most = F.max(amount)
+    first = reported.where("level = 'ADM1'").groupBy(event, "GID_1").agg(most.alias("_a1"))
+    second = reported.where("level = 'ADM2'").groupBy(event, "GID_1", "GID_2").agg(most.alias("_a2"))
+    whole = reported.where("level NOT IN ('ADM1', 'ADM2')").groupBy(event).agg(most.alias("_a0"))
+    rows = rows.join(first, [event, "GID_1"], "left").join(second, [event, "GID_1", "GID_2"], "left").join(whole, event, "left")
+    return rows.select(event, "GID_0", "GID_1", "GID_2", F.coalesce("_a2", "_a1", "_a0", F.lit(0.0)).alias(amount))
+
+
 def filled_from_largest(rows: DataFrame, event: str, amount: str, columns: list[str]) -> DataFrame:
     """Columns of an event's rows taken from its row with the largest amount that has them."""
     best = rows.groupBy(event).agg(*(F.max_by(c, F.struct(F.col(c).isNotNull(), F.col(amount))).alias(f"_{c}") for c in columns))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridimpact.operators.grid import in_polygon
+from gridimpact.operators.grid import edges_of
 from gridimpact.sources.tables import settled
 
 
@@ -38,6 +38,12 @@ def nearest(points: DataFrame, sites: DataFrame, k: int = 1, by: list[str] | Non
         return _near(points, sites, by, 1.0).withColumn("rank", F.lit(1)).where(F.lit(False))
     span = max(extent[1] - extent[0], extent[3] - extent[2], 1e-9)
     size = span / max(1.0, math.sqrt(n / k))
+    same = Window.partitionBy(*by, "sx", "sy").orderBy("site")
+    sites = sites.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k).drop("_n")  # no more of one place can be among the k nearest
+    fullest = lambda s: sites.groupBy(*by, _bucket("sx", s), _bucket("sy", s)).count().agg(F.max("count")).first()[0]
+    most = fullest(size)
+    while most > 64 * k and (fewer := fullest(size / 4)) < most:  # sites that lie close together need smaller buckets to start with
+        size, most = size / 4, fewer
     order = Window.partitionBy("pid").orderBy("dist", "site")
     found, open_ = None, points
     while True:
@@ -46,7 +52,7 @@ def nearest(points: DataFrame, sites: DataFrame, k: int = 1, by: list[str] | Non
         if last:
             done = ranked
         else:
-            ranked = settled(ranked, "nearest")
+            ranked = settled(ranked, f"nearest-{k}")
             full = ranked.where((F.col("rank") == k) & (F.col("dist") <= size)).select("pid")
             done = ranked.join(full, "pid", "left_semi")
             open_ = settled(open_.join(full, "pid", "left_anti"), "open")
@@ -84,6 +90,13 @@ def tiles_near(tiles: DataFrame, cells: DataFrame, country: str, buffer: float =
     return within(tiles, cells.select(country, "site", "sx", "sy"), buffer).select(country, "pid").distinct()
 
 
+def rounded_lookup(rows: DataFrame, places: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
+    """rows with the columns of a table of unique places, found by coordinates rounded to `digits`; rows without a place keep nulls."""
+    rounded = lambda k: F.round(F.col(k), digits)
+    named = places.select(*(rounded(k).alias(f"_r_{k}") for k in keys), *(c for c in places.columns if c not in keys))
+    return rows.join(named, [rounded(k) == F.col(f"_r_{k}") for k in keys], "left").drop(*(f"_r_{k}" for k in keys))
+
+
 def buffer_max(points: DataFrame, sites: DataFrame, value: str, radius: float, by: list[str] | None = None) -> DataFrame:
     """Every point with the largest value among the sites within `radius`; missing where there is none."""
     top = within(points, sites, radius, by).groupBy("pid").agg(F.max(value).alias(value))
@@ -91,20 +104,36 @@ def buffer_max(points: DataFrame, sites: DataFrame, value: str, radius: float, b
 
 
 def point_in_polygon(points: DataFrame, polygons: DataFrame, step: float = 1.0) -> DataFrame:
-    """points (pid, x, y) joined to polygons (unit, rings) that hold them: an equi-join on the bucket, then the exact test."""
+    """points (pid, x, y) joined to polygons (unit, rings) that hold them.
+
+    Points meet polygons in the buckets of their boxes, and then only the edges of that polygon at their own height; an odd number of
+    crossings is inside. Polygons are never copied to points.
+    """
     xs = F.flatten(F.transform("rings", lambda r: F.transform(r, lambda p: p["x"])))
     ys = F.flatten(F.transform("rings", lambda r: F.transform(r, lambda p: p["y"])))
     reach = lambda v: F.sequence(F.floor(F.array_min(v) / step).cast("long"), F.floor(F.array_max(v) / step).cast("long"))
-    places = polygons.withColumn("_bx", F.explode(reach(xs))).withColumn("_by", F.explode(reach(ys)))
-    pairs = points.withColumns({"_bx": _bucket("x", step), "_by": _bucket("y", step)}).join(places, ["_bx", "_by"])
-    return pairs.where(in_polygon(F.col("x"), F.col("y"), F.col("rings"))).drop("_bx", "_by", "rings")
+    shapes = polygons.withColumn("_shape", F.xxhash64("unit", "rings")).dropDuplicates(["_shape"])
+    boxes = shapes.withColumn("_bx", F.explode(reach(xs))).select("_shape", "_bx", F.explode(reach(ys)).alias("_by"))
+    places = points.select("x", "y").distinct().withColumns({"_bx": _bucket("x", step), "_by": _bucket("y", step)}).join(boxes, ["_bx", "_by"]).drop("_bx")
+    edges = edges_of(shapes, ["_shape"])
+    edges = edges.withColumn("_by", F.explode(F.sequence(F.floor(F.least("y1", "y2") / step).cast("long"), F.floor(F.greatest("y1", "y2") / step).cast("long"))))
+    cross = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
+    inside = places.join(edges, ["_shape", "_by"]).where(cross).groupBy("x", "y", "_shape").agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1").drop("_n")
+    return points.join(inside, ["x", "y"]).join(shapes.drop("rings"), "_shape").drop("_shape").select(*points.columns, *(c for c in polygons.columns if c != "rings"))
+
+
+def centroids(polygons: DataFrame, keys: list[str]) -> DataFrame:
+    """x and y of each polygon's centre of area, holes taken out (their rings run against the outer ones); of its vertices where it has no area."""
+    e = edges_of(polygons, keys)
+    cross = F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")
+    moment = lambda c: F.sum((F.col(f"{c}1") + F.col(f"{c}2")) * cross)
+    sums = e.groupBy(*keys).agg(F.sum(cross).alias("_a"), *(moment(c).alias(f"_m{c}") for c in "xy"), *(F.avg(f"{c}1").alias(f"_v{c}") for c in "xy"))
+    return sums.select(*keys, *(F.coalesce(F.try_divide(F.col(f"_m{c}"), 3 * F.col("_a")), F.col(f"_v{c}")).alias(c) for c in "xy"))
 
 
 def match_units(points: DataFrame, polygons: DataFrame, by: str, step: float = 1.0) -> DataFrame:
     """The unit that holds each point, or else the nearest unit's centre in the same country; how tells which."""
     held = point_in_polygon(points, polygons.drop(by), step).groupBy("pid").agg(F.min("unit").alias("unit"))
-    outer = F.get("rings", F.lit(0))
-    mean = lambda c: F.aggregate(F.transform(outer, lambda p: p[c]), F.lit(0.0), lambda a, v: a + v) / F.size(outer)
-    centres = polygons.select(by, F.col("unit").alias("site"), mean("x").alias("sx"), mean("y").alias("sy"))
+    centres = centroids(polygons, [by, "unit"]).withColumnsRenamed({"unit": "site", "x": "sx", "y": "sy"})
     rest = nearest_match(points.join(held, "pid", "left_anti"), centres, [by]).select("pid", F.col("site").alias("unit"), F.lit("nearest").alias("how"))
     return points.join(held.withColumn("how", F.lit("inside")).unionByName(rest), "pid", "left")

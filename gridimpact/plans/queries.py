@@ -59,27 +59,26 @@ def prior_events_5y(spark: SparkSession, d: str) -> DataFrame:
 @query("""
     WITH months AS (SELECT DISTINCT c_nationkey AS nation, date_trunc('month', o_orderdate)::DATE AS day FROM orders JOIN customer ON o_custkey = c_custkey),
     counts AS (SELECT a.nation, a.day, (SELECT count(*) FROM months b WHERE b.nation = a.nation AND b.day >= a.day - INTERVAL 5 YEAR AND b.day < a.day)::INTEGER AS n_prior
-               FROM months a WHERE a.day >= DATE '2001-01-01')
+               FROM months a)
     SELECT s_suppkey AS cell, nation, day, n_prior FROM supplier JOIN counts ON s_nationkey = nation
 """)
 def event_count_broadcast(spark: SparkSession, d: str) -> DataFrame:
     """The country's count on every cell of the country."""
     orders = parquet(spark, d, "orders").join(parquet(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     months = orders.select(F.col("c_nationkey").alias("nation"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("day")).distinct()
-    counts = history.prior_events(months, "nation", "day").where("day >= DATE '2001-01-01'")
+    counts = history.prior_events(months, "nation", "day")
     cells = parquet(spark, d, "supplier").select(F.col("s_suppkey").alias("cell"), F.col("s_nationkey").alias("nation"))
     return history.broadcast_to_cells(cells, counts, "nation").select("cell", "nation", "day", "n_prior")
 
 
 @query("""
-    WITH events_ AS (SELECT o_orderkey, o_custkey FROM orders), meta AS (SELECT o_orderkey, max(l_shipdate)::DATE AS landfalldate FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-         WHERE l_linenumber = 1 GROUP BY 1)
+    WITH events_ AS (SELECT o_orderkey, o_custkey FROM orders), meta AS (SELECT o_orderkey, max(l_shipdate)::DATE AS landfalldate FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
     SELECT e.o_orderkey AS event, o_custkey AS storm, landfalldate FROM events_ e LEFT JOIN meta USING (o_orderkey)
 """)
 def events_with_dates(spark: SparkSession, d: str) -> DataFrame:
     """Events with the landfall date of their storm, where it is known."""
     orders = parquet(spark, d, "orders").select(F.col("o_orderkey").alias("event"), F.col("o_custkey").alias("storm"))
-    lines = parquet(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("event"), "l_shipdate")
+    lines = parquet(spark, d, "lineitem").select(F.col("l_orderkey").alias("event"), "l_shipdate")
     meta = lines.join(orders.select("event"), "event", "left_semi").groupBy("event").agg(F.to_date(F.max("l_shipdate")).alias("landfalldate"))
     return orders.join(meta, "event", "left")
 
@@ -139,9 +138,9 @@ def _places(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {_PLACES}, track AS (SELECT label AS sid, vec_id AS n, x, y, lead(x) OVER q AS x2, lead(y) OVER q AS y2 FROM place WHERE vec_id % 10 = 0 WINDOW q AS (PARTITION BY label ORDER BY vec_id)),
+    WITH {_PLACES}, track AS (SELECT label AS sid, vec_id AS n, x, y, lead(x) OVER q AS x2, lead(y) OVER q AS y2 FROM place WINDOW q AS (PARTITION BY label ORDER BY vec_id)),
     seg AS (SELECT sid, x AS x1, y AS y1, x2 - x AS dx, y2 - y AS dy FROM track WHERE x2 IS NOT NULL),
-    t AS (SELECT p.vec_id, p.label AS sid, p.x - s.x1 AS px, p.y - s.y1 AS py, dx, dy, greatest(0, least(1, ((p.x - s.x1) * dx + (p.y - s.y1) * dy) / (dx * dx + dy * dy))) AS t
+    t AS (SELECT p.vec_id, p.label AS sid, p.x - s.x1 AS px, p.y - s.y1 AS py, dx, dy, greatest(0, least(1, coalesce(((p.x - s.x1) * dx + (p.y - s.y1) * dy) / nullif(dx * dx + dy * dy, 0), 0))) AS t
           FROM place p JOIN seg s ON p.label = s.sid)
     SELECT vec_id AS id, sid, round(min(sqrt((px - t * dx) ** 2 + (py - t * dy) ** 2)) * 111.1, 4) AS track_distance FROM t GROUP BY ALL
 """)
@@ -149,19 +148,19 @@ def track_distance(spark: SparkSession, d: str) -> DataFrame:
     """Distance of each cell from its storm's line."""
     p = _places(spark, d)
     cells = p.select(F.col("vec_id").alias("id"), F.col("label").alias("sid"), "x", "y")
-    track = p.where("vec_id % 10 = 0").select(F.col("label").alias("sid"), F.col("vec_id").alias("n"), "x", "y")
+    track = p.select(F.col("label").alias("sid"), F.col("vec_id").alias("n"), "x", "y")
     return hazard.track_distance(cells, track, "sid", "n").withColumn("track_distance", r("track_distance"))
 
 
 @query(f"""
-    WITH {_PLACES}, c AS (SELECT label AS sid, x, y, 30 + 100 * abs(v) AS peak, 2 + 10 * abs(w) AS rad FROM place WHERE vec_id % 25 = 0),
+    WITH {_PLACES}, c AS (SELECT label AS sid, x, y, 30 + 100 * abs(v) AS peak, 2 + 10 * abs(w) AS rad FROM place),
     d AS (SELECT p.vec_id AS id, c.sid, peak, rad, sqrt((p.x - c.x) ** 2 + (p.y - c.y) ** 2) AS dist FROM place p JOIN c ON sqrt((p.x - c.x) ** 2 + (p.y - c.y) ** 2) <= 10 / 111.1)
     SELECT id, sid, round(max(peak * sqrt((rad / greatest(dist * 111.1, 1e-3)) ** 1.5 * exp(1 - (rad / greatest(dist * 111.1, 1e-3)) ** 1.5))), 4) AS wind_speed FROM d GROUP BY ALL
 """)
 def wind_field(spark: SparkSession, d: str) -> DataFrame:
     """The strongest wind of each storm at each cell in reach."""
     p = _places(spark, d)
-    track = p.where("vec_id % 25 = 0").select(F.col("label").alias("sid"), "x", "y", (30 + 100 * F.abs("v")).alias("peak"), (2 + 10 * F.abs("w")).alias("radius_km"))
+    track = p.select(F.col("label").alias("sid"), "x", "y", (30 + 100 * F.abs("v")).alias("peak"), (2 + 10 * F.abs("w")).alias("radius_km"))
     return hazard.wind_field(p.select(F.col("vec_id").alias("id"), "x", "y"), track, "sid", 10.0).withColumn("wind_speed", r("wind_speed"))
 
 
@@ -218,13 +217,13 @@ def surge_complete_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
     WITH {_PLACES}
-    SELECT DISTINCT b.label AS country, a.vec_id AS tile FROM place a JOIN place b ON a.vec_id % 4 = 0 AND b.vec_id % 4 = 1 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.03
+    SELECT DISTINCT b.label AS country, a.vec_id AS tile FROM place a JOIN place b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.03
 """)
 def tiles_near_country(spark: SparkSession, d: str) -> DataFrame:
     """Tiles inside the buffer around a country."""
     p = _places(spark, d)
-    cells = p.where("vec_id % 4 = 1").select(F.col("vec_id").alias("site"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("label").alias("country"))
-    return spatial.tiles_near(p.where("vec_id % 4 = 0").select(F.col("vec_id").alias("pid"), "x", "y"), cells, "country", 0.03).withColumnRenamed("pid", "tile")
+    cells = p.select(F.col("vec_id").alias("site"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("label").alias("country"))
+    return spatial.tiles_near(p.select(F.col("vec_id").alias("pid"), "x", "y"), cells, "country", 0.03).withColumnRenamed("pid", "tile")
 
 
 _SQUARES = """u AS (SELECT * FROM (VALUES ('A', -0.3, -0.3, 0.0, 0.0), ('B', 0.0, -0.3, 0.3, 0.0), ('C', -0.3, 0.0, 0.0, 0.3)) t(unit, x1, y1, x2, y2))"""
@@ -245,7 +244,7 @@ def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
     WITH {_PLACES}, {_SQUARES}, i AS (SELECT vec_id AS pid, x, y, unit FROM place LEFT JOIN u ON x >= x1 AND x < x2 AND y >= y1 AND y < y2),
-    c AS (SELECT unit, (x1 + x2 + x2 + x1 + x1) / 5 AS cx, (y1 + y1 + y2 + y2 + y1) / 5 AS cy FROM u),
+    c AS (SELECT unit, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM u),
     n AS (SELECT pid, arg_min(c.unit, (sqrt((x - cx) ** 2 + (y - cy) ** 2), c.unit)) AS near FROM i CROSS JOIN c GROUP BY pid)
     SELECT pid, coalesce(unit, near) AS unit, CASE WHEN unit IS NULL THEN 'nearest' ELSE 'inside' END AS how FROM i JOIN n USING (pid)
 """)
@@ -258,14 +257,14 @@ def admin_bridge(spark: SparkSession, d: str) -> DataFrame:
 # --- impact -------------------------------------------------------------------------------------------------------
 
 @query("""
-    WITH e AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS event FROM orders WHERE o_orderdate >= DATE '2001-01-01'),
+    WITH e AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS event FROM orders),
     reported AS (SELECT date_trunc('month', o_orderdate)::DATE AS event, c_nationkey AS unit, max(o_totalprice) AS amount FROM orders JOIN customer ON o_custkey = c_custkey
-                 WHERE o_orderdate >= DATE '2001-01-01' AND o_orderpriority = '1-URGENT' AND o_totalprice > 400000 GROUP BY ALL)
+                 WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000 GROUP BY ALL)
     SELECT e.event, n_nationkey AS unit, coalesce(amount, 0) AS amount FROM e CROSS JOIN nation LEFT JOIN reported ON reported.event = e.event AND unit = n_nationkey
 """)
 def impact_expand_zero_fill(spark: SparkSession, d: str) -> DataFrame:
     """Every event with every unit: the reported amount or 0."""
-    orders = parquet(spark, d, "orders").where("o_orderdate >= DATE '2001-01-01'").withColumn("event", F.to_date(F.date_trunc("month", "o_orderdate")))
+    orders = parquet(spark, d, "orders").withColumn("event", F.to_date(F.date_trunc("month", "o_orderdate")))
     reported = orders.where("o_orderpriority = '1-URGENT' AND o_totalprice > 400000").join(parquet(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     reported = reported.select("event", F.col("c_nationkey").alias("unit"), F.col("o_totalprice").alias("amount"))
     units = parquet(spark, d, "nation").select(F.lit("X").alias("country"), F.col("n_nationkey").alias("unit"))
@@ -285,8 +284,7 @@ def fill_event_columns(spark: SparkSession, d: str) -> DataFrame:
     return impact.filled_from_largest(rows, "event", "amount", ["name"]).select("event", "unit", "name")
 
 
-_MONTHS = """m AS (SELECT date_trunc('month', o_orderdate)::DATE AS event, c_nationkey AS unit, max(o_totalprice) AS amount FROM orders JOIN customer ON o_custkey = c_custkey
-                 WHERE o_orderdate >= DATE '2001-01-01' AND o_totalprice > 300000 GROUP BY ALL)"""
+_MONTHS = """m AS (SELECT date_trunc('month', o_orderdate)::DATE AS event, c_nationkey AS unit, max(o_totalprice) AS amount FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
 
 
 @query(f"""
@@ -297,8 +295,7 @@ _MONTHS = """m AS (SELECT date_trunc('month', o_orderdate)::DATE AS event, c_nat
 """)
 def impact_share(spark: SparkSession, d: str) -> DataFrame:
     """The reported amount in per cent of the people in the affected region."""
-    orders = parquet(spark, d, "orders").where("o_orderdate >= DATE '2001-01-01' AND o_totalprice > 300000")
-    orders = orders.join(parquet(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("event", F.to_date(F.date_trunc("month", "o_orderdate")))
+    orders = parquet(spark, d, "orders").join(parquet(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("event", F.to_date(F.date_trunc("month", "o_orderdate")))
     events = orders.groupBy("event", F.col("c_nationkey").alias("unit")).agg(F.max("o_totalprice").alias("amount"))
     cells = parquet(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("unit"), F.greatest("c_acctbal", F.lit(0.0)).alias("population"))
     shares = impact.impact_share(cells, events, "event", ["unit"], "amount")
@@ -428,14 +425,16 @@ def archive_lookup(spark: SparkSession, d: str) -> DataFrame:
 # --- grid and rasters ---------------------------------------------------------------------------------------------
 
 @query("""
-    WITH g AS (SELECT CAST(i // 180 AS INTEGER) AS lon_idx, CAST(i % 180 AS INTEGER) AS lat_idx FROM range(64800) t(i)), c AS (SELECT *, 'N' || lpad(CAST(lon_idx % 25 AS VARCHAR), 2, '0') AS iso3 FROM g)
-    SELECT lon_idx, lat_idx, round(lon_idx + 0.5 - 180, 9)::DOUBLE AS Longitude, round(lat_idx + 0.5 - 90, 9)::DOUBLE AS Latitude, iso3,
-           iso3 || '_' || lpad(CAST(row_number() OVER (PARTITION BY iso3 ORDER BY lon_idx, lat_idx) - 1 AS VARCHAR), 5, '0') AS id FROM c
+    WITH g AS (SELECT CAST(i // 1800 AS INTEGER) AS lon_idx, CAST(i % 1800 AS INTEGER) AS lat_idx FROM range(6480000) t(i)), c AS (SELECT *, 'N' || lpad(CAST(lon_idx % 25 AS VARCHAR), 2, '0') AS iso3 FROM g),
+    n AS (SELECT *, (lon_idx + 0.5)::DOUBLE / 10 - 180 AS lon, (lat_idx + 0.5)::DOUBLE / 10 - 90 AS lat, row_number() OVER (PARTITION BY iso3 ORDER BY lon_idx, lat_idx) - 1 AS number FROM c)
+    SELECT iso3, lat_idx, count(*) AS n, CAST(min(number) AS INTEGER) AS low, CAST(max(number) AS INTEGER) AS high, min(printf('%s_%05d', iso3, number)) AS first_id, max(printf('%s_%05d', iso3, number)) AS last_id, round(sum(lon), 4) AS lon, round(min(lat), 4) AS lat FROM n GROUP BY ALL
 """)
 def grid_ids(spark: SparkSession, d: str) -> DataFrame:
-    """The grid of whole degrees with centres and identifiers."""
-    cells = grid.global_grid(spark, 1.0).withColumn("iso3", F.format_string("N%02d", F.col("lon_idx") % 25))
-    return grid.with_ids(cells).select("lon_idx", "lat_idx", "Longitude", "Latitude", "iso3", "id")
+    """The whole grid with centres and identifiers, told by country and row of cells."""
+    cells = grid.with_ids(grid.global_grid(spark).withColumn("iso3", F.format_string("N%02d", F.col("lon_idx") % 25)))
+    return cells.groupBy("iso3", "lat_idx").agg(
+        F.count(F.lit(1)).alias("n"), F.min("number").alias("low"), F.max("number").alias("high"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), r(F.sum("Longitude")).alias("lon"), r(F.min("Latitude")).alias("lat"),
+    )
 
 
 @query("""
@@ -657,15 +656,321 @@ def region_basins(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT event_id, CASE WHEN event_id % 4 > 0 AND NOT (event_id % 12 + 1 = 2 AND event_id % 28 + 3 > 28) AND NOT (event_id % 12 + 1 IN (4, 6, 9, 11) AND event_id % 28 + 3 > 30) THEN make_date(CAST(2000 + event_id % 20 AS INT), CAST(event_id % 12 + 1 AS INT), CAST(event_id % 28 + 3 AS INT))
-           WHEN event_id % 4 = 0 THEN make_date(CAST(2000 + event_id % 20 AS INT), CAST(event_id % 12 + 1 AS INT), 1) END AS date FROM events
-    WHERE NOT (event_id % 12 + 1 = 2 AND event_id % 28 + 3 = 29)
+    WITH p AS (SELECT event_id, CAST(2000 + event_id // 7 % 20 AS INT) AS y, CAST(event_id % 12 + 1 AS INT) AS m, CAST(CASE WHEN event_id % 4 > 0 THEN event_id % 28 + 3 ELSE 1 END AS INT) AS d FROM events)
+    SELECT event_id, CASE WHEN d <= CASE WHEN m = 2 THEN CASE WHEN y % 4 = 0 THEN 29 ELSE 28 END WHEN m IN (4, 6, 9, 11) THEN 30 ELSE 31 END THEN make_date(y, m, d) END AS date FROM p
 """)
 def event_dates(spark: SparkSession, d: str) -> DataFrame:
-    """Dates from parts: the day defaults to 1, impossible dates are missing."""
+    """Dates from parts: the day defaults to 1, impossible dates are missing; leap years have their 29 February."""
     k = F.col("event_id")
-    rows = parquet(spark, d, "events").where("NOT (event_id % 12 + 1 = 2 AND event_id % 28 + 3 = 29)")
-    return rows.select("event_id", scalar.day_of(2000 + k % 20, k % 12 + 1, F.when(k % 4 > 0, k % 28 + 3)).alias("date"))
+    return parquet(spark, d, "events").select("event_id", scalar.day_of(2000 + F.floor(k / 7) % 20, k % 12 + 1, F.when(k % 4 > 0, k % 28 + 3)).alias("date"))
+
+
+# --- geometry that is not axis-parallel -----------------------------------------------------------------------------
+
+#: A triangle with a hole, and a unit of two parts; holes run against their outer rings.
+_SHAPES = {
+    "T": [[(-0.3137, -0.2219), (0.0541, -0.1723), (-0.1213, 0.2127), (-0.3137, -0.2219)], [(-0.2011, -0.1209), (-0.1307, 0.0217), (-0.0703, -0.1031), (-0.2011, -0.1209)]],
+    "W": [[(0.0617, -0.2023), (0.2911, -0.1319), (0.1733, -0.0127), (0.0617, -0.2023)], [(0.0229, 0.0431), (0.2117, 0.0923), (0.1109, 0.2719), (-0.0523, 0.2039), (0.0229, 0.0431)]],
+}
+_EDGES = "e AS (SELECT * FROM (VALUES {}) t(unit, x1, y1, x2, y2))".format(
+    ", ".join(f"('{u}', {p[0]}::DOUBLE, {p[1]}::DOUBLE, {q[0]}::DOUBLE, {q[1]}::DOUBLE)" for u, rings in _SHAPES.items() for ring in rings for p, q in zip(ring, ring[1:], strict=False))
+)
+_INSIDE = "i AS (SELECT vec_id AS pid, unit FROM place JOIN e ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1)"
+_CENTRES = "c AS (SELECT unit, sum((x1 + x2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) AS cx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) AS cy FROM e GROUP BY 1)"
+
+
+def _shapes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(u, "X", rings) for u, rings in _SHAPES.items()], "unit string, iso3 string, rings array<array<struct<x:double,y:double>>>")
+
+
+@query(f"WITH {_EDGES}, {_CENTRES} SELECT unit, round(cx, 9) AS x, round(cy, 9) AS y FROM c")
+def polygon_centroid(spark: SparkSession, d: str) -> DataFrame:
+    """Centres of area of oblique polygons with a hole and with two parts."""
+    return spatial.centroids(_shapes(spark), ["unit"]).select("unit", r("x", 9).alias("x"), r("y", 9).alias("y"))
+
+
+@query(f"""
+    WITH {_PLACES}, {_EDGES}, {_INSIDE}, {_CENTRES}, n AS (SELECT vec_id AS pid, arg_min(unit, (sqrt((x - cx) ** 2 + (y - cy) ** 2), unit)) AS near FROM place CROSS JOIN c GROUP BY 1)
+    SELECT pid, coalesce(unit, near) AS unit, CASE WHEN unit IS NULL THEN 'nearest' ELSE 'inside' END AS how FROM n LEFT JOIN i USING (pid)
+""")
+def admin_bridge_oblique(spark: SparkSession, d: str) -> DataFrame:
+    """Units of points, by oblique polygons and else by the nearest centre."""
+    points = _places(spark, d).select(F.col("vec_id").alias("pid"), F.lit("X").alias("iso3"), "x", "y")
+    return spatial.match_units(points, _shapes(spark), "iso3", 0.05).select("pid", "unit", "how")
+
+
+@query(f"""
+    WITH {_EDGES}, c AS (SELECT lon_idx, lat_idx, (lon_idx + 0.5)::DOUBLE / 100 - 180 AS cx, (lat_idx + 0.5)::DOUBLE / 100 - 90 AS cy, lon_idx * 0.01::DOUBLE - 180 AS l, lat_idx * 0.01::DOUBLE - 90 AS b
+      FROM range(17960, 18040) x(lon_idx) CROSS JOIN range(8970, 9035) y(lat_idx)),
+    q AS (SELECT unit, lon_idx, lat_idx, cx, cy, l, b, x1, y1, x2, y2,
+                 CASE WHEN x1 = x2 THEN 0 ELSE least((l - x1) / (x2 - x1), (l + 0.01::DOUBLE - x1) / (x2 - x1)) END AS s1, CASE WHEN x1 = x2 THEN 1 ELSE greatest((l - x1) / (x2 - x1), (l + 0.01::DOUBLE - x1) / (x2 - x1)) END AS t1,
+                 CASE WHEN y1 = y2 THEN 0 ELSE least((b - y1) / (y2 - y1), (b + 0.01::DOUBLE - y1) / (y2 - y1)) END AS s2, CASE WHEN y1 = y2 THEN 1 ELSE greatest((b - y1) / (y2 - y1), (b + 0.01::DOUBLE - y1) / (y2 - y1)) END AS t2 FROM c CROSS JOIN e)
+    SELECT unit AS iso3, CAST(lon_idx AS INTEGER) AS lon_idx, CAST(lat_idx AS INTEGER) AS lat_idx FROM q GROUP BY ALL
+    HAVING bool_or(greatest(0, s1, s2) <= least(1, t1, t2)) OR count(*) FILTER ((y1 > cy) <> (y2 > cy) AND cx < (x2 - x1) * (cy - y1) / (y2 - y1) + x1) % 2 = 1
+""")
+def land_cells_oblique(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of a hundredth of a degree that oblique polygons touch."""
+    return grid.land_cells(_shapes(spark).select(F.col("unit").alias("iso3"), "rings"), step=0.01)
+
+
+@query(f"""
+    WITH {_PLACES}, {_EDGES}, t AS (SELECT vec_id, label AS sid, x, y, TIMESTAMP '2020-01-01' + INTERVAL 1 HOUR * vec_id AS ts FROM place),
+    i AS (SELECT DISTINCT vec_id FROM (SELECT vec_id, unit FROM t JOIN e ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1)),
+    f AS (SELECT vec_id, min(sqrt((x - x1 - k * (x2 - x1)) ** 2 + (y - y1 - k * (y2 - y1)) ** 2)) AS far FROM
+          (SELECT t.*, e.*, greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2))) AS k FROM t CROSS JOIN e) GROUP BY 1),
+    s AS (SELECT sid, min(ts) AS a, max(ts) AS z, coalesce(min(ts) FILTER (i.vec_id IS NOT NULL), arg_min(ts, (far, ts))) AS l FROM t LEFT JOIN i USING (vec_id) JOIN f USING (vec_id) GROUP BY 1),
+    ev AS (SELECT DISTINCT label AS sid, 'e' || label AS event FROM place WHERE label % 2 = 0)
+    SELECT s.sid, a::DATE AS startdate, z::DATE AS enddate, l::DATE AS landfalldate, strftime(l, '%H:%M:%S') AS landfall_time, event FROM s LEFT JOIN ev USING (sid)
+""")
+def storm_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Landfall from the country's polygons: the first point inside, or else the one nearest to land; with the storm's event."""
+    p = _places(spark, d)
+    track = p.select("vec_id", F.col("label").alias("sid"), "x", "y", F.expr("timestampadd(HOUR, vec_id, TIMESTAMP '2020-01-01')").alias("ts"))
+    events = p.where("label % 2 = 0").select(F.col("label").alias("sid"), F.concat(F.lit("e"), "label").alias("event")).distinct()
+    return hazard.storm_metadata(track, _shapes(spark), events, ["sid"], "ts", 0.05).select("sid", "startdate", "enddate", "landfalldate", "landfall_time", "event")
+
+
+@query("""
+    WITH p AS (SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) * 10, 6) AS lon, round(CAST(embedding[2] AS DOUBLE) * 10, 6) AS lat, CAST(embedding[3] AS DOUBLE) AS v FROM embeddings),
+    c AS (SELECT vec_id, v, unnest(range(floor(round((lon - 0.03 + 180) / 0.1, 9))::BIGINT, ceil(round((lon + 0.03 + 180) / 0.1, 9))::BIGINT)) AS lon_idx, lat FROM p),
+    t AS (SELECT v, lon_idx, unnest(range(floor(round((lat - 0.03 + 90) / 0.1, 9))::BIGINT, ceil(round((lat + 0.03 + 90) / 0.1, 9))::BIGINT)) AS lat_idx FROM c)
+    SELECT CAST(lon_idx AS INTEGER) AS lon_idx, CAST(lat_idx AS INTEGER) AS lat_idx, round(sum(v), 6) AS landslide_risk_sum, round(max(v), 6) AS flood_risk FROM t GROUP BY ALL
+""")
+def all_touched_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Sum and maximum over all pixels whose footprint touches a cell."""
+    part = lambda k: F.get("embedding", F.lit(k)).cast("double")
+    pixels = parquet(spark, d, "embeddings").select(r(part(0) * 10, 6).alias("lon"), r(part(1) * 10, 6).alias("lat"), part(2).alias("v"))
+    cells = zonal.touched_cells(pixels, 0.03)
+    out = assemble.joined_layers(zonal.touched_sum(cells, ["lon_idx", "lat_idx"], "v", "landslide_risk_sum"), [zonal.tiles_max(cells, ["lon_idx", "lat_idx"], "v", "flood_risk")], ["lon_idx", "lat_idx"])
+    return out.select("lon_idx", "lat_idx", r("landslide_risk_sum", 6).alias("landslide_risk_sum"), r("flood_risk", 6).alias("flood_risk"))
+
+
+@query("""
+    WITH c AS (SELECT CASE c_nationkey % 3 WHEN 0 THEN 'FJI' WHEN 1 THEN 'NZL' ELSE 'PHL' END AS iso3, CASE WHEN c_custkey % 2 = 0 THEN 170 + c_custkey % 10 ELSE -180 + c_custkey % 8 END + 0.5 AS lon, (c_custkey % 120) / 10.0 - 20 AS lat FROM customer),
+    b AS (SELECT iso3, CASE WHEN iso3 = 'PHL' THEN true ELSE lon > 0 END AS east, min(lon) AS x1, max(lon) AS x2, min(lat) AS y1, max(lat) AS y2 FROM c GROUP BY 1, 2),
+    t AS (SELECT iso3, unnest(range(floor((x1 + 180) / 5)::INT, floor((x2 + 180) / 5)::INT + 1)) AS tile_x, y1, y2 FROM b)
+    SELECT DISTINCT iso3, CAST(tile_x AS INTEGER) AS tile_x, CAST(unnest(range(floor((y1 + 90) / 5)::INT, floor((y2 + 90) / 5)::INT + 1)) AS INTEGER) AS tile_y FROM t
+""")
+def antimeridian_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles of countries on both sides of the antimeridian: each side by itself, others as one box."""
+    k = F.col("c_custkey")
+    iso3 = F.when(F.col("c_nationkey") % 3 == 0, "FJI").when(F.col("c_nationkey") % 3 == 1, "NZL").otherwise("PHL")
+    lon = F.when(k % 2 == 0, 170 + k % 10).otherwise(-180 + k % 8) + 0.5
+    return zonal.country_tiles(parquet(spark, d, "customer").select(iso3.alias("iso3"), lon.alias("Longitude"), (k % 120 / 10.0 - 20).alias("Latitude")))
+
+
+@query("""
+    WITH c AS (SELECT n_nationkey, (c_custkey * 7 % 3600) / 10.0 AS lon FROM customer JOIN nation ON c_nationkey = n_nationkey)
+    SELECT n_nationkey AS country, round(min(CASE WHEN lon > 180 THEN lon - 360 ELSE lon END), 6)::DOUBLE AS low, round(max(CASE WHEN lon > 180 THEN lon - 360 ELSE lon END), 6)::DOUBLE AS high,
+           min(CASE WHEN lon > 180 THEN lon - 360 ELSE lon END) < 0 AND max(CASE WHEN lon > 180 THEN lon - 360 ELSE lon END) > 0 AS crosses FROM c GROUP BY 1
+""")
+def wrapped_longitudes(spark: SparkSession, d: str) -> DataFrame:
+    """Longitudes of 0 to 360 on both sides of zero, and which countries lie on both."""
+    c = parquet(spark, d, "customer").select(F.col("c_nationkey").alias("country"), scalar.wrap_longitude(F.col("c_custkey") * 7 % 3600 / 10.0).alias("lon"))
+    out = c.groupBy("country").agg(F.min("lon").alias("low"), F.max("lon").alias("high"))
+    return out.select("country", r("low", 6).alias("low"), r("high", 6).alias("high"), scalar.crosses_zero(F.col("low"), F.col("high")).alias("crosses"))
+
+
+@query("""
+    WITH p AS (SELECT c_custkey AS id, round(c_acctbal / 7, 6) AS lat, round(c_nationkey / 3.0, 6)::DOUBLE AS lon FROM customer), u AS (SELECT lat, lon, min(id) AS idx FROM p GROUP BY ALL)
+    SELECT id, idx FROM p JOIN u USING (lat, lon)
+""")
+def rounded_key_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Cells looked up in a table of unique places, by coordinates rounded to six digits."""
+    cells = parquet(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 7).alias("lat"), (F.col("c_nationkey") / 3).alias("lon"))
+    places = cells.groupBy(r("lat", 6).alias("lat"), r("lon", 6).alias("lon")).agg(F.min("id").alias("idx"))
+    return spatial.rounded_lookup(cells, places, ["lat", "lon"]).select("id", "idx")
+
+
+# --- strings ------------------------------------------------------------------------------------------------------
+
+@query("""
+    SELECT o_orderkey, split_part(replace(f, '.tif', ''), '_', 2) AS tile, CAST(substring(sid, 1, 4) AS INTEGER) AS year, o_orderpriority || substring(sid, 1, 4) AS typhoon,
+           starts_with(f, '3B-HHR') AND ends_with(f, '.tif') AS wanted, lower(trim(' ' || o_orderpriority || '  ')) = '1-urgent' AS urgent
+    FROM (SELECT *, strftime(o_orderdate, '%Y%j') || 'N' || o_custkey AS sid, CASE WHEN o_orderkey % 3 = 0 THEN '3B-HHR_' ELSE 'srtm_' END || o_custkey || '_x' || CASE WHEN o_orderkey % 2 = 0 THEN '.tif' ELSE '.zip' END AS f FROM orders)
+""")
+def file_and_storm_names(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of file names, the year in a storm's key, names with years, and names compared without case and blanks."""
+    k = F.col("o_orderkey")
+    sid = F.concat(F.date_format("o_orderdate", "yyyyDDD"), F.lit("N"), F.col("o_custkey"))
+    name = F.concat(F.when(k % 3 == 0, "3B-HHR_").otherwise("srtm_"), F.col("o_custkey"), F.lit("_x"), F.when(k % 2 == 0, ".tif").otherwise(".zip"))
+    rows = parquet(spark, d, "orders").select("o_orderkey", "o_orderpriority", sid.alias("sid"), name.alias("f"))
+    return rows.select(
+        "o_orderkey", scalar.name_part(F.col("f"), ".tif", 2).alias("tile"), scalar.year_of_storm(F.col("sid")).alias("year"), scalar.named_storm(F.col("o_orderpriority"), F.col("sid")).alias("typhoon"),
+        scalar.has_form(F.col("f"), "3B-HHR", ".tif").alias("wanted"), scalar.same_name(F.concat(F.lit(" "), "o_orderpriority", F.lit("  ")), F.lit("1-Urgent")).alias("urgent"),
+    )
+
+
+# --- expansion, national targets, the training table --------------------------------------------------------------
+
+_UNITS = """u AS (SELECT DISTINCT 'R' || n_regionkey AS "GID_0", 'N' || n_nationkey AS "GID_1", 'N' || n_nationkey || '.' || (c_custkey % 3) AS "GID_2" FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    rep AS (SELECT o_orderkey AS event, 'R' || n_regionkey AS "GID_0", CASE o_orderkey % 4 WHEN 0 THEN 'ADM1' WHEN 1 THEN 'ADM2' WHEN 2 THEN 'ADM0' ELSE 'ADM1' END AS level, CASE WHEN o_orderkey % 4 <> 2 THEN 'N' || n_nationkey END AS "GID_1",
+                   CASE WHEN o_orderkey % 4 = 1 THEN 'N' || n_nationkey || '.' || (c_custkey % 3) END AS "GID_2", o_totalprice AS amount FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+def _level_reports(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    nation, customer = parquet(spark, d, "nation"), parquet(spark, d, "customer")
+    cells = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    gid0, gid1 = F.concat(F.lit("R"), "n_regionkey"), F.concat(F.lit("N"), "n_nationkey")
+    gid2 = F.concat(gid1, F.lit("."), F.col("c_custkey") % 3)
+    units = cells.select(gid0.alias("GID_0"), gid1.alias("GID_1"), gid2.alias("GID_2")).distinct()
+    kind = F.col("o_orderkey") % 4
+    o = parquet(spark, d, "orders").join(cells, F.col("o_custkey") == F.col("c_custkey"))
+    level = F.when(kind == 1, "ADM2").when(kind == 2, "ADM0").otherwise("ADM1")
+    reports = o.select(F.col("o_orderkey").alias("event"), gid0.alias("GID_0"), level.alias("level"), F.when(kind != 2, gid1).alias("GID_1"), F.when(kind == 1, gid2).alias("GID_2"), F.col("o_totalprice").alias("amount"))
+    return units, reports
+
+
+@query(f"""
+    WITH {_UNITS}
+    SELECT rep.event, u."GID_0", u."GID_1", u."GID_2", CASE WHEN level = 'ADM0' OR (level = 'ADM1' AND rep."GID_1" = u."GID_1") OR (level = 'ADM2' AND rep."GID_1" = u."GID_1" AND rep."GID_2" = u."GID_2") THEN amount ELSE 0 END AS amount
+    FROM rep JOIN u ON rep."GID_0" = u."GID_0"
+""")
+def impact_expand_by_level(spark: SparkSession, d: str) -> DataFrame:
+    """Every event with every second-level unit of its country; which keys match depends on the report's level."""
+    units, reports = _level_reports(spark, d)
+    return impact.expanded_by_level(reports, reports, units, "event", "amount")
+
+
+@query("""
+    WITH i AS (SELECT l_suppkey AS sid, CASE WHEN l_partkey % 5 = 0 THEN 'A' ELSE 'B' END AS iso3, 'g' || l_linenumber AS g1, l_extendedprice AS a, l_quantity AS p FROM lineitem)
+    SELECT sid, iso3, 'G' || iso3 AS "GID_0", arg_min('L' || substring(g1, 2), g1) AS level, max(a) AS "Total Affected", max(p) AS perc_affected_pop_grid_region FROM i GROUP BY 1, 2
+""")
+def national_impact(spark: SparkSession, d: str) -> DataFrame:
+    """One target for each storm of a country without units."""
+    iso3 = F.when(F.col("l_partkey") % 5 == 0, "A").otherwise("B")
+    rows = parquet(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("sid"), iso3.alias("iso3"), F.concat(F.lit("G"), iso3).alias("GID_0"), F.concat(F.lit("g"), "l_linenumber").alias("GID_1"), F.lit(None).cast("string").alias("GID_2"),
+        F.concat(F.lit("L"), "l_linenumber").alias("level"), F.col("l_extendedprice").alias("Total Affected"), F.col("l_quantity").alias("perc_affected_pop_grid_region"),
+    )
+    return assemble.national_impact(rows)
+
+
+_STAGES = """c AS (SELECT 'c' || c_custkey AS id, 'N' || c_nationkey AS iso3, CASE WHEN c_nationkey % 4 = 0 THEN 'N' || c_nationkey ELSE 'N' || c_nationkey || '.' || (c_custkey % 3) END AS g1, c_acctbal AS bal FROM customer),
+    w AS (SELECT DISTINCT 'c' || o_custkey AS id, 'N' || c_nationkey AS iso3, 's' || (o_orderkey % 40) AS sid, (o_orderkey % 40) + 0.5 AS wind_speed FROM orders JOIN customer ON o_custkey = c_custkey),
+    i AS (SELECT 's' || (l_orderkey % 40) AS sid, 'N' || s_nationkey AS iso3, 'C' || s_nationkey AS g0, 'N' || s_nationkey || '.' || (l_linenumber % 3) AS g1, 'ADM1' AS level, max(l_extendedprice) AS total, max(l_quantity) AS perc FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+    r AS (SELECT 'c' || o_custkey AS id, 'N' || c_nationkey AS iso3, 's' || (o_orderkey % 40) AS sid, max(o_totalprice) AS rain FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY ALL),
+    e AS (SELECT DISTINCT 's' || (l_orderkey % 40) AS sid, 'N' || s_nationkey AS iso3, 'd' || (l_orderkey % 40) || s_nationkey AS dis FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+    h AS (SELECT c.id, c.iso3, e.dis, length(e.dis) AS n FROM c JOIN e ON c.iso3 = e.iso3 WHERE length(c.id) % 2 = 0)"""
+
+
+def _stage_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    of = lambda prefix, c: F.concat(F.lit(prefix), c)
+    storm = lambda c: of("s", F.col(c) % 40)
+    customer = parquet(spark, d, "customer")
+    orders = parquet(spark, d, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    lines = parquet(spark, d, "lineitem").join(parquet(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    iso, cell, none = of("N", F.col("c_nationkey")), of("c", F.col("c_custkey")), F.lit(None).cast("string")
+    unit = F.when(F.col("c_nationkey") % 4 == 0, iso).otherwise(F.concat(iso, F.lit("."), F.col("c_custkey") % 3))
+    place = of("N", F.col("s_nationkey"))
+    storms = lines.select(storm("l_orderkey").alias("sid"), place.alias("GID_0"), F.concat(F.lit("d"), F.col("l_orderkey") % 40, F.col("s_nationkey")).alias("DisNo.")).distinct()
+    admin = customer.select(cell.alias("id"), iso.alias("iso3"), unit.alias("GID_1"), none.alias("GID_2"))
+    return {
+        "wind": orders.select(cell.alias("id"), iso.alias("iso3"), storm("o_orderkey").alias("sid"), (F.col("o_orderkey") % 40 + 0.5).alias("wind_speed")).distinct(),
+        "admin": admin,
+        "impact": lines.groupBy(storm("l_orderkey").alias("sid"), place.alias("iso3"), of("C", F.col("s_nationkey")).alias("GID_0"), F.concat(place, F.lit("."), F.col("l_linenumber") % 3).alias("GID_1"), none.alias("GID_2"), F.lit("ADM1").alias("level"))
+        .agg(F.max("l_extendedprice").alias("Total Affected"), F.max("l_quantity").alias("perc_affected_pop_grid_region")),
+        "rain": orders.where("o_orderstatus = 'F'").groupBy(cell.alias("id"), iso.alias("iso3"), storm("o_orderkey").alias("sid")).agg(F.max("o_totalprice").alias("rainfall_max_24h")),
+        "storms": storms,
+        "history": admin.join(storms.withColumnRenamed("GID_0", "iso3"), "iso3").where("length(id) % 2 = 0").select("id", "iso3", "`DisNo.`", F.length("`DisNo.`").alias("N_events_5_years")),
+        "static": customer.select(cell.alias("id"), iso.alias("iso3"), F.col("c_acctbal").alias("population")),
+    }
+
+
+@query(f"""
+    WITH {_STAGES}, nat AS (SELECT iso3 FROM c GROUP BY 1 HAVING bool_and(g1 = iso3)), d AS (SELECT w.*, c.g1 FROM w JOIN c USING (id, iso3)),
+    t AS (SELECT d.id, d.iso3, d.sid, wind_speed, d.g1, i.g0, level, total, perc FROM d JOIN i ON d.sid = i.sid AND d.g1 = i.g1 WHERE d.iso3 NOT IN (FROM nat)
+          UNION ALL SELECT d.id, d.iso3, d.sid, wind_speed, d.g1, k.g0, level, total, perc FROM d JOIN (SELECT sid, iso3, min(g0) AS g0, min(level) AS level, max(total) AS total, max(perc) AS perc FROM i GROUP BY 1, 2) k ON d.sid = k.sid AND d.iso3 = k.iso3 WHERE d.iso3 IN (FROM nat))
+    SELECT t.id, t.iso3, t.sid, wind_speed, t.g1 AS unit, g0 AS country, level, total AS affected, perc, coalesce(rain, 0) AS rain, e.dis AS event, CAST(coalesce(n, 0) AS INTEGER) AS n_events, bal AS population
+    FROM t LEFT JOIN r USING (id, iso3, sid) LEFT JOIN e ON t.sid = e.sid AND t.iso3 = e.iso3 LEFT JOIN h ON h.id = t.id AND h.iso3 = t.iso3 AND h.dis = e.dis JOIN c ON c.id = t.id
+""")
+def training_table(spark: SparkSession, d: str) -> DataFrame:
+    """The training table from its stages: units, targets by unit or by country, rain, event, history and static layers."""
+    rows = assemble.training_table(**_stage_tables(spark, d), join_on="admin")
+    return rows.select(
+        "id", "iso3", "sid", "wind_speed", F.col("GID_1").alias("unit"), F.col("GID_0").alias("country"), "level", F.col("`Total Affected`").alias("affected"), F.col("perc_affected_pop_grid_region").alias("perc"),
+        F.col("rainfall_max_24h").alias("rain"), F.col("`DisNo.`").alias("event"), F.col("N_events_5_years").alias("n_events"), "population",
+    )
+
+
+_PREPARED = """x AS (SELECT 'e' || strftime(o_orderdate, '%Y%m') || n_regionkey AS event, 's' || strftime(o_orderdate, '%Y%m') AS sid, CASE WHEN o_orderkey % 2 = 0 THEN 'ADM1' ELSE 'ADM0' END AS level, 'C' || n_regionkey AS g0, 'u' || n_nationkey AS g1, 'I' || n_regionkey AS iso3,
+            CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice - 250000 ELSE 0 END AS total, o_totalprice / 10000 AS perc, o_orderkey % 50 AS wind, c_acctbal AS bal, date_trunc('month', o_orderdate)::DATE AS month, n_regionkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+def _training_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    o = parquet(spark, d, "orders").join(parquet(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(parquet(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    month, key = F.date_format("o_orderdate", "yyyyMM"), F.col("o_orderkey")
+    event = F.concat(F.lit("e"), month, "n_regionkey")
+    rows = o.select(
+        event.alias("DisNo."), F.concat(F.lit("s"), month).alias("sid"), F.when(key % 2 == 0, "ADM1").otherwise("ADM0").alias("level"), F.concat(F.lit("C"), "n_regionkey").alias("GID_0"), F.concat(F.lit("u"), "n_nationkey").alias("GID_1"),
+        F.concat(F.lit("I"), "n_regionkey").alias("iso3"), F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice") - 250000).otherwise(F.lit(0.0)).alias("Total Affected"),
+        (F.col("o_totalprice") / 10000).alias("perc_affected_pop_grid_region"), (key % 50).cast("double").alias("wind_speed"), F.col("c_acctbal").alias("population"), key.alias("_row"),
+        *(F.lit(1.0).alias(c) for c in [*ev.MEANS, "rainfall_max_24h", "N_events_5_years"]),
+    )
+    regions = parquet(spark, d, "region").select(F.concat(F.lit("I"), "r_regionkey").alias("iso3"), F.when(F.col("r_regionkey") % 2 == 0, "Caribbean").otherwise("Melanesia").alias("region"))
+    reports = o.select(event.alias("DisNo."), F.year("o_orderdate").alias("Start Year"), F.month("o_orderdate").alias("Start Month"), F.lit(None).cast("int").alias("Start Day")).distinct()
+    return rows, regions, reports
+
+
+@query(f"""
+    WITH {_PREPARED}, u AS (SELECT event, g0, g1, bool_or(total > 0) AS hit FROM x GROUP BY ALL), s AS (SELECT event, g0, avg(hit::INT) AS share FROM u GROUP BY ALL), n AS (SELECT g0, count(DISTINCT g1) AS n FROM x GROUP BY 1),
+    k AS (SELECT DISTINCT event FROM s JOIN n USING (g0) WHERE (share < 1 OR n = 1) AND event IN (SELECT event FROM x WHERE total > 100) AND event IN (SELECT event FROM x WHERE level <> 'ADM0'))
+    SELECT event, sid, level, g0, g1, iso3, CASE WHEN n_regionkey % 2 = 0 THEN 'North Atlantic' ELSE 'South Pacific' END AS basin, month AS date, max(wind)::DOUBLE AS wind_speed, max(total) AS affected, max(perc) AS perc, round(sum(bal), 2) AS population FROM x
+    WHERE event IN (FROM k) GROUP BY ALL
+""")
+def prepared_training(spark: SparkSession, d: str) -> DataFrame:
+    """The model's rows: usable events with basin and date, rolled up to regions."""
+    out = ev.prepared(*_training_rows(spark, d))
+    return out.select(
+        F.col("`DisNo.`").alias("event"), "sid", "level", F.col("GID_0").alias("g0"), F.col("GID_1").alias("g1"), "iso3", F.col("cyclone_basin").alias("basin"), "date", "wind_speed",
+        F.col("`Total Affected`").alias("affected"), F.col("perc_affected_pop_grid_region").alias("perc"), r("population", 2).alias("population"),
+    )
+
+
+@query("""
+    WITH x AS (SELECT 'e' || strftime(o_orderdate, '%Y') AS event, date_trunc('year', o_orderdate)::DATE AS date, c_nationkey AS iso3, o_totalprice - 200000 AS y FROM orders JOIN customer ON o_custkey = c_custkey),
+    t AS (SELECT DISTINCT event, date FROM x), m AS (SELECT t.event, x.iso3, median(y) AS m FROM t JOIN x ON x.date < t.date GROUP BY ALL), g AS (SELECT t.event, median(y) AS m FROM t JOIN x ON x.date < t.date GROUP BY 1)
+    SELECT x.event, x.iso3, x.y, greatest(coalesce(m.m, g.m), 0) AS prediction FROM x JOIN g USING (event) LEFT JOIN m ON m.event = x.event AND m.iso3 = x.iso3
+""")
+def leave_one_out_walk_forward(spark: SparkSession, d: str) -> DataFrame:
+    """Each year predicted by the medians of the years before it."""
+    from functools import reduce
+
+    from gridimpact.ml.models import Historical, leave_one_out
+
+    o = parquet(spark, d, "orders").join(parquet(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = o.select(F.concat(F.lit("e"), F.year("o_orderdate")).alias("DisNo."), F.to_date(F.date_trunc("year", "o_orderdate")).alias("date"), F.lit("N").alias("cyclone_basin"), F.col("c_nationkey").alias("iso3"), (F.col("o_totalprice") - 200000).alias("y"))
+    return reduce(DataFrame.unionByName, leave_one_out(rows, Historical(target="y"), "walk_forward", method="historical")).select("event", "iso3", "y", F.col("prediction_perc").alias("prediction"))
+
+
+@query(f"""
+    WITH {_SCORES}, k AS (SELECT *, CASE WHEN y <= 0 THEN 0 WHEN y <= 15 THEN 1 ELSE 2 END AS a, CASE WHEN p <= 0 THEN 0 WHEN p <= 15 THEN 1 ELSE 2 END AS b FROM s),
+    c AS (SELECT method, t.threshold, count(*) FILTER (y > threshold AND p > threshold) AS tp, count(*) FILTER (y <= threshold AND p > threshold) AS fp FROM s CROSS JOIN (VALUES (0.0::DOUBLE), (15.0::DOUBLE)) t(threshold) GROUP BY ALL),
+    e AS (SELECT method, round(avg(abs(y - p)), 6) AS mae, round(1 - avg((a - b) ** 2) / (avg(a * a) + avg(b * b) - 2 * avg(a) * avg(b)), 6) AS kappa FROM k GROUP BY 1)
+    SELECT method, threshold, tp, fp, mae, kappa FROM c JOIN e USING (method)
+""")
+def all_models(spark: SparkSession, d: str) -> DataFrame:
+    """Both kinds of metrics of all models in one table."""
+    return me.all_models(_scores(spark, d), "y", "p").select("method", "threshold", "tp", "fp", r("mae", 6).alias("mae"), r("kappa", 6).alias("kappa"))
+
+
+@query("""
+    WITH e AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS event, date_trunc('month', o_orderdate)::DATE AS date, strftime(o_orderdate, '%m') AS basin FROM orders)
+    SELECT event, date, basin, (SELECT count(*) FROM e b WHERE b.date < a.date) AS n_train FROM e a
+""")
+def ranked_events(spark: SparkSession, d: str) -> DataFrame:
+    """How many events a walk-forward model of each event is trained on."""
+    return ev.ranked_events(_months(spark, d)).select("event", "date", "basin", "n_train")
+
+
+@query("""
+    WITH p AS (SELECT l_partkey AS k, l_orderkey, l_linenumber, l_quantity AS q FROM lineitem)
+    SELECT k, arg_min(l_orderkey, (l_orderkey, l_linenumber)) AS l_orderkey, arg_min(q, (l_orderkey, l_linenumber)) AS q FROM p GROUP BY 1
+""")
+def first_of_each_key(spark: SparkSession, d: str) -> DataFrame:
+    """The first row of each key in a stated order."""
+    rows = parquet(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), "l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"))
+    return assemble.latest_by(rows, ["k"], ["l_orderkey", "l_linenumber"]).select("k", "l_orderkey", "q")
 
 
 # --- models: no SQL can say these, the tests hold them against brute force ----------------------------------------
@@ -679,11 +984,10 @@ def _learning(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def two_stage_predict(spark: SparkSession, d: str) -> DataFrame:
     """Two-stage predictions of the odd rows from the even ones."""
-    from gridimpact.ml.models import STAGE, TwoStage
+    from gridimpact.ml.models import TwoStage
 
     rows = _learning(spark, d)
-    quick = STAGE | {"maxIter": 5, "stepSize": 0.3}
-    model = TwoStage(["size", "price", "a", "b"], "y", "row_id", quick, quick)
+    model = TwoStage(["size", "price", "a", "b"], "y", "row_id")
     return model.train_and_predict(rows.where("row_id % 2 = 0"), rows.where("row_id % 2 = 1")).select("row_id", "predicted_bin", r("prediction_perc").alias("prediction_perc"))
 
 
@@ -696,7 +1000,25 @@ def shap_attributions(spark: SparkSession, d: str) -> DataFrame:
 
     features = ["size", "price", "a", "b"]
     rows = _learning(spark, d)
-    model = GBTRegressor(featuresCol="features", labelCol="y", **(STAGE | {"maxIter": 5, "stepSize": 0.3})).fit(vectors(rows, features))
+    model = GBTRegressor(featuresCol="features", labelCol="y", **STAGE).fit(vectors(rows, features))
     shap = attributions(rows, model, features, "row_id")
     both = model.transform(vectors(rows, features)).select("row_id", "prediction").join(shap, "row_id")
     return both.select("row_id", *(r(f"shap_{c}", 6).alias(f"shap_{c}") for c in features), r("total", 6).alias("total"), r("prediction", 6).alias("prediction"))
+
+
+@query()
+def boosted_predict(spark: SparkSession, d: str) -> DataFrame:
+    """The boosted baseline: predictions of the odd rows from the even ones, not below 0."""
+    from gridimpact.ml.models import Boosted
+
+    rows = _learning(spark, d)
+    out = Boosted(["size", "a"], "y").train_and_predict(rows.where("row_id % 2 = 0"), rows.where("row_id % 2 = 1"))
+    return out.select("row_id", r("prediction_perc").alias("prediction_perc"))
+
+
+@query()
+def top_features(spark: SparkSession, d: str) -> DataFrame:
+    """The three features with the largest mean absolute attribution."""
+    from gridimpact.ml.models import ranked_features
+
+    return ranked_features(shap_attributions(spark, d), ["size", "price", "a", "b"])

@@ -63,12 +63,23 @@ def country_list(units: DataFrame, column: str, configured: Sequence[str] | None
     return units.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column)
 
 
+def clear_settled(spark: SparkSession) -> None:
+    """Deletes the tables that `settled` wrote for this application; call it when no result is in use."""
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if where:
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{where}/stages/{context.applicationId}")
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the folder that all executors share and reads it back, so that later plans start there."""
     spark = df.sparkSession
     context = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="gridimpact-")
         context.setCheckpointDir(where)
     path = f"{where}/stages/{context.applicationId}/{name}-{uuid.uuid4().hex}"
