@@ -13,6 +13,7 @@ each other, and what this links counts as one component: the pivot that agrees w
 copies is the least altered one, and then another at random. Nodes whose blocks still touch several components are left.
 Linked sets also share one of their rarest shingles (a prefix in order of rarity), and those differ inside a group of near
 copies, so the nodes that are left meet on these; sizes and sketches are compared in the join itself.
+Rows without shingles take no part in any join, and rows of a set that very many share get their answer by a broadcast of bounded size.
 Hot blocks are pre-aggregated before they are shuffled, and the joins on them are left to adaptive skew splitting.
 
 Shingles, sets and nodes are 64-bit hashes. Defined results: null and empty texts, and texts of white space, have no
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 
 from gridimpact.llm.common import checkpointed, discard, release_shuffles, text_or_empty, written
 
+#: A set that more rows have than MANY, and than one in MOST of all, is answered where its rows are: those sets are few enough to broadcast.
+MANY, MOST = 64, 100_000
 #: Columns of the wide sketch, 64 bits each.
 SKETCH = [f"s{k}" for k in range(8)]
 _U = np.uint64
@@ -255,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = 5, per
     signed = written(sketched(docs, id_col, width, bands), "sketches")
     rows = written(signed.drop("sigs"), "nodes")
     full = rows.where("n > 0")
-    classes = full.groupBy("node").agg(F.min("id").alias("low"))
+    classes = full.groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"))
 
     blocks = signed.where("n > 0").select("node", F.explode("sigs").alias("sig"))
     shared = written(blocks.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig"), "shared")
@@ -302,16 +305,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = 5, per
         labels = components(links)
         release_shuffles(docs.sparkSession)
 
-    out = rows.select("id", "n", "node").join(classes, "node", "left")
+    answers = classes.withColumn("lowest", F.col("low"))
     if labels is not None:
         lowest = labels.join(classes, "node").groupBy("label").agg(F.min("low").alias("lowest"))
-        out = out.join(labels.join(lowest, "label").select("node", "lowest"), "node", "left")
-    else:
-        out = out.withColumn("lowest", F.col("low"))
-    empty: Column = F.col("n") == 0
-    return out.select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.when(~empty, F.col("node")).alias("node"),
-        F.when(empty, F.col("id")).otherwise(F.coalesce("lowest", "low")).alias("component_id"),
-    )
+        linked = labels.join(lowest, "label").select(F.col("node").alias("_node"), F.col("lowest").alias("_lowest"))
+        answers = classes.join(linked, classes.node == linked._node, "left").select("node", "copies", F.coalesce("_lowest", "low").alias("lowest"))
+    answers = written(answers.select("node", "copies", "lowest"), "answers")
+    limit = max(MANY, rows.count() // MOST)
+    often = F.col("copies") > limit  # of these there are at most MOST, or rows / MANY where rows are few
+    hot = full.select("id", "n", "node").join(F.broadcast(answers.where(often).select("node", "lowest")), "node", "left")
+    cold = hot.where("lowest IS NULL").drop("lowest").join(answers.where(~often).select("node", "lowest"), "node")
+    out = hot.where("lowest IS NOT NULL").unionByName(cold)
+    alone = rows.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("node"), F.col("id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "node", F.col("lowest").alias("component_id")).unionByName(alone)
