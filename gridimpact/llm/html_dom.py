@@ -20,7 +20,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("script style title iframe noembed noframes template".split())
 PLAIN = {"textarea": True, "xmp": False}
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder svg g text tspan object canvas".split()
 )
 #: Start tags that end an open element of one of the first names, if none of the others stands between.
 CLOSES = {

@@ -124,9 +124,11 @@ def quality_scores(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", folds: int = 4, held_out: int = 2, max_rows: int = 10_000, threshold: float = 0.7, keep: list[str] | None = None
 ) -> DataFrame:
     """id (and columns to keep), held_out, score and predicted of every document; labels of the held-out fold are never read."""
-    known = labels.where(F.col("quality").isin(0, 1) & (fold_of(F.col(id_col), folds) != held_out)).select(id_col, F.col("quality").alias("label"))
-    chosen = bounded_sample(known, id_col, max_rows)
-    sample = written(statistics(docs.join(F.broadcast(chosen), id_col), ["label"]).coalesce(4), "sample")
+    known = labels.where(F.col("quality").isin(0, 1) & (fold_of(F.col(id_col), folds) != held_out))
+    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max("quality").alias("label"))
+    chosen = bounded_sample(known, "id", max_rows)
+    rows = docs.select(F.col(id_col).alias("id"), "text").join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    sample = written(statistics(rows, ["label"]).coalesce(4), "sample")  # an identifier is learned from once
     model = fit(sample)
     keep = [id_col, *(c for c in keep or [] if c != id_col and c not in OUTPUTS)]
     scored = statistics(docs, keep).withColumn("_score", model.score())

@@ -77,6 +77,19 @@ def test_exact_dedup_salts_hot_texts(spark):
     assert {(r.keep_id, r.group_size) for r in out} == {(599, 300)} and [r.doc_id for r in out if r.kept] == [599]
 
 
+def test_exact_dedup_keeps_one_of_repeated_rows_and_all_columns(spark):
+    names = ["doc_id", "text", "_key", "_code", "_Salt", "_rank", "note"]
+    rows = [(7 if i % 3 else None, "same", i, i, i, i, f"n{i % 4}") for i in range(300)] + [(i, f"t{i}", i, i, i, i, None) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key long, _code long, _Salt long, _rank long, note string")
+    for keep in ("smallest", "largest"):
+        out = exact_dedup(df, keep=keep, hot_share=0.01)
+        assert out.columns == [*names, "keep_id", "group_size", "kept", "text_sha256"]
+        found = out.collect()
+        assert sorted(r["_key"] for r in found) == sorted(r[2] for r in rows)
+        assert [(r.doc_id, r.keep_id, r.group_size) for r in found if r.kept and r.text == "same"] == [(7, 7, 300)]
+        assert sum(r.kept for r in found) == 51
+
+
 def brute_removed(texts: list[bytes], length: int) -> list[tuple[int, int, str]]:
     counts = Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
     out = []
@@ -266,6 +279,17 @@ def test_quality_classifier(spark, tables, docs, none):
     assert quality_classifier.quality_scores(none, labels).count() == 0
 
 
+def test_score_is_the_sum_of_its_rules(spark, tables):
+    documents, labels, _ = tables
+    stats = quality_classifier.statistics(documents.limit(60), ["doc_id"])
+    rules = [(0.7, (("_stat_words", True, 20.0),)), (-1.3, (("_stat_words", False, 200.0), ("_stat_long_words", False, 0.5)))]
+    rules = [(w, tuple((n if n in quality_classifier.STATISTICS else quality_classifier.STATISTICS[0], a, t) for n, a, t in r)) for w, r in rules]
+    model = quality_classifier.RuleModel(0.2, rules)
+    for row in stats.withColumn("score", model.score()).collect():
+        logit = 0.2 + sum(w for w, rule in rules if all((row[n] > t) == above for n, above, t in rule))
+        assert row.score == pytest.approx(1 / (1 + math.exp(-logit)))
+
+
 def test_tree_rules_are_conjunctions():
     assert quality_classifier.simplified((("a", True, 1.0), ("b", False, 2.0), ("a", True, 3.0), ("b", False, 1.0))) == (("a", True, 3.0), ("b", False, 1.0))
 
@@ -350,6 +374,31 @@ def test_html(spark, tables):
     assert right >= 0.95 * len(sources)
 
 
+def test_html_without_article_tags_and_with_strange_parts(spark, tables):
+    pages = tables[2]
+    rename = lambda s: re.sub(r"(</?)(nav|article|footer)>", lambda m: m[1] + ("div>" if m[1] == "</" else {"nav": 'div class="main-menu">', "article": 'div class="blog-post">', "footer": 'div id="page_footer">'}[m[2]]), s)
+    rows = [(r.page_id, r.url, rename(r.html)) for r in pages.collect()]
+    whole = {r.page_id: r.text for r in html_extract.main_text(pages, max_pages=120).collect()}
+    out = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, pages.select("page_id", "url", "html").schema), max_pages=120).collect()}
+    assert sum(out[k] == whole[k] for k in whole) >= 0.95 * len(whole)
+    assert html_extract.main_text(pages.where("false")).count() == 0
+    nulls = spark.createDataFrame([(1, None, None), (None, "u", ""), (1, None, None)], "page_id long, url string, html string")
+    assert [(r.text, r.n_chars) for r in html_extract.main_text(nulls).collect()] == [("", 0)] * 3
+
+
+def test_html_reader_keeps_shown_text_and_is_linear():
+    import time
+
+    blocks = lambda s: [t for _, t in html_dom.Page(s).blocks]
+    assert blocks("<p>x <math><mi>a</mi></math></p><xmp>b <i>c &amp;</xmp><textarea>q &amp; <p></textarea>") == ["x a", "b <i>c &amp;", "q & <p>"]
+    assert blocks("<object><object>in</object>out</object> AT&am<b>p;</b>T<svg><text> v</text></svg>") == ["inout AT&amp;T v"]
+    assert blocks("<template>a<template>b</template>c</template>d<!-- e > -->f<title>g</title>") == ["df"]
+    for hostile in ("<div>", "<li>", '<a "', "<a b='\">", "<script</script", "<!--", "<", "<p><b>", "<template>"):
+        start = time.time()
+        html_dom.Page(hostile * 100_000)
+        assert time.time() - start < 20
+
+
 def test_html_tree_and_decoding():
     page = html_dom.Page("<body><nav><ul><li><a href=x>A</a><li>B</ul></nav><p>one<p>two &lt; <b>three</b>\n four<br>five</p><script>var t='</p>';</script>six")
     assert [t for _, t in page.blocks] == ["A", "B", "one", "two < three four five", "six"]
