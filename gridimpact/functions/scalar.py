@@ -25,6 +25,19 @@ def wrap_longitude(lon: Column) -> Column:
     return F.when(lon > 180, lon - 360).otherwise(lon)
 
 
+#: Fixed value: the radius of the sphere of web maps, in metres.
+SPHERE = 6_378_137.0
+
+
+def to_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """x and y in metres (EPSG:3857) of degrees (EPSG:4326)."""
+    return F.radians(lon) * SPHERE, F.log(F.tan(F.radians(45 + lat / 2))) * SPHERE
+
+
+def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
+    return F.degrees(x / SPHERE), 2 * F.degrees(F.atan(F.exp(y / SPHERE))) - 90
+
+
 def crosses_zero(low: Column, high: Column) -> Column:
     return (low < 0) & (high > 0)
 
@@ -83,8 +96,12 @@ def admin_units(text: Column) -> tuple[Column, Column]:
 
     One first-level code makes the report first-level; a report without any code, or one that cannot be read, is national.
     """
-    json = F.regexp_replace(text, r":\s*None", ": null")
-    units = F.from_json(json, "array<struct<adm1_code:int,adm2_code:int>>", {"allowSingleQuotes": "true"})
+    json = text
+    for literal, same in (("None", "null"), ("True", "true"), ("False", "false")):  # where a value stands, not inside a string
+        json = F.regexp_replace(json, rf":\s*{literal}\s*(?=[,}}])", f": {same}")
+    read = F.from_json(json, "array<struct<adm1_code:string,adm2_code:string>>", {"allowSingleQuotes": "true"})
+    number = lambda c: c.try_cast("double").try_cast("int")  # noqa: E731  # 12.0 is a code like 12
+    units = F.transform(read, lambda u: F.struct(number(u["adm1_code"]).alias("adm1_code"), number(u["adm2_code"]).alias("adm2_code")))
     codes = lambda field: F.filter(F.transform(units, lambda u: u[field]), lambda c: c.isNotNull())
     first = codes("adm1_code")
     second = F.transform(F.filter(units, lambda u: u["adm1_code"].isNull() & u["adm2_code"].isNotNull()), lambda u: u["adm2_code"])

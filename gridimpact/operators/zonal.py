@@ -39,6 +39,12 @@ def class_shares(pixels: DataFrame, keys: list[str], of: str = "class") -> DataF
     return counts.select(*keys, *(F.try_divide(F.col(k).cast("double"), total).alias(k) for k in kinds))
 
 
+def clipped(pixels: DataFrame, low: tuple[float, float], high: tuple[float, float], value: str, missing: float = NO_CLASS) -> DataFrame:
+    """Pixels (lon, lat) inside a box, edges included, with the missing value as null."""
+    inside = F.col("lon").between(low[0], high[0]) & F.col("lat").between(low[1], high[1])
+    return pixels.where(inside).withColumn(value, F.nullif(F.col(value), F.lit(missing)))
+
+
 def first_pixel(pixels: DataFrame, keys: list[str], value: str, fill: float = 29_999.0, scale: float = 10.0) -> DataFrame:
     """The value of each cell's north-western pixel (lat, lon), scaled; cells where that is a fill value drop out."""
     first = pixels.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("lat"), F.col("lon"))).alias("v"))

@@ -771,6 +771,28 @@ def wrapped_longitudes(spark: SparkSession, d: str) -> DataFrame:
     return out.select("country", r("low", 6).alias("low"), r("high", 6).alias("high"), scalar.crosses_zero(F.col("low"), F.col("high")).alias("crosses"))
 
 
+@query("""
+    SELECT event_id, round(value - 20, 6) AS lon, CAST(user_id % 160 - 80 AS DOUBLE) AS lat, nullif(event_id % 130, 128) AS class FROM events WHERE value - 20 BETWEEN -10.5 AND 30 AND user_id % 160 - 80 BETWEEN -60 AND 60
+""")
+def clipped_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels inside a country's box, fill values masked."""
+    pixels = parquet(spark, d, "events").select("event_id", (F.col("value") - 20).alias("lon"), (F.col("user_id") % 160 - 80).cast("double").alias("lat"), (F.col("event_id") % 130).alias("class"))
+    return zonal.clipped(pixels, (-10.5, -60.0), (30.0, 60.0), "class").withColumn("lon", r("lon", 6))
+
+
+@query("""
+    WITH p AS (SELECT c_custkey AS id, c_custkey % 360 - 180 AS lon, c_custkey % 160 - 80 AS lat FROM customer)
+    SELECT id, round(radians(lon) * 6378137, 3) AS x, round(ln(tan(radians(45 + lat / 2))) * 6378137, 3) AS y, lon::DOUBLE AS lon, lat::DOUBLE AS lat FROM p
+""")
+def web_map_places(spark: SparkSession, d: str) -> DataFrame:
+    """Degrees to metres of web maps and back."""
+    k = F.col("c_custkey")
+    x, y = scalar.to_mercator(k % 360 - 180, k % 160 - 80)
+    rows = parquet(spark, d, "customer").select(k.alias("id"), x.alias("x"), y.alias("y"))
+    lon, lat = scalar.from_mercator(F.col("x"), F.col("y"))
+    return rows.select("id", r("x", 3).alias("x"), r("y", 3).alias("y"), (r(lon, 6) + 0.0).alias("lon"), (r(lat, 6) + 0.0).alias("lat"))
+
+
 @query("""
     WITH p AS (SELECT c_custkey AS id, round(c_acctbal / 7, 6) AS lat, round(c_nationkey / 3.0, 6)::DOUBLE AS lon FROM customer), u AS (SELECT lat, lon, min(id) AS idx FROM p GROUP BY ALL)
     SELECT id, idx FROM p JOIN u USING (lat, lon)

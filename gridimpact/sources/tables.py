@@ -46,6 +46,11 @@ def write_stage(df: DataFrame, path: str, by: Sequence[str] = (), append: bool =
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
+    """Comma-separated files with a header, a file for each task; missing values are empty."""
+    df.write.mode("append" if append else "overwrite").option("header", True).csv(path)
+
+
 def not_done(work: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Work whose keys are not among those done: resuming a stage."""
     return work.join(done.select(*keys).distinct(), list(keys), "left_anti")

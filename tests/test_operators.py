@@ -27,10 +27,10 @@ def test_prior_events_do_not_count_the_same_day(spark):
 
 
 def test_admin_literals(spark):
-    texts = ["[{'adm1_code': 12}, {'adm2_code': 3}]", "[{'adm2_code': 3, 'n': None}]", None, "bad", "[]"]
+    texts = ["[{'adm1_code': 12}, {'adm2_code': 3}]", "[{'adm2_code': 3, 'n': None}]", None, "bad", "[]", "[{'adm1_code': 12.0, 'whole': True, 'n': 'so: None'}]"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, `Admin Units` string")
     out = [(r.level, r.codes) for r in impact.parsed_reports(df).orderBy("i").collect()]
-    assert out == [("ADM1", [12]), ("ADM2", [3]), ("ADM0", []), ("ADM0", []), ("ADM0", [])]
+    assert out == [("ADM1", [12]), ("ADM2", [3]), ("ADM0", []), ("ADM0", []), ("ADM0", []), ("ADM1", [12])]
 
 
 def test_impact_share(spark):
@@ -226,6 +226,9 @@ def test_sources(spark, tmp_path):
     assert {(r.iso3, r.s) for r in spark.read.parquet(path).collect()} == {("A", ""), ("B", "y")}  # A's partition stays, B's is replaced
     df.write.option("header", True).csv(str(tmp_path / "csv"))
     assert tables.csv(spark, str(tmp_path / "csv"), "iso3 string, v double, s string").count() == 2
+    tables.write_csv(df, str(tmp_path / "out"))
+    tables.write_csv(df, str(tmp_path / "out"), append=True)
+    assert tables.csv(spark, str(tmp_path / "out"), "iso3 string, v double, s string").groupBy("iso3").count().where("count = 2").count() == 2
     with pytest.raises(ValueError):
         tables.require(df, ["region"])
     assert [r.iso3 for r in tables.country_list(df, "iso3", ["FJI"]).collect()] == ["FJI"]
