@@ -10,7 +10,7 @@ difference), and at last by the sets themselves. No link between different texts
 
 Equal sets are one node of the graph. Nodes that agree on a block are first compared with one pivot of the block, not with
 each other, and what this links counts as one component: the pivot that agrees with most others, which in a group of near
-copies is the least altered one, and then another at random. Nodes whose blocks still touch several components are left.
+copies is the least altered one, and then others at random as long as they link many. Nodes whose blocks still touch several components are left.
 Linked sets also share one of their rarest shingles (a prefix in order of rarity), and those differ inside a group of near
 copies, so the nodes that are left meet on these; sizes and sketches are compared in the join itself.
 Rows without shingles take no part in any join, and rows of a set that very many share get their answer by a broadcast of bounded size.
@@ -287,23 +287,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = 5, per
     check = _Links(written(sets.select("node", "n", *SKETCH, "shingles"), "sets"), percent)
     release_shuffles(docs.sparkSession)
 
-    links, labels = None, None
-    for turn in ("popular", "random", "rest"):
+    links, labels, turn, worth = None, None, 0, True
+    while True:
         open_ = written(_open(members, labels), f"open-{turn}")
         if open_.isEmpty():
             break
-        if turn == "rest":
-            pairs = check.that_meet(open_.select("node", "label").distinct())
-        else:
-            order = -F.col("o") if turn == "popular" else F.xxhash64("node")
+        if worth:
+            order = -F.col("o") if turn == 0 else F.xxhash64("node", F.lit(turn))
             pivots = open_.groupBy("sig").agg(F.min(F.struct(order.alias("o"), "node", "label")).alias("p"))
             to = open_.join(pivots, "sig").where("label != p.label").groupBy("node").agg(F.min("p").alias("p"))
             pairs = check.with_pivots(to.select(F.col("node").alias("a"), F.col("p.node").alias("b")))
+        else:
+            pairs = check.that_meet(open_.select("node", "label").distinct())
         found = written(check.verified(pairs), "links")
-        discard(open_)
         links = found if links is None else links.union(found)
         labels = components(links)
+        last = not worth
+        worth = 20 * found.count() >= open_.select("node").distinct().count()  # pivots go on while they link one node in twenty
+        discard(open_)
         release_shuffles(docs.sparkSession)
+        if last:
+            break
+        turn += 1
 
     answers = classes.withColumn("lowest", F.col("low"))
     if labels is not None:
