@@ -251,6 +251,14 @@ def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return with_label.join(_met(with_label, "label"), "sig")
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, count: str, limit: int) -> DataFrame:
+    """rows with the `lowest` of their key from a table of all keys; keys with more rows than the limit, which are at most MOST (or rows / MANY, where rows are few), by a broadcast."""
+    often = F.col(count) > limit
+    hot = rows.join(F.broadcast(table.where(often).select(key, "lowest")), key, "left")
+    cold = hot.where("lowest IS NULL").drop("lowest").join(table.where(~often).select(key, "lowest"), key)
+    return hot.where("lowest IS NOT NULL").unionByName(cold)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = 5, percent: int = 80, growth: float = 1.5) -> DataFrame:
     """id, n_shingles, node (equal for equal sets, null for empty ones) and component_id of every document."""
     bands = Bands(percent, growth)
@@ -310,16 +318,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = 5, per
             break
         turn += 1
 
+    limit = max(MANY, rows.count() // MOST)
     answers = classes.withColumn("lowest", F.col("low"))
     if labels is not None:
-        lowest = labels.join(classes, "node").groupBy("label").agg(F.min("low").alias("lowest"))
-        linked = labels.join(lowest, "label").select(F.col("node").alias("_node"), F.col("lowest").alias("_lowest"))
+        lowest = written(labels.join(classes, "node").groupBy("label").agg(F.min("low").alias("lowest"), F.count(F.lit(1)).alias("members")), "lowest")
+        linked = _looked_up(labels, lowest, "label", "members", limit).select(F.col("node").alias("_node"), F.col("lowest").alias("_lowest"))
         answers = classes.join(linked, classes.node == linked._node, "left").select("node", "copies", F.coalesce("_lowest", "low").alias("lowest"))
     answers = written(answers.select("node", "copies", "lowest"), "answers")
-    limit = max(MANY, rows.count() // MOST)
-    often = F.col("copies") > limit  # of these there are at most MOST, or rows / MANY where rows are few
-    hot = full.select("id", "n", "node").join(F.broadcast(answers.where(often).select("node", "lowest")), "node", "left")
-    cold = hot.where("lowest IS NULL").drop("lowest").join(answers.where(~often).select("node", "lowest"), "node")
-    out = hot.where("lowest IS NOT NULL").unionByName(cold)
+    out = _looked_up(full.select("id", "n", "node"), answers, "node", "copies", limit)
     alone = rows.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("node"), F.col("id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "node", F.col("lowest").alias("component_id")).unionByName(alone)
