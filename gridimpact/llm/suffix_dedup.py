@@ -9,8 +9,8 @@ their whole prefix, and equal prefixes end up adjacent. Both sorts run in hash b
 about a megabyte of text; a chunk sends each name once, however often it holds it, so a passage that a third of all
 documents share costs a bucket one entry a chunk. Equal documents go through the second sort as one.
 
-Names are 80-bit hashes (48 of them in the first sort, which only narrows the search), so bytes are never compared themselves: among n
-places that the second sort names, n * n / 2^81 pairs are taken for equal by chance. Lineage is cut with tables in the shared folder.
+Names are 64-bit hashes (48 of them in the first sort, which only narrows the search), so bytes are never compared themselves: among n
+places that the second sort names, n * n / 2^65 pairs are taken for equal by chance. Lineage is cut with tables in the shared folder.
 
 Defined results: null and empty texts, and texts shorter than `length`, lose nothing; repeated rows are separate
 documents, so each loses what the other has too; an empty table gives an empty table; extra columns are ignored.
@@ -30,8 +30,6 @@ from pyspark.sql import types as T
 from gridimpact.llm.common import discard, release_shuffles, text_or_empty, written
 
 _U = np.uint64
-#: A name: 80 bits, the first eight bytes by themselves for speed.
-NAME = np.dtype([("high", "<u8"), ("low", "<u2")])
 CHUNK_BYTES = 1 << 20
 #: A text that more documents have than MANY, and than one in MOST of all, meets its copies by a broadcast of bounded size.
 MANY, MOST = 64, 100_000
@@ -71,17 +69,12 @@ def cover_for(length: int) -> tuple[int, list[int]]:
 
 
 def names_at(raw: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
-    """A hash of the `size` bytes at each place: 64 bits, and 16 of another."""
-    out, other = np.full(len(places), size, np.uint64), np.zeros(len(places), np.uint64)
+    """A hash of the `size` bytes at each place."""
+    out = np.full(len(places), size, np.uint64)
     words = np.ndarray((max(0, len(raw) - 7),), np.dtype("<u8"), raw, strides=(1,)) if size >= 8 and len(places) else raw
     for k in range(size) if size < 8 else [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]:
-        word = words[places + k].astype(np.uint64)
-        out = mixed(out ^ word)
-        other = (other ^ word) * _U(0xD6E8FEB86659FD93)
-        other ^= other >> _U(32)
-    names = np.zeros(len(places), NAME)
-    names["high"], names["low"] = out, mixed(other) & _U(0xFFFF)
-    return names
+        out = mixed(out ^ words[places + k].astype(np.uint64))
+    return out
 
 
 def sampled_places(n: int, length: int, cover: tuple[int, list[int]]) -> np.ndarray:
@@ -159,26 +152,18 @@ def chunked(docs: DataFrame, id_col: str) -> DataFrame:
 
 
 def _packed(names: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(names).view(np.uint8).reshape(-1, NAME.itemsize)[:, :width].tobytes()
+    return names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def _unpacked(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, NAME.itemsize), np.uint8)
+    out = np.zeros((len(data) // width, 8), np.uint8)
     out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.view(NAME).ravel()
-
-
-def _in_order(names: np.ndarray) -> np.ndarray:
-    """Places of the names in order: by the high part, and only where that is equal by the low one."""
-    order = np.argsort(names["high"], kind="stable")
-    high, low = names["high"][order], names["low"][order]
-    tied = np.flatnonzero(np.concatenate([[False], high[1:] == high[:-1]]) & np.concatenate([[False], low[1:] < low[:-1]]))
-    return np.lexsort((names["low"], names["high"])) if len(tied) else order
+    return out.view("<u8").ravel()
 
 
 def _bucket(names: np.ndarray, n: int) -> np.ndarray:
     """The bucket of each name by its high bits, so it rises with the name."""
-    return (((names["high"] >> _U(32)) * _U(n)) >> _U(32)).astype(np.int64)
+    return (((names >> _U(32)) * _U(n)) >> _U(32)).astype(np.int64)
 
 
 def _in_buckets(chunk: int, names: np.ndarray, n: int, width: int) -> pa.RecordBatch:
@@ -199,7 +184,7 @@ def repeated_names(dealt: DataFrame, width: int) -> DataFrame:
         group = group.combine_chunks()
         parts = [_unpacked(x, width) for x in group.column("names").to_pylist()]
         names = np.concatenate(parts)
-        order = _in_order(names)
+        order = np.argsort(names, kind="stable")
         same = names[order[1:]] == names[order[:-1]]  # neighbours in order
         twice = np.zeros(len(names), bool)
         twice[order[1:]] |= same
@@ -224,12 +209,8 @@ def _marks(names: np.ndarray, twice_here: np.ndarray, found: list | None, n: int
 
 def _distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct names, which of them occur twice, and each name's place among them."""
-    order = _in_order(names)
-    own = names[order]
-    first = np.concatenate([[True], own[1:] != own[:-1]]) if len(own) else np.zeros(0, bool)
-    at, place = np.cumsum(first) - 1, np.zeros(len(names), np.int64)
-    place[order] = at
-    return own[first], np.bincount(at, minlength=int(first.sum())) > 1, place
+    own, place, count = np.unique(names, return_inverse=True, return_counts=True)
+    return own, count > 1, place
 
 
 def _block_names(sizes: list[int], body: bytes, length: int, cover: tuple[int, list[int]]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -240,7 +221,7 @@ def _block_names(sizes: list[int], body: bytes, length: int, cover: tuple[int, l
         places.append(own)
         names.append(names_at(raw, own + at, length - cover[0] + 1))
         at += n
-    return (np.concatenate(names) if names else np.zeros(0, NAME)), places
+    return (np.concatenate(names) if names else np.zeros(0, np.uint64)), places
 
 
 def _runs(n: int, starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -266,7 +247,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", length: int = 200) -
         for batch in batches:
             for chunk, sizes, body in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 names, _ = _block_names(sizes, body, length, cover)
-                yield _in_buckets(chunk, _distinct(names)[0], n1, 6)
+                yield _in_buckets(chunk, np.unique(names), n1, 6)
 
     blocks = chunks.select("chunk", "sizes", "body").mapInArrow(deal_blocks, "bucket int, chunk long, names binary")
     found = written(repeated_names(blocks, 6), "blocks")
@@ -317,7 +298,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", length: int = 200) -
     release_shuffles(spark)
 
     def windows(sizes: list[int], hits: list, body: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
-        raw, at, names, starts = np.frombuffer(body, np.uint8), 0, [np.zeros(0, NAME)], []
+        raw, at, names, starts = np.frombuffer(body, np.uint8), 0, [np.zeros(0, np.uint64)], []
         for n, h in zip(sizes, hits, strict=True):
             own = covered_starts(n, np.array(h or [], np.int64), length, period)
             starts.append(own)
@@ -330,12 +311,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", length: int = 200) -
             for k in range(batch.num_rows):
                 chunk, sizes, hits, body = (batch.column(i)[k].as_py() for i in range(4))
                 if any(hits):
-                    yield _in_buckets(chunk, _distinct(windows(sizes, hits, body)[0])[0], n2, NAME.itemsize)
+                    yield _in_buckets(chunk, np.unique(windows(sizes, hits, body)[0]), n2, 8)
 
     n_hits = picked.select(F.explode("hits").alias("h")).agg(F.sum(F.size("h"))).first()[0] or 0
     n2 = max(1, 20 * n_hits // BUCKET_NAMES + 1)  # about 20 starts for a block, if neighbours are found too
     dealt = picked.select("chunk", "sizes", "hits", "body").mapInArrow(deal_windows, "bucket int, chunk long, names binary")
-    second = written(repeated_names(dealt, NAME.itemsize), "windows")
+    second = written(repeated_names(dealt, 8), "windows")
     release_shuffles(spark)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
