@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from gridimpact.llm.bpe import bpe_digest
 from gridimpact.llm.common import table
+from gridimpact.llm.conversation_repair import damaged, repaired
 from gridimpact.llm.exact_dedup import exact_dedup
+from gridimpact.llm.fingerprints import with_successors
 from gridimpact.llm.html_extract import main_text
 from gridimpact.llm.jaccard_join import near_duplicates
 from gridimpact.llm.mixing import mixing_rates
+from gridimpact.llm.periodic_runs import planted, runs_digest
 from gridimpact.llm.quality_classifier import quality_scores
 from gridimpact.llm.quality_rules import CLASSES, COMMON_WORDS, N_WORDS, quality_rules
 from gridimpact.llm.secret_scan import KINDS, secret_digest
@@ -69,6 +72,18 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_successors(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(damaged(table(spark, sf_dir, "conversations")), present_col="present")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_digest(table(spark, sf_dir, "documents"), edit=planted)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -80,8 +95,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_html_extract": op10_html_extract,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
+
 def _secret_sql(scope: int = 400) -> str:
     kinds = ", ".join("({}, '{}', '{}')".format(k, name, pattern.replace("'", "''")) for k, (name, pattern) in enumerate(KINDS.items()))
     spans = lambda test: f"coalesce(string_agg(name || ':' || b || ':' || e, ',' ORDER BY b, kind) FILTER ({test}), '')"
