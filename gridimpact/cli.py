@@ -26,12 +26,11 @@ def dataset(spark: SparkSession, inputs: str, output: str, join_on: str) -> None
 
 
 def models(spark: SparkSession, training: str, regions: str, reports: str, output: str, name: str, strategy: str, cells: bool) -> None:
-    """Writes a partition of predictions for each event."""
+    """Writes a partition of predictions for each event, all folds in one run."""
     table: DataFrame = spark.read.parquet(training)
     named = require(spark.read.parquet(regions), ["iso3", "region"])
     rows = prepared(table, named, spark.read.parquet(reports), aggregate=not cells)
-    for predictions in leave_one_out(rows, model_of(name), strategy, method=name):
-        write_stage(predictions, output, ["method", "event"])
+    write_stage(leave_one_out(rows, model_of(name), strategy, method=name), output, ["method", "event"])
 
 
 def evaluate(spark: SparkSession, predictions: str, output: str) -> None:

@@ -72,6 +72,34 @@ def balanced(rows: DataFrame, target: str, times: float, key: str | Sequence[str
     return ones.unionByName(zeros.drop("_o", "_p"))
 
 
+def chosen_models(rows: DataFrame, models: str, target: str, times: float, key: Sequence[str], out: str, seed: int = 42, all_without: bool = False) -> DataFrame:
+    """rows with those of their models (an array of numbers) that they are balanced into, in a new column.
+
+    For each model by itself, all rows of class 1 and the rows of class 0 with the smallest keyed hashes, `times` as many as class 1
+    at most; rows with equal keys come or go together. all_without: a model without class 1 takes all of class 0. One limit for each model is found
+    for all of them at once: from counts by the hash's first digits, then in order among the rows of one 65,536th.
+    """
+    own = F.concat_ws(":", F.lit(seed), *(F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")) for k in key))
+    rows = rows.withColumn("_o", F.md5(own))
+    pairs = rows.select(F.explode(models).alias("m"), F.col(target).alias("y"), "_o", F.substring("_o", 1, 4).alias("p"))
+    counts = pairs.groupBy("m", "p").agg(F.count_if(F.col("y") == 1).alias("ones"), F.count_if(F.col("y") == 0).alias("zeros"))  # at most 65,536 rows a model
+    w = Window.partitionBy("m")
+    limit = F.floor(F.lit(times) * F.sum("ones").over(w))
+    placed = counts.select("m", "p", "zeros", limit.alias("limit"), (F.sum("zeros").over(w.orderBy("p")) - F.col("zeros")).alias("before"))
+    edges = placed.where("zeros > 0 AND before <= limit AND before + zeros > limit" + (" AND limit > 0" if all_without else ""))
+    found = {e.m: [e.p, e.limit - e.before] for e in edges.collect()}  # a row for each model
+    if found:
+        near = pairs.where("y = 0").join(F.broadcast(edges.select("m", "p", (F.col("limit") - F.col("before")).alias("need"))), ["m", "p"])
+        ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("m").orderBy("_o"))).where("n <= need")
+        for e in ranked.groupBy("m").agg(F.max("_o").alias("last")).collect():
+            found[e.m][0] = e.last
+    if not found:
+        return rows.withColumn(out, F.col(models)).drop("_o")
+    last = F.array(*(F.lit(found[m][0] if m in found else "~") for m in range(max(found) + 1)))  # the largest hash that a model takes; all hashes are below "~"
+    takes = lambda m: (F.col(target) == 1) | (F.col("_o") <= F.coalesce(F.get(last, m), F.lit("~")))
+    return rows.withColumn(out, F.filter(models, takes)).drop("_o")
+
+
 def folds(events: DataFrame, strategy: str) -> DataFrame:
     """test_event and train_event of leave-one-out folds; events: event, date, basin. Events without a fold to train on do not occur."""
     e = events.distinct()

@@ -76,9 +76,10 @@ def all_models(predictions: DataFrame, target: str, predicted: str) -> DataFrame
     return binary_metrics(predictions, target, predicted, ["method"]).join(distance_metrics(predictions, target, predicted, ["method"]), "method")
 
 
-def regional_median(train: DataFrame, test: DataFrame, region: str, target: str, out: str = "prediction_perc") -> DataFrame:
-    """The region's median in the training rows, or else that of all, and not below 0."""
-    own = medians(train.where(F.col(region).isNotNull()), [region], target, "_m")
-    whole = medians(train, [], target, "_all")
-    rows = test.join(own, region, "left").join(F.broadcast(whole), how="left")  # one row
+def regional_median(train: DataFrame, test: DataFrame, region: str, target: str, out: str = "prediction_perc", by: Sequence[str] = ()) -> DataFrame:
+    """The region's median in the training rows (of each `by`), or else that of all, and not below 0."""
+    own = medians(train.where(F.col(region).isNotNull()), [*by, region], target, "_m")
+    whole = medians(train, by, target, "_all")
+    rows = test.join(own, [*by, region], "left")
+    rows = rows.join(whole, list(by), "left") if by else rows.join(F.broadcast(whole), how="left")  # one row
     return rows.withColumn(out, F.greatest(F.coalesce("_m", "_all"), F.lit(0.0))).drop("_m", "_all")

@@ -9,15 +9,13 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridimpact.functions.scalar import SEVERE
-from gridimpact.ml.events import balanced, folds
+from gridimpact.ml.boosting import Boosting, Forest, Spec, cut_points, number, predicted, train
+from gridimpact.ml.boosting import prepared as binned_rows
+from gridimpact.ml.events import chosen_models, folds
 from gridimpact.ml.metrics import regional_median
 from gridimpact.operators.assemble import FEATURES
 from gridimpact.sources.tables import settled
@@ -25,47 +23,56 @@ from gridimpact.sources.tables import settled
 #: What tells rows of the training table apart, of cells or of regions.
 KEYS = ("DisNo.", "sid", "id", "GID_0", "GID_1", "GID_2")
 TARGET = "perc_affected_pop_grid_region"
-#: Boosting rounds, depth, learning rate and sampling of both stages.
-STAGE = {"maxIter": 100, "maxDepth": 4, "stepSize": 0.01, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 0}
+#: Boosting rounds, depth, learning rate, gamma and sampling of both stages.
+STAGE = Boosting(rounds=100, depth=4, step=0.01, subsample=0.8, columns=0.8, gamma=0.5, least_weight=1.0, seed=0)
 #: The same for the baselines.
-BASELINE = {"maxIter": 100, "maxDepth": 4, "stepSize": 0.01, "seed": 42}
+BASELINE = Boosting(rounds=100, depth=4, step=0.01, subsample=1.0, columns=1.0, gamma=0.0, least_weight=1.0, seed=42)
 
 
-def vectors(rows: DataFrame, features: list[str], out: str = "features") -> DataFrame:
-    """rows with a feature vector; missing features count as 0."""
-    return VectorAssembler(inputCols=[f"_f{k}" for k in range(len(features))], outputCol=out).transform(
-        rows.withColumns({f"_f{k}": F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for k, c in enumerate(features)})
-    ).drop(*(f"_f{k}" for k in range(len(features))))
+def _key(rows: DataFrame, key: str | Sequence[str] | None) -> list[str]:
+    return [key] if isinstance(key, str) else list(key or [c for c in KEYS if c in rows.columns] or rows.columns)
+
+
+def _written_key(columns: Sequence[str]) -> Column:
+    return F.concat_ws(":", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns))
 
 
 @dataclass
 class TwoStage:
-    """A classifier finds affected rows, a regressor trained on affected rows says how much; the others are 0."""
+    """A classifier finds affected rows, a regressor trained on affected rows says how much; the others are 0.
+
+    Both stages, for all models asked for, grow in one training job: the model of fold k is the pair of forest models 2k and 2k + 1.
+    """
 
     features: list[str] = field(default_factory=lambda: list(FEATURES))
     target: str = TARGET
     key: str | Sequence[str] | None = None  # columns that tell rows apart; else those of KEYS that there are
-    classes: dict = field(default_factory=lambda: dict(STAGE))
-    amounts: dict = field(default_factory=lambda: dict(STAGE))
-
-    def fit(self, train: DataFrame, u1: float = 3, u2: float = 3) -> TwoStage:
-        key = self.key or [c for c in KEYS if c in train.columns] or train.columns
-        rows = vectors(train, self.features).withColumn("hit", (F.col(self.target) > 0).cast("double"))
-        self.classifier = GBTClassifier(featuresCol="features", labelCol="hit", **self.classes).fit(balanced(rows, "hit", u1, key))
-        some = rows.where("hit = 1").withColumn("severe", (F.col(self.target) >= SEVERE).cast("double"))
-        severe = balanced(some, "severe", u2, key)
-        if severe.isEmpty():  # no severe row to balance on
-            severe = some
-        self.regressor = GBTRegressor(featuresCol="features", labelCol=self.target, **self.amounts).fit(severe)
+    options: Boosting = STAGE
+    u1: float = 3
+    u2: float = 3
+
+    def fit(self, rows: DataFrame, n_models: int = 1, models: Column | None = None) -> TwoStage:
+        """models: the places of the models that a row trains (all of them by default)."""
+        key = _key(rows, self.key)
+        y = F.col(f"`{self.target}`")
+        own = F.sequence(F.lit(0), F.lit(n_models - 1)) if models is None else models
+        rows = rows.withColumns({"_m": own, "_hit": (y > 0).cast("int"), "_severe": (y >= SEVERE).cast("int")})
+        first = chosen_models(rows, "_m", "_hit", self.u1, key, "_first")
+        some = F.when(F.col("_hit") == 1, F.col("_m")).otherwise(F.array().cast("array<int>"))
+        both = chosen_models(first.withColumn("_some", some), "_some", "_severe", self.u2, key, "_second", all_without=True)
+        places = F.concat(F.transform("_first", lambda m: 2 * m), F.transform("_second", lambda m: 2 * m + 1))
+        specs = [Spec(*s) for _ in range(n_models) for s in (("logistic", 0), ("squared", 1))]
+        cuts = cut_points(rows, self.features, self.options.bins)
+        self.forest = train(binned_rows(both, self.features, cuts, [F.col("_hit"), y], _written_key(key), places), cuts, specs, self.options)
         return self
 
-    def predict(self, test: DataFrame) -> DataFrame:
-        rows = self.classifier.transform(vectors(test, self.features))
-        rows = rows.withColumn("predicted_proba", F.get(vector_to_array("probability"), F.lit(1))).drop("rawPrediction", "probability", "prediction")
+    def predict(self, test: DataFrame, model: Column | None = None) -> DataFrame:
+        """model: the place of each row's model (the first by default)."""
+        own = F.lit(0) if model is None else model
+        rows = test.withColumn("predicted_proba", predicted(test, self.forest, self.features, 2 * own))
         rows = rows.withColumn("predicted_bin", (F.col("predicted_proba") >= 0.5).cast("int"))
-        rows = self.regressor.transform(rows)
-        amount = F.when(F.col("predicted_bin") == 1, F.col("prediction")).otherwise(F.lit(0.0))
-        return rows.withColumn("prediction_perc", amount).drop("prediction", "features")
+        amount = predicted(test, self.forest, self.features, F.when(F.col("predicted_bin") == 1, 2 * own + 1))
+        return rows.withColumn("prediction_perc", F.when(F.col("predicted_bin") == 1, amount).when(F.col("predicted_bin") == 0, F.lit(0.0)))
 
     def train_and_predict(self, train: DataFrame, test: DataFrame) -> DataFrame:
         return self.fit(train).predict(test)
@@ -77,11 +84,22 @@ class Boosted:
 
     features: list[str]
     target: str = TARGET
-    options: dict = field(default_factory=lambda: dict(BASELINE))
+    key: str | Sequence[str] | None = None
+    options: Boosting = BASELINE
+
+    def fit(self, rows: DataFrame, n_models: int = 1, models: Column | None = None) -> Boosted:
+        own = F.sequence(F.lit(0), F.lit(n_models - 1)) if models is None else models
+        cuts = cut_points(rows, self.features, self.options.bins)
+        table = binned_rows(rows, self.features, cuts, [F.col(f"`{self.target}`")], _written_key(_key(rows, self.key)), own)
+        self.forest = train(table, cuts, [Spec("squared")] * n_models, self.options)
+        return self
+
+    def predict(self, test: DataFrame, model: Column | None = None) -> DataFrame:
+        amount = predicted(test, self.forest, self.features, F.lit(0) if model is None else model)
+        return test.withColumn("prediction_perc", F.greatest(amount, F.lit(0.0)))
 
     def train_and_predict(self, train: DataFrame, test: DataFrame) -> DataFrame:
-        model = GBTRegressor(featuresCol="features", labelCol=self.target, **self.options).fit(vectors(train, self.features))
-        return model.transform(vectors(test, self.features)).withColumn("prediction_perc", F.greatest("prediction", F.lit(0.0))).drop("prediction", "features")
+        return self.fit(train).predict(test)
 
 
 @dataclass
@@ -94,6 +112,10 @@ class Historical:
     def train_and_predict(self, train: DataFrame, test: DataFrame) -> DataFrame:
         return regional_median(train, test, self.region, self.target)
 
+    def by_fold(self, train: DataFrame, test: DataFrame) -> DataFrame:
+        """The same for the test rows of many folds (_fold) at once, by the training rows of each."""
+        return regional_median(train, test, self.region, self.target, by=["_fold"])
+
 
 MODELS: dict[str, Callable] = {
     "2-stage-XGBoost": TwoStage,
@@ -109,61 +131,46 @@ def model_of(name: str):
     return MODELS[name]()
 
 
-def leave_one_out(rows: DataFrame, model, strategy: str, event: str = "DisNo.", date: str = "date", basin: str = "cyclone_basin", method: str = "") -> Iterator[DataFrame]:
-    """Predictions of each event by a model trained on its fold.
+def leave_one_out(rows: DataFrame, model, strategy: str, event: str = "DisNo.", date: str = "date", basin: str = "cyclone_basin", method: str = "") -> DataFrame:
+    """Predictions of each event by a model trained on its fold; events without a fold to train on have none.
 
-    The fits follow one another on the driver, one for each event (some hundreds, however many rows there are); each is a distributed job over
-    rows that are settled once, in partitions by event, so a test scans its own event only.
+    All folds are trained in one job: folds are pairs of events (some hundreds squared, however many rows there are), and each row of the
+    training table carries the folds that its event is in.
     """
-    rows = settled(rows.repartition(F.col(f"`{event}`")).sortWithinPartitions(F.col(f"`{event}`")), "folds")
-    events = rows.select(F.col(f"`{event}`").alias("event"), F.col(date).alias("date"), F.col(basin).alias("basin")).distinct()
-    pairs = folds(events, strategy)
-    for row in pairs.select("test_event").distinct().orderBy("test_event").toLocalIterator():
-        name = row.test_event
-        inside = pairs.where(F.col("test_event") == name).select(F.col("train_event").alias(event))
-        train = rows.join(inside, event, "left_semi")
-        test = rows.where(F.col(f"`{event}`") == name)
-        yield model.train_and_predict(train, test).withColumns({"method": F.lit(method), "event": F.lit(name)})
+    rows = settled(rows.withColumn("_event", F.col(f"`{event}`")), "folds")
+    events = rows.select(F.col("_event").alias("event"), F.col(date).alias("date"), F.col(basin).alias("basin")).distinct()
+    pairs = settled(folds(events, strategy).distinct(), "pairs")
+    named = sorted(r.test_event for r in pairs.select("test_event").distinct().collect())  # as many as there are events
+    spark = rows.sparkSession
+    places = spark.createDataFrame(list(enumerate(named)), f"_fold int, test_event {events.schema['event'].dataType.simpleString()}")
+    placed = pairs.join(F.broadcast(places), "test_event")
+    inside = placed.groupBy(F.col("train_event").alias("_event")).agg(F.array_sort(F.collect_set("_fold")).alias("_folds"))  # at most one entry for each event
+    train = rows.join(inside, "_event", "left").withColumn("_folds", F.coalesce("_folds", F.array().cast("array<int>")))
+    test = rows.join(F.broadcast(places.withColumnRenamed("test_event", "_event")), "_event")
+    if hasattr(model, "by_fold"):
+        out = model.by_fold(train.select("*", F.explode("_folds").alias("_fold")), test)
+    elif named:
+        out = model.fit(train.drop("_event"), len(named), F.col("_folds")).predict(test, F.col("_fold"))
+    else:
+        out = test.withColumn("prediction_perc", F.lit(None).cast("double"))
+    return out.withColumns({"method": F.lit(method), "event": F.col("_event")}).drop("_event", "_fold", "_folds")
 
 
 # --- attributions -------------------------------------------------------------------------------------------------
 
 
-def tree_arrays(model) -> list[tuple[float, list[tuple]]]:
-    """Weight and nodes (feature, threshold, left, right, value, rows) of each tree of a boosted model."""
-
-    def flat(node, out: list) -> int:
-        at = len(out)
-        out.append(None)
-        rows = float(node.impurityStats().count())
-        if node.getClass().getSimpleName() == "InternalNode":
-            split = node.split()
-            left, right = flat(node.leftChild(), out), flat(node.rightChild(), out)
-            out[at] = (split.featureIndex(), float(split.threshold()), left, right, 0.0, rows)
-        else:
-            out[at] = (-1, 0.0, -1, -1, float(node.prediction()), rows)
-        return at
-
-    trees = []
-    for weight, tree in zip(model.treeWeights, model._java_obj.trees(), strict=True):
-        nodes: list = []
-        flat(tree.rootNode(), nodes)
-        trees.append((float(weight), nodes))
-    return trees
-
-
 def _leaves(nodes: list[tuple], at: int = 0, path: tuple = ()) -> Iterator[tuple[float, dict[int, tuple[list, float]]]]:
     """Value of each leaf, and for each feature on its path the tests and the share of training rows that they let through."""
-    feature, threshold, left, right, value, rows = nodes[at]
+    feature, threshold, left, right, value, rows, missing_left = nodes[at]
     if feature < 0:
         tests: dict[int, tuple[list, float]] = {}
-        for f, t, below, share in path:
+        for f, t, below, missing, share in path:
             known, s = tests.get(f, ([], 1.0))
-            tests[f] = ([*known, (t, below)], s * share)
+            tests[f] = ([*known, (t, below, missing)], s * share)
         yield value, tests
         return
     for child, below in ((left, True), (right, False)):
-        yield from _leaves(nodes, child, (*path, (feature, threshold, below, nodes[child][5] / rows)))
+        yield from _leaves(nodes, child, (*path, (feature, threshold, below, missing_left == below, nodes[child][5] / rows)))
 
 
 def attributions_of(trees: list[tuple[float, list[tuple]]], x: np.ndarray) -> tuple[np.ndarray, float]:
@@ -178,7 +185,7 @@ def attributions_of(trees: list[tuple[float, list[tuple]]], x: np.ndarray) -> tu
             used = list(tests)
             share = np.array([tests[f][1] for f in used])
             base += weight * value * float(share.prod())
-            passes = [np.logical_and.reduce([(x[:, f] <= t) == below for t, below in tests[f][0]]).astype(float) for f in used]
+            passes = [np.logical_and.reduce([np.where(np.isnan(x[:, f]), missing, (x[:, f] <= t) == below) for t, below, missing in tests[f][0]]).astype(float) for f in used]
             m = len(used)
             for i, f in enumerate(used):
                 rest = [j for j in range(m) if j != i]
@@ -190,9 +197,9 @@ def attributions_of(trees: list[tuple[float, list[tuple]]], x: np.ndarray) -> tu
     return out, base
 
 
-def attributions(rows: DataFrame, model, features: list[str], key: str) -> DataFrame:
-    """key, a column for each feature, base and total: base plus the attributions is the model's prediction."""
-    trees = rows.sparkSession.sparkContext.broadcast(tree_arrays(model))
+def attributions(rows: DataFrame, forest: Forest, features: list[str], key: str, model: int = 0) -> DataFrame:
+    """key, a column for each feature, base and total: base plus the attributions is the model's margin."""
+    trees, start = rows.sparkSession.sparkContext.broadcast(forest.nodes(model)), float(forest.base[model])
     names = [f"shap_{c}" for c in features]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,11 +207,11 @@ def attributions(rows: DataFrame, model, features: list[str], key: str) -> DataF
             values, base = attributions_of(trees.value, batch[features].to_numpy(float))
             out = pd.DataFrame(values, columns=names)
             out.insert(0, key, batch[key].to_numpy())
-            out["base"] = base
-            out["total"] = base + values.sum(1)
+            out["base"] = start + base
+            out["total"] = start + base + values.sum(1)
             yield out
 
-    chosen = rows.select(key, *(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) for c in features))
+    chosen = rows.select(key, *(number(c).alias(c) for c in features))
     kind = chosen.schema[0].dataType.simpleString()
     return chosen.mapInPandas(run, f"`{key}` {kind}, {', '.join(f'`{n}` double' for n in [*names, 'base', 'total'])}")
 

@@ -956,13 +956,11 @@ def prepared_training(spark: SparkSession, d: str) -> DataFrame:
 """)
 def leave_one_out_walk_forward(spark: SparkSession, d: str) -> DataFrame:
     """Each year predicted by the medians of the years before it."""
-    from functools import reduce
-
     from gridimpact.ml.models import Historical, leave_one_out
 
     o = parquet(spark, d, "orders").join(parquet(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     rows = o.select(F.concat(F.lit("e"), F.year("o_orderdate")).alias("DisNo."), F.to_date(F.date_trunc("year", "o_orderdate")).alias("date"), F.lit("N").alias("cyclone_basin"), F.col("c_nationkey").alias("iso3"), (F.col("o_totalprice") - 200000).alias("y"))
-    return reduce(DataFrame.unionByName, leave_one_out(rows, Historical(target="y"), "walk_forward", method="historical")).select("event", "iso3", "y", F.col("prediction_perc").alias("prediction"))
+    return leave_one_out(rows, Historical(target="y"), "walk_forward", method="historical").select("event", "iso3", "y", F.col("prediction_perc").alias("prediction"))
 
 
 @query(f"""
@@ -995,12 +993,75 @@ def first_of_each_key(spark: SparkSession, d: str) -> DataFrame:
     return assemble.latest_by(rows, ["k"], ["l_orderkey", "l_linenumber"]).select("k", "l_orderkey", "q")
 
 
-# --- models: no SQL can say these, the tests hold them against brute force ----------------------------------------
+# --- models -------------------------------------------------------------------------------------------------------
+
+#: Rows with two features of which one is sometimes missing, and all data where splits may fall.
+_TREE_ROWS = """x AS (SELECT p_partkey AS row_id, CASE WHEN p_partkey % 5 <> 0 THEN p_size::DOUBLE END AS f0, (p_partkey % 7)::DOUBLE AS f1,
+              CASE WHEN p_partkey % 5 = 0 THEN 40 WHEN p_size > 30 THEN p_size - 20 ELSE p_partkey % 7 END::DOUBLE AS y FROM part),
+    b AS (SELECT round(avg(y), 9) AS base FROM x), cuts AS (SELECT DISTINCT 0 AS f, f0 AS c FROM x WHERE f0 IS NOT NULL UNION SELECT DISTINCT 1, f1 FROM x WHERE f1 IS NOT NULL)"""
+
+
+def _level_sql(rows: str, k: int) -> str:
+    """The best split of each node of `rows` (row_id, node, f0, f1, g) as s{k}, and the rows in the nodes below as n{k}."""
+    return f"""u{k} AS (SELECT node, 0 AS f, f0 AS v, g FROM {rows} UNION ALL SELECT node, 1, f1, g FROM {rows}),
+    a{k} AS (SELECT node, f, c, sum(g) FILTER (v <= c) AS kg, count(*) FILTER (v <= c) AS kh, sum(g) FILTER (v IS NULL) AS mg, count(*) FILTER (v IS NULL) AS mh, sum(g) AS tg, count(*) AS th FROM u{k} JOIN cuts USING (f) GROUP BY ALL),
+    d{k} AS (SELECT node, f, c, side, coalesce(kg, 0) + side * coalesce(mg, 0) AS lg, kh + side * mh AS lh, tg, th FROM a{k} CROSS JOIN (VALUES (1), (0)) v(side)),
+    s{k} AS (SELECT *, lg ** 2 / (lh + 1) + (tg - lg) ** 2 / (th - lh + 1) - tg ** 2 / (th + 1) AS gain FROM d{k} WHERE lh >= 1 AND th - lh >= 1
+             QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(gain, 6) DESC, f, c, side DESC) = 1),
+    n{k} AS (SELECT r.row_id, 2 * r.node + CASE WHEN coalesce(CASE s.f WHEN 0 THEN f0 ELSE f1 END <= s.c, s.side = 1) THEN 1 ELSE 2 END AS node, f0, f1, g FROM {rows} r JOIN s{k} s ON r.node = s.node AND s.gain > 1e-6)"""
+
+
+def _tree(spark: SparkSession, d: str):
+    """A model of one tree of two levels, its features, and the rows."""
+    from gridimpact.ml.boosting import Boosting
+    from gridimpact.ml.models import Boosted
+
+    key = F.col("p_partkey")
+    size = F.when(key % 5 == 0, F.lit(40.0)).when(F.col("p_size") > 30, F.col("p_size") - 20.0).otherwise(key % 7)
+    rows = parquet(spark, d, "part").select(key.alias("row_id"), F.when(key % 5 != 0, F.col("p_size").cast("double")).alias("f0"), (key % 7).cast("double").alias("f1"), size.cast("double").alias("y"))
+    one = Boosting(rounds=1, depth=2, step=0.5, subsample=1.0, columns=1.0, gamma=0.0)
+    return Boosted(["f0", "f1"], "y", "row_id", one).fit(rows), rows
+
+
+@query(f"""
+    WITH {_TREE_ROWS}, r0 AS (SELECT row_id, 0 AS node, f0, f1, base - y AS g FROM x, b), {_level_sql("r0", 0)}, {_level_sql("n0", 1)}
+    SELECT node, f AS feature, c AS threshold, side = 1 AS missing_left, round(gain, 3) AS gain, th::DOUBLE AS cover FROM (FROM s0 UNION ALL FROM s1) WHERE gain > 1e-6
+""")
+def tree_splits(spark: SparkSession, d: str) -> DataFrame:
+    """The splits of a boosted tree, with the side that missing values go to and what each gains."""
+    forest = _tree(spark, d)[0].forest
+    f, cut, left, cover = (x[0, 0] for x in (forest.feature, forest.cut, forest.missing_left, forest.cover))
+    score = lambda k: (forest.value[0, 0, k] / 0.5) ** 2 * (cover[k] + 1)  # noqa: E731  G^2 / (H + 1)
+    rows = [(k, int(f[k]), float(forest.cuts[f[k]][cut[k]]), bool(left[k]), float(score(2 * k + 1) + score(2 * k + 2) - score(k)), float(cover[k])) for k in range(len(f)) if f[k] >= 0]
+    return spark.createDataFrame(rows, "node int, feature int, threshold double, missing_left boolean, gain double, cover double").withColumn("gain", r("gain", 3))
+
+
+@query(f"""
+    WITH {_TREE_ROWS}, r0 AS (SELECT row_id, 0 AS node, f0, f1, base - y AS g FROM x, b), {_level_sql("r0", 0)}, {_level_sql("n0", 1)},
+    leaf AS (SELECT row_id, coalesce(n1.node, n0.node, 0) AS node, r0.g FROM r0 LEFT JOIN n0 USING (row_id) LEFT JOIN n1 USING (row_id)),
+    v AS (SELECT node, -0.5 * sum(leaf.g) / (count(*) + 1) AS value FROM leaf GROUP BY 1)
+    SELECT row_id, round(greatest(base + value, 0), 4) AS prediction FROM leaf JOIN v USING (node), b
+""")
+def tree_predict(spark: SparkSession, d: str) -> DataFrame:
+    """What a boosted tree predicts, with rows of which a feature is missing."""
+    model, rows = _tree(spark, d)
+    return model.predict(rows).select("row_id", r("prediction_perc").alias("prediction"))
+
+
+# No SQL can say a hundred rounds: the tests recompute these in plain Python.
+
 
 def _learning(spark: SparkSession, d: str) -> DataFrame:
-    """A target that depends on two of four columns, 0 for most rows."""
-    p = parquet(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_size").cast("double").alias("size"), (F.col("p_retailprice") / 100).alias("price"), (F.col("p_partkey") % 7).cast("double").alias("a"), (F.col("p_partkey") % 11).cast("double").alias("b"))
-    return p.withColumn("y", F.when(F.col("size") > 30, F.col("size") - 30 + F.col("a")).otherwise(F.lit(0.0)))
+    """A target that depends on two of four columns, 0 for most rows; some values are missing."""
+    key = F.col("p_partkey")
+    p = parquet(spark, d, "part").select(
+        key.alias("row_id"), F.col("p_size").cast("double").alias("size"), F.when(key % 13 != 0, F.col("p_retailprice") / 100).alias("price"), F.when(key % 6 != 0, (key % 7).cast("double")).alias("a"), (key % 11).cast("double").alias("b"),
+        F.when(F.col("p_size") > 30, F.col("p_size") - 30 + key % 7).otherwise(0).cast("double").alias("y"),
+    )
+    return p
+
+
+_FEATURES = ["size", "price", "a", "b"]
 
 
 @query()
@@ -1009,23 +1070,20 @@ def two_stage_predict(spark: SparkSession, d: str) -> DataFrame:
     from gridimpact.ml.models import TwoStage
 
     rows = _learning(spark, d)
-    model = TwoStage(["size", "price", "a", "b"], "y", "row_id")
-    return model.train_and_predict(rows.where("row_id % 2 = 0"), rows.where("row_id % 2 = 1")).select("row_id", "predicted_bin", r("prediction_perc").alias("prediction_perc"))
+    out = TwoStage(_FEATURES, "y", "row_id").train_and_predict(rows.where("row_id % 2 = 0"), rows.where("row_id % 2 = 1"))
+    return out.select("row_id", r("predicted_proba", 6).alias("predicted_proba"), "predicted_bin", r("prediction_perc").alias("prediction_perc"))
 
 
 @query()
 def shap_attributions(spark: SparkSession, d: str) -> DataFrame:
     """Attributions of a boosted regressor; base and attributions add up to the prediction."""
-    from pyspark.ml.regression import GBTRegressor
+    from gridimpact.ml.models import STAGE, Boosted, attributions
 
-    from gridimpact.ml.models import STAGE, attributions, vectors
-
-    features = ["size", "price", "a", "b"]
     rows = _learning(spark, d)
-    model = GBTRegressor(featuresCol="features", labelCol="y", **STAGE).fit(vectors(rows, features))
-    shap = attributions(rows, model, features, "row_id")
-    both = model.transform(vectors(rows, features)).select("row_id", "prediction").join(shap, "row_id")
-    return both.select("row_id", *(r(f"shap_{c}", 6).alias(f"shap_{c}") for c in features), r("total", 6).alias("total"), r("prediction", 6).alias("prediction"))
+    model = Boosted(_FEATURES, "y", "row_id", STAGE).fit(rows)
+    shap = attributions(rows, model.forest, _FEATURES, "row_id")
+    both = model.predict(rows).select("row_id", F.col("prediction_perc").alias("prediction")).join(shap, "row_id")
+    return both.select("row_id", *(r(f"shap_{c}", 6).alias(f"shap_{c}") for c in _FEATURES), r("total", 6).alias("total"), r("prediction", 6).alias("prediction"))
 
 
 @query()
@@ -1034,7 +1092,7 @@ def boosted_predict(spark: SparkSession, d: str) -> DataFrame:
     from gridimpact.ml.models import Boosted
 
     rows = _learning(spark, d)
-    out = Boosted(["size", "a"], "y").train_and_predict(rows.where("row_id % 2 = 0"), rows.where("row_id % 2 = 1"))
+    out = Boosted(["size", "a"], "y", "row_id").train_and_predict(rows.where("row_id % 2 = 0"), rows.where("row_id % 2 = 1"))
     return out.select("row_id", r("prediction_perc").alias("prediction_perc"))
 
 
@@ -1043,4 +1101,21 @@ def top_features(spark: SparkSession, d: str) -> DataFrame:
     """The three features with the largest mean absolute attribution."""
     from gridimpact.ml.models import ranked_features
 
-    return ranked_features(shap_attributions(spark, d), ["size", "price", "a", "b"])
+    return ranked_features(shap_attributions(spark, d), _FEATURES)
+
+
+@query()
+def leave_one_out_boosted(spark: SparkSession, d: str) -> DataFrame:
+    """Each year and region predicted by a two-stage model of the earlier years, all models trained in one job."""
+    from gridimpact.ml.models import TwoStage, leave_one_out
+
+    o = parquet(spark, d, "orders").join(parquet(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(parquet(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = o.groupBy(
+        F.concat_ws("-", F.year("o_orderdate"), "n_regionkey").alias("DisNo."), F.to_date(F.date_trunc("year", "o_orderdate")).alias("date"), F.col("n_regionkey").cast("string").alias("cyclone_basin"),
+        F.col("n_nationkey").alias("GID_1"), F.month("o_orderdate").alias("month"),
+    ).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.max("c_acctbal").alias("balance"), F.avg(F.when(F.col("o_orderstatus") == "F", F.day("o_orderdate"))).alias("status"),
+        F.greatest(F.max("o_totalprice") / 10000 - 30, F.lit(0.0)).alias("y"),
+    )
+    model = TwoStage(["n", "balance", "status", "month"], "y", ["DisNo.", "GID_1", "month"])
+    return leave_one_out(rows, model, "walk_forward", method="two-stage").select("event", F.col("GID_1").alias("unit"), "month", "predicted_bin", r("prediction_perc").alias("prediction"))

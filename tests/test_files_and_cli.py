@@ -6,6 +6,7 @@ import datetime as dt
 import sqlite3
 import struct
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -77,8 +78,8 @@ def test_commands(spark, tmp_path, monkeypatch):
     table = spark.read.parquet(at("training"))
     assert table.count() == len(own) and table.where("rainfall_max_24h IS NULL OR N_events_5_years IS NULL").count() == 0
 
-    quick = models.STAGE | {"maxIter": 2}
-    monkeypatch.setitem(models.MODELS, "2-stage-XGBoost", lambda: models.TwoStage(key="GID_1", classes=quick, amounts=quick))
+    quick = replace(models.STAGE, rounds=2)
+    monkeypatch.setitem(models.MODELS, "2-stage-XGBoost", lambda: models.TwoStage(key="GID_1", options=quick))
     for name in ("historical", "2-stage-XGBoost"):
         cli.main(["models", at("training"), at("in/regions"), at("in/reports"), at("predictions"), "--model", name, "--strategy", "geo_constrained"])
     predictions = spark.read.parquet(at("predictions"))
