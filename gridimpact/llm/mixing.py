@@ -134,7 +134,7 @@ def fit_mixer(
         mixer.spread = [[math.sqrt(r[f"v_{c}"] + 1e-4) for c in MEASURES] for r in found]
     size = len(mixer.names)
     rows = table.groupBy(mixer.posterior().alias("domains")).agg(F.sum("n_tokens").alias("n_tokens"))
-    rows = written(rows.where("n_tokens > 0").coalesce(8), "posteriors")  # a row for each posterior, however many documents have it
+    rows = written(rows.where("n_tokens > 0"), "posteriors")  # a row for each posterior, however many documents have it
     p = lambda k: F.get("domains", F.lit(k))
     pairs = [(a, b) for a in range(size) for b in range(a, size)]
     sums = rows.agg(*(F.sum(F.col("n_tokens") * p(a) * p(b)).alias(f"m{a}_{b}") for a, b in pairs), *(F.sum(F.col("n_tokens") * p(k)).alias(f"t{k}") for k in range(size))).first()

@@ -22,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridimpact.llm.common import GAP, bounded_sample, fold_of, text_or_empty, written
+from gridimpact.llm.common import GAP, bounded_sample, fold_of, set_aside, text_or_empty, unused, written
 
 #: A condition on a statistic: its name, whether it must exceed the threshold, the threshold. A rule is a conjunction.
 Condition = tuple[str, bool, float]
@@ -39,17 +39,18 @@ OUTPUTS = ("held_out", "score", "predicted")
 
 def statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns to keep, and the statistics of the text as doubles."""
-    text = F.col("_text")
-    rows = docs.select(*keep, text_or_empty(text_col).alias("_text"))
-    rows = rows.withColumn("_words", F.filter(F.split(text, GAP, -1), lambda w: w != ""))
-    rows = rows.withColumns({"_n": F.size("_words"), "_chars": F.length(text), "_lines": F.split(text, "\n", -1)})
+    own, words, n, chars, lines = unused(keep, "_text", "_words", "_n", "_chars", "_lines")
+    text = F.col(own)
+    rows = docs.select(*keep, text_or_empty(text_col).alias(own))
+    rows = rows.withColumn(words, F.filter(F.split(text, GAP, -1), lambda w: w != ""))
+    rows = rows.withColumns({n: F.size(words), chars: F.length(text), lines: F.split(text, "\n", -1)})
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    share = lambda pattern: ratio(F.col("_chars") - F.length(F.regexp_replace(text, pattern, "")), F.col("_chars"))
+    share = lambda pattern: ratio(F.col(chars) - F.length(F.regexp_replace(text, pattern, "")), F.col(chars))
     values = {
-        "log_words": F.log1p("_n"),
-        "mean_word": ratio(F.length(F.regexp_replace(text, GAP, "")), F.col("_n")),
-        "distinct_words": ratio(F.size(F.array_distinct("_words")), F.col("_n")),
-        "distinct_lines": ratio(F.size(F.array_distinct("_lines")), F.size("_lines")),
+        "log_words": F.log1p(n),
+        "mean_word": ratio(F.length(F.regexp_replace(text, GAP, "")), F.col(n)),
+        "distinct_words": ratio(F.size(F.array_distinct(words)), F.col(n)),
+        "distinct_lines": ratio(F.size(F.array_distinct(lines)), F.size(lines)),
         "symbols": share("[#*$%&<>]+"),
         "bars": share(r"\|+"),
         "exclamations": share("!+"),
@@ -57,7 +58,7 @@ def statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> Data
         "digits": share("[0-9]+"),
         "punctuation": share("[.,;:?]+"),
         "spaces": share(GAP),
-        "long_words": ratio(F.length(F.regexp_replace(text, r"[^\x20\x09-\x0D]{1,24}(?=[\x20\x09-\x0D]|$)", "")), F.col("_chars")),
+        "long_words": ratio(F.length(F.regexp_replace(text, r"[^\x20\x09-\x0D]{1,24}(?=[\x20\x09-\x0D]|$)", "")), F.col(chars)),
     }
     return rows.select(*keep, *(values[s.removeprefix("_stat_")].cast("double").alias(s) for s in STATISTICS))
 
@@ -131,10 +132,13 @@ def quality_scores(
     sample = written(statistics(rows, ["label"]).coalesce(4), "sample")  # an identifier is learned from once
     model = fit(sample)
     keep = [id_col, *(c for c in keep or [] if c != id_col and c not in OUTPUTS)]
-    scored = statistics(docs, keep).withColumn("_score", model.score())
+    docs, back = set_aside(docs, STATISTICS)  # columns that a statistic's name would hide
+    there = {v: k for k, v in back.items()}
+    (score,) = unused(docs.columns, "_score")
+    scored = statistics(docs, [there.get(c, c) for c in keep]).withColumn(score, model.score())
     return scored.select(
-        *keep,
+        *(F.col(there.get(c, c)).alias(c) for c in keep),
         (fold_of(F.col(id_col), folds) == held_out).alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= threshold).cast("int").alias("predicted"),
+        F.col(score).alias("score"),
+        (F.col(score) >= threshold).cast("int").alias("predicted"),
     )

@@ -112,7 +112,7 @@ def _secret_sql(scope: int = 400) -> str:
         u AS (SELECT rid, kind, name, pat, gaps, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM f WHERE len(ms) > 0),
         p AS (SELECT rid, kind, name, m, CAST(sum(length(gaps[i]) + length(m)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS e,
                      CASE kind WHEN 0 THEN length(regexp_extract(m, pat, 2)) >= 8 WHEN 1 THEN length(m) >= 16
-                          WHEN 3 THEN length(m) = 40 AND regexp_matches(m, '^[A-Za-z0-9/+]+$') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]')
+                          WHEN 3 THEN length(m) = 40 AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]')
                           ELSE true END AS holds FROM u),
         h AS (SELECT rid, kind, name, e - length(m) AS b, e FROM p WHERE holds),
         w AS (SELECT *, count(*) FILTER (kind = 1) {near} AS n_access, count(*) FILTER (kind IN (0, 3)) {near} AS n_secret,

@@ -32,12 +32,10 @@ KINDS: dict[str, str] = {
     "assign": ASSIGN,
     "access": r"AKIA[A-Z0-9]+",
     "hex": r"[0-9a-f]{32,}",
-    "linked_secret": r"[A-Za-z0-9/+=_-]{40,}",
+    "linked_secret": r"[A-Za-z0-9/+]{40,}",  # '=', '_' and '-' end a key-like run, so that a name before it is no part of it
     "linked_endpoint": r"https?://[A-Za-z0-9.-]+",
 }
 BASE = ("assign", "access", "hex")
-#: What is matched in place of a kind's pattern: '=', '_' and '-' end a key-like run, so that a name before it is no part of it.
-MATCHED = KINDS | {"linked_secret": r"[A-Za-z0-9/+]{40,}"}
 
 
 def _holds(kind: str, match: Column) -> Column:
@@ -52,7 +50,7 @@ def _holds(kind: str, match: Column) -> Column:
 
 def _matches(kind: str, text: Column) -> Column:
     """array<struct<kind, at, gap, size, holds>>: gap is the length of what lies before the match since the last one."""
-    pattern, order = MATCHED[kind], list(KINDS).index(kind)
+    pattern, order = KINDS[kind], list(KINDS).index(kind)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     row = lambda gaps: lambda m, i: F.struct(
         F.lit(order).alias("kind"), i.alias("at"), F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("size"), _holds(kind, m).alias("holds")

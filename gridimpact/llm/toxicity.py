@@ -6,7 +6,8 @@ copies count once). Windows are compressed with the ordinary dictionary, and wit
 toxic text gets shorter and any other stays the same. Counts of windows by gain, and the largest gain, go through a logistic scale that is
 fitted on the same rows, so 0.5 is the calibrated threshold.
 
-The fit reads at most `max_rows` labelled rows and `max_bytes` of text, chosen by a hash of the identifier: dictionaries are trained in one
+The fit reads at most `max_rows` labelled rows and `max_bytes` of text, chosen by a hash of the identifier, and no text above a 64th of that:
+dictionaries are trained in one
 task, the windows of the rows are measured in many, and only the dictionaries and a few numbers for each row reach the driver. Everything
 else is whole texts in tasks, with both dictionaries sent to them (36 kilobytes).
 
@@ -204,12 +205,15 @@ def score(text: str, model: ToxicityModel, compressors: list[zstandard.ZstdCompr
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, max_rows: int, max_bytes: int, id_col: str = "doc_id"
 ) -> DataFrame:
-    """id, text and label of at most max_rows identifiers outside the held-out fold, in the order of a hash, with at most max_bytes of whole texts."""
+    """id, text and label of at most max_rows identifiers outside the held-out fold, in the order of a hash, with at most max_bytes of whole texts.
+
+    A text that alone takes more than a 64th of max_bytes is not learned from, so no single one can take the place of many.
+    """
     known = labels.where(F.col(label).isNotNull() & (fold_of(F.col(id_col), folds) != held_out))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = bounded_sample(known, "id", max_rows)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
-    rows = written(rows, "labelled")
+    rows = written(rows.where(F.octet_length("text") <= max_bytes // 64), "labelled")
     sizes = rows.select("id", F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("id"), "id")).alias("so_far"))  # numbers of at most max_rows rows
     return rows.join(F.broadcast(sizes.where(F.col("so_far") <= max_bytes).select("id")), "id", "left_semi")
 
