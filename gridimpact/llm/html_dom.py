@@ -226,4 +226,9 @@ def decode(page: Page, logit: np.ndarray) -> np.ndarray:
 
 
 def kept_text(page: Page, kept: np.ndarray) -> str:
+    """The kept blocks; where there are none, those that stand in no element with an aside's tag or name."""
+    if page.blocks and not any(kept[node] for node, _ in page.blocks):
+        kept = np.ones(len(page.tag), bool)
+        for k in range(1, len(page.tag)):
+            kept[k] = kept[page.parent[k]] and page.tag[k] not in ASIDE_TAGS and not page.words[k] & ASIDE_WORDS
     return "\n".join(text for node, text in page.blocks if kept[node])

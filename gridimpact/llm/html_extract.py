@@ -10,6 +10,8 @@ There are no labelled pages, so the trees learn from pages laid out anew, whose
 articles and comments, short ones the rest, in layouts of many kinds: with telling names, with names that tell nothing, and with
 none. Pages without such texts get made-up words, so there is always something to learn from.
 
+Where that would leave nothing of a page that shows text, what stands in no element with an aside's tag or name is kept.
+
 Defined results: null and empty html give an empty text; repeated rows are separate rows; an empty table gives an empty table; extra
 columns are ignored. A line break counts as white space inside its block. What a browser never shows (scripts, styles, titles,
 templates, frames' fallbacks) is no text.
@@ -126,16 +128,45 @@ def laid_out(main: list[str], rest: list[str], rng: random.Random) -> tuple[str,
     short = lambda: put(" ".join(rng.choice(rest).split()[: rng.randint(3, 30)]), rng.choice(["", "p", "span", "div"]))
     talk = lambda: [put(" ".join(rng.choice(prose).split()[: rng.randint(5, 60)]), rng.choice(["p", "div", 'div class="comment"', "li"])) for _ in range(rng.randint(1, 6))]
 
+    def listed(text: str) -> None:
+        """A text of the article as the rows of a table or as a list."""
+        words = text.split()
+        size = rng.randint(1, 12)
+        parts = [" ".join(words[k : k + size]) for k in range(0, min(len(words), 10 * size), size)]
+        if chance(0.5):
+            width = rng.randint(1, 3)
+            out.append("<table>" + "<tbody>" * chance(0.5))
+            for k in range(0, len(parts), width):
+                out.append("<tr>")
+                for part in parts[k : k + width]:
+                    put(part, "th" if k == 0 and chance(0.5) else "td", True)
+                out.append("</tr>")
+            out.append("</table>")
+        else:
+            kind, item = rng.choice([("ul", "li"), ("ol", "li"), ("dl", "dd")])
+            out.append(f"<{kind}>")
+            for part in parts:
+                put(part, item, True)
+            out.append(f"</{kind}>")
+
     def article() -> None:
         plain = rng.choice(["p", "p", "p", "div"])
         nested = chance(0.2)
+        headed = chance(0.15)
         for k, text in enumerate(main):
             tag = rng.choice(["h1", "h2"]) if k == 0 and len(text) < 120 else rng.choice([plain] * 12 + ["blockquote", "li", "h2"])
             if chance(0.3):  # articles have short paragraphs too
                 text = " ".join(text.split()[: rng.randint(1, 14)])
             if nested:
                 out.append(rng.choice(["<div>", "<section>", '<div class="part">', '<div class="row">']))
-            put(text, tag, True)
+            if k == 0 and headed:
+                out.append("<header>")
+            if k and chance(0.08):
+                listed(text)
+            else:
+                put(text, tag, True)
+            if k == 0 and headed:
+                out.append("</header>")
             if nested:
                 out.append("</section></div>")
             if rng.random() < 0.04:
@@ -146,6 +177,12 @@ def laid_out(main: list[str], rest: list[str], rng: random.Random) -> tuple[str,
         out.append('<input type="text">')
         put(rng.choice(["Send", "Go", "OK"]), "button")
 
+    if chance(0.08):  # a page that is nothing but its article, in an element of its own or not
+        if chance(0.3):
+            article()
+        else:
+            box(["article", "main", "div"], ["content", "post", "story", "main", "text"], article)
+        return "<html><body>" * chance(0.5) + "".join(out), kept
     if chance(0.4):
         box(["header", "div"], ["header", "masthead", "top", "banner"], lambda: (put(" ".join(rng.choice(rest).split()[:4]), "h1" if chance(0.3) else "div"), links() if chance(0.5) else None))
     if chance(0.8):
@@ -197,6 +234,8 @@ def learning_rows(source: str, layouts: int, seed: int) -> Iterator[tuple[float,
     main, rest = material(Page(source), rng)
     for _ in range(layouts):
         chosen = main if rng.random() < 0.7 else main[: rng.randint(1, 6)]
+        if rng.random() < 0.1:  # articles of a line or two
+            chosen = [" ".join(t.split()[: rng.randint(1, 12)]) for t in chosen[: rng.randint(1, 2)]]
         text, kept = laid_out(chosen, rest, rng)
         yield from labelled_elements(Page(text), kept)
 
