@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridimpact.operators.segments import nearest_segment
+
+#: Fixed value: kilometres that a degree counts for.
 KM_A_DEGREE = 111.1
 
 
@@ -29,8 +32,8 @@ def landfall(points: DataFrame, keys: list[str], on_land: Column, time: str, dis
 def storm_metadata(track: DataFrame, land: DataFrame, events: DataFrame, keys: list[str], time: str, step: float = 1.0) -> DataFrame:
     """Days and landfall of each track from the country's polygons (unit, rings), with the event of each storm where there is one.
 
-    track: keys, x, y, time; events: keys, event. The distance to land is needed only for storms that never touch it, and is taken to the
-    country's edges, which are few beside the points.
+    track: keys, x, y, time; events: keys, event. The distance to land is needed only for storms that never touch it, and is that to the nearest of
+    the country's edges.
     """
     from gridimpact.operators.grid import edges_of
     from gridimpact.operators.spatial import point_in_polygon
@@ -39,26 +42,18 @@ def storm_metadata(track: DataFrame, land: DataFrame, events: DataFrame, keys: l
     rows = track.join(held, ["x", "y"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
     landed = rows.where("_in").select(*keys).distinct()
     offshore = rows.join(landed, keys, "left_anti").select("x", "y").distinct()
-    edges = edges_of(land, [])
-    d = segment_distance(*map(F.col, ("x", "y", "x1", "y1", "x2", "y2")))
-    far = offshore.join(edges).groupBy("x", "y").agg(F.min(d).alias("_far"))  # points of offshore storms x edges of one country
+    far = nearest_segment(offshore, edges_of(land, [])).select("x", "y", F.col("dist").alias("_far"))
     return landfall(rows.join(far, ["x", "y"], "left"), keys, F.col("_in"), time, "_far").join(events, keys, "left")
 
 
-def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    dx, dy = x2 - x1, y2 - y1
-    t = F.coalesce(F.try_divide((px - x1) * dx + (py - y1) * dy, dx * dx + dy * dy), F.lit(0.0))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    return F.sqrt(F.pow(px - x1 - t * dx, 2) + F.pow(py - y1 - t * dy, 2))
-
-
 def track_distance(cells: DataFrame, track: DataFrame, sid: str, order: str) -> DataFrame:
-    """Kilometres from each cell (id, x, y, sid) to its storm's line (sid, x, y): an equi-join on the storm, then a minimum."""
+    """Kilometres from each cell (id, x, y, sid) to the nearest segment of its storm's line (sid, x, y); cells of a storm without a line drop out."""
     w = Window.partitionBy(sid).orderBy(order)
     segments = track.select(sid, F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2"), F.row_number().over(w).alias("n"))
     segments = segments.where("x2 IS NOT NULL OR n = 1").withColumns({"x2": F.coalesce("x2", "x1"), "y2": F.coalesce("y2", "y1")})
-    d = segment_distance(*map(F.col, ("x", "y", "x1", "y1", "x2", "y2")))
-    return cells.join(segments, sid).groupBy("id", sid).agg((F.min(d) * KM_A_DEGREE).alias("track_distance"))
+    found = nearest_segment(cells, segments, [sid]).drop("compared")
+    known = cells.join(segments.select(sid).distinct(), sid, "left_semi")
+    return known.join(found, ["x", "y", sid], "left").groupBy("id", sid).agg((F.min("dist") * KM_A_DEGREE).alias("track_distance"))
 
 
 def holland_wind(distance_km: Column, peak: Column, radius_km: Column, b: float = 1.5) -> Column:
