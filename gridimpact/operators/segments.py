@@ -31,14 +31,14 @@ def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column,
     return F.sqrt(F.pow(px - x1 - t * dx, 2) + F.pow(py - y1 - t * dy, 2))
 
 
-def curve_place(x: Column, y: Column, box: Sequence[float], bits: int = 16) -> Column:
+def curve_place(x: Column, y: Column, box: Sequence[float], bits: int = 31) -> Column:
     """The place along the curve that takes one bit of each coordinate in turn."""
     low_x, low_y, high_x, high_y = box
     top = (1 << bits) - 1
 
     def spread(v: Column, low: float, high: float) -> Column:
         n = F.floor((v - low) / max(high - low, 1e-300) * top).cast("long")
-        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
             n = n.bitwiseOR(F.shiftleft(n, shift)).bitwiseAND(F.lit(mask).cast("long"))
         return n
 
