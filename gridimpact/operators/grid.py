@@ -82,7 +82,13 @@ def land_cells(polygons: DataFrame, country: str = "iso3", rings: str = "rings",
     """
     shapes = polygons.select(country, F.xxhash64(rings).alias("_shape"), rings).dropDuplicates([country, "_shape"])
     edges = edges_of(shapes, [country, "_shape"], rings)
-    border = edges.withColumn("lon_idx", F.explode(_reach("x1", "x2", -180.0, step, 1))).withColumn("lat_idx", F.explode(_reach("y1", "y2", -90.0, step, 1)))
+    border = edges.withColumn("lat_idx", F.explode(_reach("y1", "y2", -90.0, step, 1)))
+    slope = F.coalesce(F.try_divide(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), F.lit(0.0))
+    held = lambda v: F.greatest(F.least("y1", "y2"), F.least(F.greatest("y1", "y2"), v))
+    at = lambda v, end: F.when(F.col("y1") == F.col("y2"), F.col(end)).otherwise(F.col("x1") + (held(v) - F.col("y1")) * slope)
+    low = F.col("lat_idx") * step - 90.0
+    border = border.withColumns({"_from": at(low, "x1"), "_till": at(low + step, "x2")})  # where the edge is while it is in the row
+    border = border.withColumn("lon_idx", F.explode(_reach("_from", "_till", -180.0, step, 1)))
     start, end = clipped(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), *_box(step))
     border = border.where(start <= end).select(country, "lon_idx", "lat_idx")
 

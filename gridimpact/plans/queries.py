@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gridimpact.functions import scalar
 from gridimpact.ml import events as ev
 from gridimpact.ml import metrics as me
-from gridimpact.operators import assemble, grid, hazard, history, impact, spatial, zonal
+from gridimpact.operators import assemble, grid, hazard, history, impact, spatial, union, zonal
 from gridimpact.sources.tables import country_list, not_done, parquet, split_known
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -713,6 +713,40 @@ def land_cells_oblique(spark: SparkSession, d: str) -> DataFrame:
     return grid.land_cells(_shapes(spark).select(F.col("unit").alias("iso3"), "rings"), step=0.01)
 
 
+#: A rectangle around each place, on a net of hundredths so that many touch, overlap and nest; the largest hold many others.
+_RECTANGLES = """box AS (SELECT vec_id, label, round(x, 2) AS x1, round(y, 2) AS y1, round(round(x, 2) + 0.01 + round(abs(v) / 4, 2), 2) AS x2, round(round(y, 2) + 0.01 + round(abs(w) / 4, 2), 2) AS y2 FROM place)"""
+
+
+def _rectangles(spark: SparkSession, d: str) -> DataFrame:
+    p = _places(spark, d).select("vec_id", "label", r("x", 2).alias("x1"), r("y", 2).alias("y1"), "v", "w")
+    p = p.select("vec_id", "label", "x1", "y1", r(F.col("x1") + 0.01 + r(F.abs("v") / 4, 2), 2).alias("x2"), r(F.col("y1") + 0.01 + r(F.abs("w") / 4, 2), 2).alias("y2"))
+    corner = lambda i, k: F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{k}").alias("y"))
+    return p.withColumn("rings", F.array(F.array(corner(1, 1), corner(2, 1), corner(2, 2), corner(1, 2), corner(1, 1))))
+
+
+@query(f"""
+    WITH {_PLACES}, {_RECTANGLES}, xs AS (SELECT DISTINCT label, unnest([x1, x2]) AS x FROM box), ys AS (SELECT DISTINCT label, unnest([y1, y2]) AS y FROM box),
+    xi AS (SELECT label, x AS a, lead(x) OVER (PARTITION BY label ORDER BY x) AS b FROM xs), yi AS (SELECT label, y AS c, lead(y) OVER (PARTITION BY label ORDER BY y) AS d FROM ys),
+    cell AS (SELECT DISTINCT label, a, b, c, d FROM xi JOIN yi USING (label) JOIN box USING (label) WHERE x1 <= a AND b <= x2 AND y1 <= c AND d <= y2)
+    SELECT label, round(sum((b - a) * (d - c)), 6) AS area FROM cell GROUP BY 1
+""")
+def union_area(spark: SparkSession, d: str) -> DataFrame:
+    """Area of the union of each group's rectangles, which overlap, nest and touch."""
+    edges = union.union_edges(_rectangles(spark, d), ["label"], 0.02)
+    return union.areas(edges, ["label"]).select("label", r("area", 6).alias("area"))
+
+
+@query(f"""
+    WITH {_PLACES}, {_RECTANGLES}, h AS (SELECT vec_id AS pid, x + 0.0013 AS x, y + 0.0017 AS y FROM place)
+    SELECT pid, b.label FROM h JOIN box b ON x > x1 AND x < x2 AND y > y1 AND y < y2 GROUP BY ALL
+""")
+def dissolved_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The dissolved groups that hold each point: rings stitched from the union's boundary, asked by the even-odd rule."""
+    points = _places(spark, d).select(F.col("vec_id").alias("pid"), (F.col("x") + 0.0013).alias("x"), (F.col("y") + 0.0017).alias("y"))
+    whole = union.dissolved(_rectangles(spark, d), ["label"], 0.02).select(F.col("label").alias("unit"), "rings")
+    return spatial.point_in_polygon(points, whole, 0.05).select("pid", F.col("unit").alias("label"))
+
+
 @query(f"""
     WITH {_PLACES}, {_EDGES}, t AS (SELECT vec_id, label AS sid, x, y, TIMESTAMP '2020-01-01' + INTERVAL 1 HOUR * vec_id AS ts FROM place),
     i AS (SELECT DISTINCT vec_id FROM (SELECT vec_id, unit FROM t JOIN e ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1)),
