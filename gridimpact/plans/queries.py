@@ -425,39 +425,16 @@ def archive_lookup(spark: SparkSession, d: str) -> DataFrame:
 # --- grid and rasters ---------------------------------------------------------------------------------------------
 
 @query("""
-    WITH g AS (SELECT CAST(i // 1800 AS INTEGER) AS lon_idx, CAST(i % 1800 AS INTEGER) AS lat_idx FROM range(6480000) t(i)), c AS (SELECT *, 'N' || lpad(CAST(lon_idx % 25 AS VARCHAR), 2, '0') AS iso3 FROM g),
-    n AS (SELECT *, (lon_idx + 0.5)::DOUBLE / 10 - 180 AS lon, (lat_idx + 0.5)::DOUBLE / 10 - 90 AS lat, row_number() OVER (PARTITION BY iso3 ORDER BY lon_idx, lat_idx) - 1 AS number FROM c)
-    SELECT iso3, lat_idx, count(*) AS n, CAST(min(number) AS INTEGER) AS low, CAST(max(number) AS INTEGER) AS high, min(printf('%s_%05d', iso3, number)) AS first_id, max(printf('%s_%05d', iso3, number)) AS last_id, round(sum(lon), 4) AS lon, round(min(lat), 4) AS lat FROM n GROUP BY ALL
+    WITH c AS (SELECT DISTINCT 'N' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS iso3, CAST(c_custkey * 7919 % 3600 AS INTEGER) AS lon_idx, CAST(c_custkey * 104729 % 1800 AS INTEGER) AS lat_idx FROM customer),
+    n AS (SELECT *, CAST(row_number() OVER (PARTITION BY iso3 ORDER BY lon_idx, lat_idx) - 1 AS INTEGER) AS number FROM c)
+    SELECT iso3, lon_idx, lat_idx, round((lon_idx + 0.5)::DOUBLE / 10 - 180, 6) AS lon, round((lat_idx + 0.5)::DOUBLE / 10 - 90, 6) AS lat, number, printf('%s_%05d', iso3, number) AS id FROM n
 """)
 def grid_ids(spark: SparkSession, d: str) -> DataFrame:
-    """The whole grid with centres and identifiers, told by country and row of cells."""
-    cells = grid.with_ids(grid.global_grid(spark).withColumn("iso3", F.format_string("N%02d", F.col("lon_idx") % 25)))
-    return cells.groupBy("iso3", "lat_idx").agg(
-        F.count(F.lit(1)).alias("n"), F.min("number").alias("low"), F.max("number").alias("high"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), r(F.sum("Longitude")).alias("lon"), r(F.min("Latitude")).alias("lat"),
-    )
-
-
-@query("""
-    WITH b AS (SELECT * FROM (VALUES ('AAA', 10.25, 5.15, 12.75, 6.05), ('BBB', -3.35, -2.45, -1.05, 1.95)) t(iso3, x1, y1, x2, y2)), g AS (SELECT i // 1800 AS lon_idx, i % 1800 AS lat_idx FROM range(6480000) t(i))
-    SELECT iso3, CAST(lon_idx AS INTEGER) AS lon_idx, CAST(lat_idx AS INTEGER) AS lat_idx FROM g JOIN b ON lon_idx / 10.0 - 180 <= x2 AND (lon_idx + 1) / 10.0 - 180 >= x1 AND lat_idx / 10.0 - 90 <= y2 AND (lat_idx + 1) / 10.0 - 90 >= y1
-""")
-def land_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Cells that a country's polygon touches."""
-    boxes = [("AAA", 10.25, 5.15, 12.75, 6.05), ("BBB", -3.35, -2.45, -1.05, 1.95)]
-    ring = lambda a, b, c, e: [[(a, b), (c, b), (c, e), (a, e), (a, b)]]
-    return grid.land_cells(spark.createDataFrame([(u, ring(*b)) for u, *b in boxes], "iso3 string, rings array<array<struct<x:double,y:double>>>"))
-
-
-@query("""
-    WITH s AS (SELECT * FROM (VALUES ('AAA', 0.05, 0.05, 0.95, 0.05), ('BBB', 2.05, 1.0, 2.05, 1.7)) t(k, x1, y1, x2, y2)), c AS (SELECT k, x1, y1, x2, y2, unnest(range(0, 30)) AS i FROM s),
-    q AS (SELECT k, CASE WHEN k = 'AAA' THEN 1800 + i ELSE 1820 END AS lon_idx, CASE WHEN k = 'AAA' THEN 900 ELSE 900 + i END AS lat_idx,
-                 CASE WHEN k = 'AAA' THEN greatest(0, least(x2, (i + 1) / 10.0) - greatest(x1, i / 10.0)) * cos(radians(0.05)) ELSE greatest(0, least(y2, (i + 1) / 10.0) - greatest(y1, i / 10.0)) END * 111195.0 AS m FROM c)
-    SELECT k AS iso3, CAST(lon_idx AS INTEGER) AS lon_idx, CAST(lat_idx AS INTEGER) AS lat_idx, round(m, 2)::DOUBLE AS coast_length_meters, 1 AS with_coast FROM q WHERE m > 1e-3
-""")
-def coast_length(spark: SparkSession, d: str) -> DataFrame:
-    """Length of the boundary in each cell."""
-    segments = spark.createDataFrame([("AAA", 0.05, 0.05, 0.95, 0.05), ("BBB", 2.05, 1.0, 2.05, 1.7)], "iso3 string, x1 double, y1 double, x2 double, y2 double")
-    return grid.line_length_by_cell(segments, ["iso3"]).withColumn("coast_length_meters", r("coast_length_meters", 2)).where("coast_length_meters > 1e-3")
+    """The cells of the whole grid where a country has customers, with centres, numbers and identifiers."""
+    key = F.col("c_custkey").cast("long")
+    own = parquet(spark, d, "customer").select(F.format_string("N%02d", "c_nationkey").alias("iso3"), (key * 7919 % 3600).cast("int").alias("lon_idx"), (key * 104729 % 1800).cast("int").alias("lat_idx")).distinct()
+    cells = grid.with_ids(grid.global_grid(spark).join(own, ["lon_idx", "lat_idx"]))
+    return cells.select("iso3", "lon_idx", "lat_idx", r("Longitude", 6).alias("lon"), r("Latitude", 6).alias("lat"), "number", "id")
 
 
 _PIXELS = """p AS (SELECT CAST(floor(round((CAST(embedding[1] AS DOUBLE) + 180) / 0.05, 9)) AS INTEGER) AS lon_idx, label, CAST(embedding[3] AS DOUBLE) AS v, vec_id FROM embeddings)"""
@@ -683,12 +660,6 @@ def _shapes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(u, "X", rings) for u, rings in _SHAPES.items()], "unit string, iso3 string, rings array<array<struct<x:double,y:double>>>")
 
 
-@query(f"WITH {_EDGES}, {_CENTRES} SELECT unit, round(cx, 9) AS x, round(cy, 9) AS y FROM c")
-def polygon_centroid(spark: SparkSession, d: str) -> DataFrame:
-    """Centres of area of oblique polygons with a hole and with two parts."""
-    return spatial.centroids(_shapes(spark), ["unit"]).select("unit", r("x", 9).alias("x"), r("y", 9).alias("y"))
-
-
 @query(f"""
     WITH {_PLACES}, {_EDGES}, {_INSIDE}, {_CENTRES}, n AS (SELECT vec_id AS pid, arg_min(unit, (sqrt((x - cx) ** 2 + (y - cy) ** 2), unit)) AS near FROM place CROSS JOIN c GROUP BY 1)
     SELECT pid, coalesce(unit, near) AS unit, CASE WHEN unit IS NULL THEN 'nearest' ELSE 'inside' END AS how FROM n LEFT JOIN i USING (pid)
@@ -699,20 +670,6 @@ def admin_bridge_oblique(spark: SparkSession, d: str) -> DataFrame:
     return spatial.match_units(points, _shapes(spark), "iso3", 0.05).select("pid", "unit", "how")
 
 
-@query(f"""
-    WITH {_EDGES}, c AS (SELECT lon_idx, lat_idx, (lon_idx + 0.5)::DOUBLE / 100 - 180 AS cx, (lat_idx + 0.5)::DOUBLE / 100 - 90 AS cy, lon_idx * 0.01::DOUBLE - 180 AS l, lat_idx * 0.01::DOUBLE - 90 AS b
-      FROM range(17960, 18040) x(lon_idx) CROSS JOIN range(8970, 9035) y(lat_idx)),
-    q AS (SELECT unit, lon_idx, lat_idx, cx, cy, l, b, x1, y1, x2, y2,
-                 CASE WHEN x1 = x2 THEN 0 ELSE least((l - x1) / (x2 - x1), (l + 0.01::DOUBLE - x1) / (x2 - x1)) END AS s1, CASE WHEN x1 = x2 THEN 1 ELSE greatest((l - x1) / (x2 - x1), (l + 0.01::DOUBLE - x1) / (x2 - x1)) END AS t1,
-                 CASE WHEN y1 = y2 THEN 0 ELSE least((b - y1) / (y2 - y1), (b + 0.01::DOUBLE - y1) / (y2 - y1)) END AS s2, CASE WHEN y1 = y2 THEN 1 ELSE greatest((b - y1) / (y2 - y1), (b + 0.01::DOUBLE - y1) / (y2 - y1)) END AS t2 FROM c CROSS JOIN e)
-    SELECT unit AS iso3, CAST(lon_idx AS INTEGER) AS lon_idx, CAST(lat_idx AS INTEGER) AS lat_idx FROM q GROUP BY ALL
-    HAVING bool_or(greatest(0, s1, s2) <= least(1, t1, t2)) OR count(*) FILTER ((y1 > cy) <> (y2 > cy) AND cx < (x2 - x1) * (cy - y1) / (y2 - y1) + x1) % 2 = 1
-""")
-def land_cells_oblique(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of a hundredth of a degree that oblique polygons touch."""
-    return grid.land_cells(_shapes(spark).select(F.col("unit").alias("iso3"), "rings"), step=0.01)
-
-
 #: A rectangle around each place, on a net of hundredths so that many touch, overlap and nest; the largest hold many others.
 _RECTANGLES = """box AS (SELECT vec_id, label, round(x, 2) AS x1, round(y, 2) AS y1, round(round(x, 2) + 0.01 + round(abs(v) / 4, 2), 2) AS x2, round(round(y, 2) + 0.01 + round(abs(w) / 4, 2), 2) AS y2 FROM place)"""
 
@@ -747,6 +704,69 @@ def dissolved_lookup(spark: SparkSession, d: str) -> DataFrame:
     return spatial.point_in_polygon(points, whole, 0.05).select("pid", F.col("unit").alias("label"))
 
 
+#: An oblique triangle at each place, and its edges.
+_TRIANGLES = """tri AS (SELECT vec_id, label, x AS ax, y AS ay, x + 0.02 + abs(v) / 8 AS bx, y + w / 16 AS "by", x - v / 16 AS cx, y + 0.03 + abs(w) / 8 AS cy FROM place),
+    e AS (SELECT vec_id, label, ax AS x1, ay AS y1, bx AS x2, "by" AS y2 FROM tri UNION ALL SELECT vec_id, label, bx, "by", cx, cy FROM tri UNION ALL SELECT vec_id, label, cx, cy, ax, ay FROM tri)"""
+
+
+def _triangles(spark: SparkSession, d: str) -> DataFrame:
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x, y, v, w = (F.col(c) for c in "xyvw")
+    a, b, c = at(x, y), at(x + 0.02 + F.abs(v) / 8, y + w / 16), at(x - v / 16, y + 0.03 + F.abs(w) / 8)
+    return _places(spark, d).select("vec_id", "label", F.array(F.array(a, b, c, a)).alias("rings"))
+
+
+@query(f"""
+    WITH {_PLACES}, {_TRIANGLES} SELECT label, round(sum((x1 + x2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)), 6) AS x, round(sum((y1 + y2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)), 6) AS y FROM e GROUP BY 1
+""")
+def polygon_centroid(spark: SparkSession, d: str) -> DataFrame:
+    """Centres of area of groups of oblique triangles."""
+    return spatial.centroids(_triangles(spark, d), ["label"]).select("label", r("x", 6).alias("x"), r("y", 6).alias("y"))
+
+
+@query(f"""
+    WITH {_PLACES}, {_RECTANGLES}, c AS (SELECT label, unnest(range(floor((x1 + 0.005 + 180) * 10)::INT, floor((x2 + 0.005 + 180) * 10)::INT + 1)) AS lon_idx, y1, y2 FROM box)
+    SELECT DISTINCT label AS iso3, CAST(lon_idx AS INTEGER) AS lon_idx, CAST(unnest(range(floor((y1 + 0.005 + 90) * 10)::INT, floor((y2 + 0.005 + 90) * 10)::INT + 1)) AS INTEGER) AS lat_idx FROM c
+""")
+def land_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells that a group's rectangles touch."""
+    moved = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.struct((p["x"] + 0.005).alias("x"), (p["y"] + 0.005).alias("y"))))  # off the lines between cells
+    return grid.land_cells(_rectangles(spark, d).select(F.col("label").alias("iso3"), moved.alias("rings")))
+
+
+def _passes_sql(step: str) -> str:
+    """Each edge (vec_id, label, x1 to y2) with the cells of its box: from which share of it (s) to which (t) it is inside."""
+    part = lambda a, b, low: f"CASE WHEN {a} = {b} THEN {{}} ELSE {{}}(({low} - {a}) / ({b} - {a}), ({low} + {step}::DOUBLE - {a}) / ({b} - {a})) END"
+    return f"""k AS (SELECT *, unnest(range(floor((least(x1, x2) + 180) / {step}::DOUBLE)::INT, floor((greatest(x1, x2) + 180) / {step}::DOUBLE)::INT + 1)) AS lon_idx FROM e),
+    m AS (SELECT *, unnest(range(floor((least(y1, y2) + 90) / {step}::DOUBLE)::INT, floor((greatest(y1, y2) + 90) / {step}::DOUBLE)::INT + 1)) AS lat_idx FROM k),
+    g AS (SELECT *, lon_idx * {step}::DOUBLE - 180 AS l, lat_idx * {step}::DOUBLE - 90 AS b FROM m),
+    q AS (SELECT *, greatest(0, {part("x1", "x2", "l").format(0, "least")}, {part("y1", "y2", "b").format(0, "least")}) AS s, least(1, {part("x1", "x2", "l").format(1, "greatest")}, {part("y1", "y2", "b").format(1, "greatest")}) AS t FROM g)"""
+
+
+@query(f"""
+    WITH {_PLACES}, {_TRIANGLES}, {_passes_sql("0.1")}
+    SELECT label AS iso3, CAST(lon_idx AS INTEGER) AS lon_idx, CAST(lat_idx AS INTEGER) AS lat_idx, 1 AS with_coast,
+           round(sum((t - s) * sqrt(((x2 - x1) * cos(radians((y1 + y2) / 2))) ** 2 + (y2 - y1) ** 2) * 111195.0), 2) AS coast_length_meters FROM q WHERE t > s GROUP BY ALL
+""")
+def coast_length(spark: SparkSession, d: str) -> DataFrame:
+    """Length of the boundary in each cell, of oblique triangles."""
+    edges = grid.edges_of(_triangles(spark, d), ["label"]).withColumnRenamed("label", "iso3")
+    return grid.line_length_by_cell(edges, ["iso3"]).withColumn("coast_length_meters", r("coast_length_meters", 2))
+
+
+@query(f"""
+    WITH {_PLACES}, {_TRIANGLES}, {_passes_sql("0.01")}, border AS (SELECT DISTINCT label, lon_idx, lat_idx FROM q WHERE s <= t),
+    w AS (SELECT vec_id, label, min(least(x1, x2)) AS lo, max(greatest(x1, x2)) AS hi, min(least(y1, y2)) AS lob, max(greatest(y1, y2)) AS hib FROM e GROUP BY ALL),
+    wk AS (SELECT *, unnest(range(floor((lo + 180) * 100)::INT, floor((hi + 180) * 100)::INT + 1)) AS lon_idx FROM w), wm AS (SELECT *, unnest(range(floor((lob + 90) * 100)::INT, floor((hib + 90) * 100)::INT + 1)) AS lat_idx FROM wk),
+    c AS (SELECT vec_id, label, lon_idx, lat_idx, (lon_idx + 0.5)::DOUBLE / 100 - 180 AS px, (lat_idx + 0.5)::DOUBLE / 100 - 90 AS py FROM wm),
+    inner_ AS (SELECT c.vec_id, c.label, lon_idx, lat_idx FROM c JOIN e ON c.vec_id = e.vec_id AND (y1 > py) <> (y2 > py) AND px < (x2 - x1) * (py - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1)
+    SELECT DISTINCT label AS iso3, CAST(lon_idx AS INTEGER) AS lon_idx, CAST(lat_idx AS INTEGER) AS lat_idx FROM (SELECT label, lon_idx, lat_idx FROM border UNION ALL SELECT label, lon_idx, lat_idx FROM inner_)
+""")
+def land_cells_oblique(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of a hundredth of a degree that oblique triangles touch."""
+    return grid.land_cells(_triangles(spark, d).select(F.col("label").alias("iso3"), "rings"), step=0.01)
+
+
 @query(f"""
     WITH {_PLACES}, {_EDGES}, t AS (SELECT vec_id, label AS sid, x, y, TIMESTAMP '2020-01-01' + INTERVAL 1 HOUR * vec_id AS ts FROM place),
     i AS (SELECT DISTINCT vec_id FROM (SELECT vec_id, unit FROM t JOIN e ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1)),
