@@ -257,16 +257,14 @@ def admin_bridge(spark: SparkSession, d: str) -> DataFrame:
 # --- impact -------------------------------------------------------------------------------------------------------
 
 @query("""
-    WITH e AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS event FROM orders),
-    reported AS (SELECT date_trunc('month', o_orderdate)::DATE AS event, c_nationkey AS unit, max(o_totalprice) AS amount FROM orders JOIN customer ON o_custkey = c_custkey
-                 WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000 GROUP BY ALL)
+    WITH e AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS event FROM orders),
+    reported AS (SELECT CAST(o_orderdate AS DATE) AS event, c_nationkey AS unit, max(o_totalprice) AS amount FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
     SELECT e.event, n_nationkey AS unit, coalesce(amount, 0) AS amount FROM e CROSS JOIN nation LEFT JOIN reported ON reported.event = e.event AND unit = n_nationkey
 """)
 def impact_expand_zero_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Every event with every unit: the reported amount or 0."""
-    orders = parquet(spark, d, "orders").withColumn("event", F.to_date(F.date_trunc("month", "o_orderdate")))
-    reported = orders.where("o_orderpriority = '1-URGENT' AND o_totalprice > 400000").join(parquet(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    reported = reported.select("event", F.col("c_nationkey").alias("unit"), F.col("o_totalprice").alias("amount"))
+    """Every event (a day) with every unit: the largest amount reported or 0."""
+    orders = parquet(spark, d, "orders").withColumn("event", F.to_date("o_orderdate"))
+    reported = orders.join(parquet(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("event", F.col("c_nationkey").alias("unit")).agg(F.max("o_totalprice").alias("amount"))
     units = parquet(spark, d, "nation").select(F.lit("X").alias("country"), F.col("n_nationkey").alias("unit"))
     events = orders.select("event").distinct().withColumn("country", F.lit("X"))
     return impact.expanded(events, reported, units, "event", "country", "unit", "amount").select("event", "unit", "amount")
@@ -962,13 +960,33 @@ def _stage_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 """)
 def training_table(spark: SparkSession, d: str) -> DataFrame:
     """The training table from its stages: units, targets by unit or by country, rain, event, history and static layers."""
-    rows = assemble.training_table(**_stage_tables(spark, d), join_on="admin")
+    return _training_columns(assemble.training_table(**_stage_tables(spark, d), join_on="admin"))
+
+
+def _training_columns(rows: DataFrame) -> DataFrame:
     return rows.select(
         "id", "iso3", "sid", "wind_speed", F.col("GID_1").alias("unit"), F.col("GID_0").alias("country"), "level", F.col("`Total Affected`").alias("affected"), F.col("perc_affected_pop_grid_region").alias("perc"),
         F.col("rainfall_max_24h").alias("rain"), F.col("`DisNo.`").alias("event"), F.col("N_events_5_years").alias("n_events"), "population",
     )
 
 
+@query(f"""
+    WITH {_STAGES}, j AS (SELECT 's' || ((o_orderkey + 1) % 40) AS sid, 'c' || o_custkey AS id, 'C' || c_nationkey AS g0, 'ADM1' AS level, max(o_totalprice) AS total, max(o_totalprice) / 10000 AS perc FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+    t AS (SELECT w.*, c.g1, g0, level, total, perc FROM w JOIN c USING (id, iso3) JOIN j ON j.sid = w.sid AND j.id = w.id)
+    SELECT t.id, t.iso3, t.sid, wind_speed, t.g1 AS unit, g0 AS country, level, total AS affected, perc, coalesce(rain, 0) AS rain, e.dis AS event, CAST(coalesce(n, 0) AS INTEGER) AS n_events, bal AS population
+    FROM t LEFT JOIN r USING (id, iso3, sid) LEFT JOIN e ON t.sid = e.sid AND t.iso3 = e.iso3 LEFT JOIN h ON h.id = t.id AND h.iso3 = t.iso3 AND h.dis = e.dis JOIN c ON c.id = t.id
+""")
+def training_table_by_cell(spark: SparkSession, d: str) -> DataFrame:
+    """The training table with targets joined on the cell, the default of the command."""
+    orders = parquet(spark, d, "orders").join(parquet(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    none = F.lit(None).cast("string")
+    cells = orders.groupBy(
+        F.concat(F.lit("s"), (F.col("o_orderkey") + 1) % 40).alias("sid"), F.concat(F.lit("c"), "o_custkey").alias("id"), F.concat(F.lit("N"), "c_nationkey").alias("iso3"), F.concat(F.lit("C"), "c_nationkey").alias("GID_0"),
+        none.alias("GID_1"), none.alias("GID_2"), F.lit("ADM1").alias("level"),
+    ).agg(F.max("o_totalprice").alias("Total Affected"), (F.max("o_totalprice") / 10000).alias("perc_affected_pop_grid_region"))
+    return _training_columns(assemble.training_table(**_stage_tables(spark, d) | {"impact": cells}, join_on="id"))
+
+
 _PREPARED = """x AS (SELECT 'e' || strftime(o_orderdate, '%Y%m') || n_regionkey AS event, 's' || strftime(o_orderdate, '%Y%m') AS sid, CASE WHEN o_orderkey % 2 = 0 THEN 'ADM1' ELSE 'ADM0' END AS level, 'C' || n_regionkey AS g0, 'u' || n_nationkey AS g1, 'I' || n_regionkey AS iso3,
             CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice - 250000 ELSE 0 END AS total, o_totalprice / 10000 AS perc, o_orderkey % 50 AS wind, c_acctbal AS bal, date_trunc('month', o_orderdate)::DATE AS month, n_regionkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
