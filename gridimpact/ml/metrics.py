@@ -8,28 +8,65 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridimpact.functions.scalar import SEVERE, category, share
+from gridimpact.sources.tables import settled
 
 
-def medians(rows: DataFrame, by: Sequence[str], value: str | Column, out: str = "median", bins: int = 1024) -> DataFrame:
+#: Values of a group that one task puts in order, and into how many parts a sketch divides the rest.
+MOST_VALUES, PARTS = 50_000, 256
+
+
+def medians(rows: DataFrame, by: Sequence[str], value: str | Column, out: str = "median", most: int = MOST_VALUES) -> DataFrame:
     """The exact median of each group (one row where there is no `by`), groups without a value left out.
 
-    No group is held at once: values are counted, then counted by ranges of values, and only the range in the middle is put in order.
+    No task puts more than `most` different values of a group in order, however they are distributed (see `in_the_middle`).
     """
     keys = [f"_k{i}" for i in range(len(by) + 1)]
     v = F.col(value) if isinstance(value, str) else value
     rows = rows.select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=False)), F.lit(0).alias(keys[-1]), v.cast("double").alias("_v")).where("_v IS NOT NULL")
-    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    ends = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    share = F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    placed = _null_safe(counts, ends, keys).withColumn("_bin", F.least(F.floor(share * bins), F.lit(bins - 1)))
+    near = in_the_middle(rows, keys, most)
+    w = Window.partitionBy(*keys).orderBy("_v")
+    near = near.withColumn("_before", F.col("_before") + F.sum("_c").over(w) - F.col("_c"))
     holds = (F.col("_before") < F.floor(F.col("_n") / 2) + 1) & (F.col("_before") + F.col("_c") >= F.floor((F.col("_n") + 1) / 2))
-    ranges = placed.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_c"), F.first("_n").alias("_n"))
-    ranges = ranges.withColumn("_before", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_bin")) - F.col("_c")).where(holds)  # at most `bins` rows a group
-    near = _null_safe(placed.drop("_n", "_lo", "_hi"), ranges.drop("_c"), [*keys, "_bin"])
-    w = Window.partitionBy(*keys, "_bin").orderBy("_v")
-    near = near.withColumn("_before", F.col("_before") + F.sum("_c").over(w) - F.col("_c")).where(holds)
     low, high = F.min("_v"), F.max("_v")
-    return near.groupBy(*keys).agg(((low + high) / 2).alias(out)).select(*(F.col(k).alias(c) for c, k in zip(by, keys, strict=False)), out)
+    return near.where(holds).groupBy(*keys).agg(((low + high) / 2).alias(out)).select(*(F.col(k).alias(c) for c, k in zip(by, keys, strict=False)), out)
+
+
+def in_the_middle(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """keys, _v, _c: the different values around the median of each group with their counts, _before (how many rows lie below them all) and _n.
+
+    While a group has more than `most` of them, a mergeable sketch of its quantiles brackets the middle, counts tell what lies below and inside the bracket, and
+    only what is inside goes on. Ranks decide, so a few huge values don't matter.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= most:
+        counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+        return counts.select("*", F.lit(0).alias("_before"), F.sum("_c").over(Window.partitionBy(*keys)).alias("_n"))
+    wide = float("inf")
+    state = sizes.select(*keys, "_n", F.lit(0).cast("long").alias("_before"), F.col("_n").alias("_in"), F.lit(-wide).alias("_lo"), F.lit(wide).alias("_hi"), F.lit(most + 1).cast("long").alias("_different"))
+    ranks = F.array(*(F.lit(k / PARTS) for k in range(PARTS + 1)))
+    while True:
+        inside = _null_safe(rows, state, keys).where("_v >= _lo AND _v <= _hi")
+        sketch = inside.where(F.col("_different") > most).groupBy(*keys).agg(F.percentile_approx("_v", ranks, F.lit(20 * PARTS)).alias("_q"))
+        middle = (F.col("_n") / 2 - F.col("_before")) / F.col("_in") * PARTS
+        at = lambda k: F.get("_q", F.greatest(F.lit(0), F.least(F.lit(PARTS), k)).cast("int"))
+        guess = _null_safe(state, sketch, keys).select(*keys, at(F.floor(middle) - 1).alias("_lo2"), at(F.ceil(middle) + 1).alias("_hi2"))
+        counted = _null_safe(inside, guess, keys).groupBy(*keys).agg(
+            F.count_if(F.col("_v") < F.col("_lo2")).alias("_below"), F.count_if(F.col("_v").between(F.col("_lo2"), F.col("_hi2"))).alias("_in2"),
+            F.approx_count_distinct(F.when(F.col("_v").between(F.col("_lo2"), F.col("_hi2")), F.col("_v"))).alias("_d2"), F.first("_lo2").alias("_lo2"), F.first("_hi2").alias("_hi2"),
+        )
+        named = counted.withColumnsRenamed({k: f"_r{k}" for k in keys})
+        both = state.join(named, [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys], "left").drop(*(f"_r{k}" for k in keys))
+        below = F.col("_before") + F.col("_below")
+        good = F.coalesce((below < F.floor((F.col("_n") + 1) / 2)) & (below + F.col("_in2") >= F.floor(F.col("_n") / 2) + 1), F.lit(False))  # the middle is inside
+        pick = lambda new, old: F.when(good, new).otherwise(F.col(old)).alias(old)
+        shrunk = (good & (F.col("_in2") < F.col("_in"))).alias("_shrunk")
+        state = settled(both.select(*keys, "_n", pick(below, "_before"), pick(F.col("_in2"), "_in"), pick(F.col("_lo2"), "_lo"), pick(F.col("_hi2"), "_hi"), pick(F.col("_d2"), "_different"), shrunk), "medians")
+        left = state.agg(F.max("_different").alias("most"), F.bool_or("_shrunk").alias("shrunk")).first()
+        state = state.drop("_shrunk")
+        if left.most <= most or not left.shrunk:
+            break
+    inside = _null_safe(rows, state, keys).where("_v >= _lo AND _v <= _hi")
+    return inside.groupBy(*keys, "_v", "_before", "_n").agg(F.count(F.lit(1)).alias("_c"))
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -170,7 +170,7 @@ def test_medians_are_exact(spark):
     df = spark.createDataFrame(rows, "g string, v double")
     want = {g: statistics.median(v for h, v in rows if h == g and v is not None) for g in ("a", "b", None, "one")}
     assert {r.g: r.median for r in metrics.medians(df, ["g"], "v").collect()} == pytest.approx(want)
-    assert [r.median for r in metrics.medians(df, [], "v", bins=3).collect()] == pytest.approx([statistics.median(v for _, v in rows if v is not None)])
+    assert [r.median for r in metrics.medians(df, [], "v", most=3).collect()] == pytest.approx([statistics.median(v for _, v in rows if v is not None)])
     assert metrics.medians(df.where("false"), [], "v").count() == 0
     assert [r.v for r in assemble.median_filled(df.where("g = 'none'"), "v").collect()] == [None]
 
