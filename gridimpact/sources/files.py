@@ -1,10 +1,9 @@
-"""Vector and raster files as tables. Spark reads the bytes, so any store it knows will do; each file is decoded in one task."""
+"""Vector files as tables. Spark reads the bytes, so any store it knows will do; each file is decoded in one task."""
 
 from __future__ import annotations
 
 import sqlite3
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,74 +73,5 @@ def _packaged(blob: bytes | None) -> list:
 
 
 def merged_parts(polygons: DataFrame, keys: list[str]) -> DataFrame:
-    """All rings of a group as one polygon; parts that do not overlap keep their meaning under the even-odd rule."""
+    """All rings of a group as one polygon, for parts that do not overlap; `operators.union` makes the union of those that may."""
     return polygons.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).groupBy(*keys).agg(F.flatten(F.collect_list("rings")).alias("rings"))
-
-
-# --- rasters --------------------------------------------------------------------------------------------------------
-
-_SIZES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
-
-
-def _tags(data: bytes) -> tuple[str, dict[int, tuple]]:
-    order = "<" if data[:2] == b"II" else ">"
-    magic, at = struct.unpack_from(order + "HI", data, 2)
-    if magic != 42:
-        raise ValueError("not a classic TIFF file")
-    (n,) = struct.unpack_from(order + "H", data, at)
-    tags = {}
-    for k in range(n):
-        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
-        form = order + _SIZES.get(kind, "B") * count
-        place = at + 10 + 12 * k
-        if struct.calcsize(form) > 4:
-            (place,) = struct.unpack_from(order + "I", data, place)
-        tags[tag] = struct.unpack_from(form, data, place)
-    return order, tags
-
-
-def read_geotiff(data: bytes) -> tuple[np.ndarray, tuple[float, float, float, float], float | None]:
-    """First band, (west edge, pixel width, north edge, pixel height) and the nodata value of a plain or deflated GeoTIFF."""
-    order, t = _tags(data)
-    width, height, packing = t[256][0], t[257][0], t.get(259, (1,))[0]
-    if packing not in (1, 8, 32946) or t.get(277, (1,))[0] != 1:
-        raise ValueError("only single-band rasters, plain or deflated")
-    kind = {1: "u", 2: "i", 3: "f"}[t.get(339, (1,))[0]]
-    dtype = np.dtype(f"{order}{kind}{t[258][0] // 8}")
-    if 322 in t:
-        w, h, places, sizes = t[322][0], t[323][0], t[324], t[325]
-    else:
-        w, h, places, sizes = width, t.get(278, (height,))[0], t[273], t[279]
-    across = -(-width // w)
-    band = np.zeros((height, width), dtype.newbyteorder("="))
-    for k, (at, size) in enumerate(zip(places, sizes, strict=True)):
-        raw = data[at : at + size]
-        block = np.frombuffer(zlib.decompress(raw) if packing != 1 else raw, dtype)
-        block = block.reshape(-1, w)
-        if t.get(317, (1,))[0] == 2:
-            block = np.cumsum(block, axis=1, dtype=band.dtype)
-        top, left = k // across * h, k % across * w
-        rows, cols = min(len(block), height - top), min(w, width - left)
-        band[top : top + rows, left : left + cols] = block[:rows, :cols]
-    scale, tie = t[33550], t[33922]
-    nodata = b"".join(t[42113]).split(b"\0")[0] if 42113 in t else b""
-    return band, (tie[3] - tie[0] * scale[0], scale[0], tie[4] + tie[1] * scale[1], scale[1]), float(nodata) if nodata.strip() else None
-
-
-def geotiff(spark: SparkSession, path: str, pattern: str | None = None, rows_a_batch: int = 64) -> DataFrame:
-    """tile (file name), row, col, lon, lat (of the pixel's centre) and value of every pixel that has one."""
-
-    def pixels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                band, (west, dx, north, dy), nodata = read_geotiff(bytes(content))
-                for top in range(0, len(band), rows_a_batch):
-                    part = band[top : top + rows_a_batch].astype(float)
-                    keep = np.isfinite(part) & (part != nodata if nodata is not None else True)
-                    row, col = np.nonzero(keep)
-                    lon, lat = west + (col + 0.5) * dx, north - (row + top + 0.5) * dy
-                    yield pd.DataFrame({"tile": name.rsplit("/", 1)[-1], "row": row + top, "col": col, "lon": lon, "lat": lat, "value": part[keep]})
-
-    reader = spark.read.format("binaryFile")
-    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).select("path", "content")
-    return files.mapInPandas(pixels, "tile string, row int, col int, lon double, lat double, value double")

@@ -10,11 +10,12 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, LessThan
 
 from gridimpact import cli
 from gridimpact.ml import models
 from gridimpact.operators.assemble import FEATURES
-from gridimpact.sources import files
+from gridimpact.sources import files, rasters
 
 
 def polygon(*rings):
@@ -41,19 +42,60 @@ def test_geopackage(spark, tmp_path):
     assert {r.GID_0: len(r.rings) for r in files.merged_parts(df, ["GID_0"]).collect()} == {"A": 3, "B": 0}
 
 
-@pytest.mark.parametrize("packed", [False, True])
-def test_geotiff(spark, tmp_path, packed):
-    band = np.arange(12, dtype="<f4").reshape(3, 4)
-    band[1, 1] = -9999
-    body = zlib.compress(band.tobytes()) if packed else band.tobytes()
-    doubles = struct.pack("<3d", 0.5, 0.25, 0) + struct.pack("<6d", 0, 0, 0, 10.0, 50.0, 0)
-    at = 8 + len(body)
-    entries = [(256, 3, 1, 4), (257, 3, 1, 3), (258, 3, 1, 32), (259, 3, 1, 8 if packed else 1), (273, 4, 1, 8), (277, 3, 1, 1), (278, 3, 1, 3), (279, 4, 1, len(body)), (339, 3, 1, 3), (33550, 12, 3, at), (33922, 12, 6, at + 24), (42113, 2, 6, at + 72)]
-    ifd = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + struct.pack("<I", 0)
-    (tmp_path / "t.tif").write_bytes(struct.pack("<2sHI", b"II", 42, at + 80) + body + doubles + b"-9999\0\0\0" + ifd)
-    out = {(r.row, r.col): (r.lon, r.lat, r.value) for r in files.geotiff(spark, str(tmp_path), "*.tif").collect()}
-    assert len(out) == 11 and (1, 1) not in out
-    assert out[2, 3] == (11.75, 50 - 0.625, 11.0)
+def write_tiff(path, band: np.ndarray, block: tuple[int, int], packed: bool, tiled: bool, differences: bool = False, west: float = 10.0, north: float = 50.0, step: float = 0.25) -> None:
+    """A raster of 32-bit numbers; block: columns and rows."""
+    w, h = block
+    whole = np.full((-(-band.shape[0] // h) * h, -(-band.shape[1] // w) * w), -9999, "<i4")
+    whole[: band.shape[0], : band.shape[1]] = band
+    bodies = []
+    for top in range(0, whole.shape[0], h):
+        for left in range(0, whole.shape[1], w):
+            part = whole[top : top + h, left : left + w]
+            if not tiled:
+                part = part[: band.shape[0] - top, : band.shape[1]]
+            if differences:
+                part = np.diff(part, axis=1, prepend=0).astype("<i4")
+            bodies.append(zlib.compress(part.tobytes()) if packed else part.tobytes())
+    places = np.cumsum([8, *map(len, bodies)])[:-1].tolist()
+    at = 8 + sum(map(len, bodies))
+    extra = struct.pack("<3d", step, step, 0) + struct.pack("<6d", 0, 0, 0, west, north, 0) + b"-9999\0\0\0" + struct.pack(f"<{len(bodies)}I", *places) + struct.pack(f"<{len(bodies)}I", *map(len, bodies))
+    listed = lambda values, place: (len(values), values[0] if len(values) == 1 else place)
+    spots, lengths = listed(places, at + 80), listed(list(map(len, bodies)), at + 80 + 4 * len(bodies))
+    shape = [(322, 3, 1, w), (323, 3, 1, h), (324, 4, *spots), (325, 4, *lengths)] if tiled else [(273, 4, *spots), (278, 3, 1, h), (279, 4, *lengths)]
+    entries = [(256, 3, 1, band.shape[1]), (257, 3, 1, band.shape[0]), (258, 3, 1, 32), (259, 3, 1, 8 if packed else 1), (277, 3, 1, 1), (317, 3, 1, 2 if differences else 1), (339, 3, 1, 2), *shape]
+    entries += [(33550, 12, 3, at), (33922, 12, 6, at + 24), (42113, 2, 6, at + 72)]
+    directory = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in sorted(entries)) + struct.pack("<I", 0)
+    path.write_bytes(struct.pack("<2sHI", b"II", 42, at + len(extra)) + b"".join(bodies) + extra + directory)
+
+
+@pytest.mark.parametrize(("packed", "tiled", "differences"), [(False, False, False), (True, False, True), (True, True, False), (False, True, True)])
+def test_rasters_are_read_block_by_block(spark, tmp_path, packed, tiled, differences):
+    rng = np.random.default_rng(1)
+    band = rng.integers(-50, 50, (37, 53)).astype("<i4")
+    band[5, 7] = -9999
+    write_tiff(tmp_path / "t.tif", band, (16, 8) if tiled else (53, 4), packed, tiled, differences)
+    write_tiff(tmp_path / "u.tif", band[:3, :2], (16, 16) if tiled else (2, 3), packed, tiled, differences, west=100.0)
+    (tmp_path / "notes.txt").write_text("no raster")
+    df = rasters.geotiff(spark, str(tmp_path), partition_bytes=300)
+    assert df.rdd.getNumPartitions() >= 5  # of one file
+    got = {(r.tile, r.row, r.col): (r.lon, r.lat, r.value) for r in df.collect()}
+    want = {("t.tif", i, j): (10 + (j + 0.5) * 0.25, 50 - (i + 0.5) * 0.25, float(band[i, j])) for i in range(37) for j in range(53) if band[i, j] != -9999}
+    want |= {("u.tif", i, j): (100 + (j + 0.5) * 0.25, 50 - (i + 0.5) * 0.25, float(band[i, j])) for i in range(3) for j in range(2)}
+    assert got == want
+    box = df.where("lon BETWEEN 12 AND 13 AND lat > 46 AND lat < 47.5 AND value > 0")
+    assert {(r.tile, r.row, r.col) for r in box.collect()} == {k for k, (x, y, v) in want.items() if 12 <= x <= 13 and 46 < y < 47.5 and v > 0}
+    alone = df.where("tile = 'u.tif' AND row <= 1")
+    assert {(r.tile, r.row, r.col) for r in alone.collect()} == {k for k in want if k[0] == "u.tif" and k[1] <= 1}
+
+
+def test_a_box_plans_only_its_blocks(tmp_path):
+    band = np.arange(64 * 64, dtype="<i4").reshape(64, 64)
+    write_tiff(tmp_path / "t.tif", band, (16, 16), True, True)
+    plan = lambda filters: (lambda r: (list(r.pushFilters(filters)), [k for p in r.partitions() for k in p.numbers])[1])(rasters.RasterReader({"path": str(tmp_path / "t.tif"), "partition_bytes": "1"}))
+    assert plan([]) == list(range(16))
+    assert plan([GreaterThanOrEqual(("lon",), 10 + 16 * 0.25), LessThan(("lon",), 10 + 32 * 0.25)]) == [1, 5, 9, 13]
+    assert plan([GreaterThan(("lat",), 50 - 16 * 0.25), EqualTo(("col",), 40)]) == [2]
+    assert plan([EqualTo(("tile",), "other.tif")]) == [] and plan([EqualTo(("value",), 3.0)]) == list(range(16))
 
 
 def test_commands(spark, tmp_path, monkeypatch):
