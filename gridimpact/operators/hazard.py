@@ -75,6 +75,56 @@ def wind_field(cells: DataFrame, track: DataFrame, sid: str, cutoff_km: float =
     return pairs.groupBy("id", sid).agg(F.max(wind).alias("wind_speed"))
 
 
+#: Density of air (kg/m3), the earth's rotation (1/s), and the coefficients and bounds of the published shape parameter of 2008.
+AIR, ROTATION = 1.15, 7.292e-5
+SHAPE = {"deficit2": -4.4e-5, "deficit": 0.01, "latitude": -0.014, "speed": 0.15, "one": 1.0, "power": 0.6, "power_deficit": 215.0, "least": 1.0, "most": 2.5}
+
+
+def shape_parameter(deficit_hpa: Column, lat: Column, speed: Column) -> Column:
+    """How peaked the profile is: from the pressure deficit, the latitude and the speed of the storm (m/s)."""
+    c = SHAPE
+    power = c["power"] * (1 - deficit_hpa / c["power_deficit"])
+    b = c["deficit2"] * deficit_hpa * deficit_hpa + c["deficit"] * deficit_hpa + c["latitude"] * F.abs(lat) + c["speed"] * F.pow(speed, power) + c["one"]
+    return F.greatest(F.lit(c["least"]), F.least(F.lit(c["most"]), b))
+
+
+def gradient_wind(distance_km: Column, radius_km: Column, deficit_hpa: Column, lat: Column, b: Column) -> Column:
+    """Wind (m/s) in balance with the pressure field and the earth's rotation at a distance from the centre; 0 without a deficit."""
+    r = F.greatest(distance_km, F.lit(1e-3)) * 1000
+    turn = r * ROTATION * F.abs(F.sin(F.radians(lat)))  # r f / 2
+    x = F.pow(radius_km * 1000 / r, b)
+    return F.sqrt(b / AIR * x * (F.greatest(deficit_hpa, F.lit(0.0)) * 100) * F.exp(-x) + turn * turn) - turn
+
+
+def gradient_wind_field(cells: DataFrame, track: DataFrame, sid: str, time: str, cutoff_km: float = 300.0) -> DataFrame:
+    """The strongest wind (m/s) of each storm at each cell within `cutoff_km`, from pressure and motion.
+
+    cells: id, x, y; track: sid, time, x, y, central_hpa, outer_hpa, radius_km. The wind goes round the centre (against the clock north of the equator);
+    the storm's own motion, from its displacement to the next point (the last: from the one before), is added as a vector, in full up to the radius of
+    maximum wind and less beyond as the distance grows. A storm that stands still has the same wind all around.
+    """
+    from gridimpact.operators.spatial import within
+
+    w = Window.partitionBy(sid).orderBy(time)
+    step = lambda c: F.coalesce(F.lead(c).over(w) - F.col(c), F.col(c) - F.lag(c).over(w), F.lit(0.0))
+    seconds = F.unix_timestamp(time)
+    passed = F.coalesce(F.lead(seconds).over(w) - seconds, seconds - F.lag(seconds).over(w))
+    metres = KM_A_DEGREE * 1000
+    points = track.select(
+        sid, F.col("x").alias("sx"), F.col("y").alias("sy"), "radius_km", (F.col("outer_hpa") - F.col("central_hpa")).alias("deficit"),
+        F.coalesce(F.try_divide(step("x") * F.cos(F.radians("y")) * metres, passed), F.lit(0.0)).alias("u"), F.coalesce(F.try_divide(step("y") * metres, passed), F.lit(0.0)).alias("v"),
+    ).withColumn("site", F.lit(0))
+    pairs = within(cells.withColumn("pid", F.col("id")), points, cutoff_km / KM_A_DEGREE)
+    km = F.col("dist") * KM_A_DEGREE
+    b = shape_parameter(F.greatest("deficit", F.lit(0.0)), F.col("sy"), F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")))
+    round_ = gradient_wind(km, F.col("radius_km"), F.col("deficit"), F.col("sy"), b)
+    east, north = (F.coalesce(F.try_divide(F.col(c) - F.col(f"s{c}"), F.col("dist")), F.lit(0.0)) for c in "xy")
+    sense = F.when(F.col("sy") < 0, -1.0).otherwise(1.0)
+    part = F.least(F.lit(1.0), F.col("radius_km") / F.greatest(km, F.lit(1e-3)))
+    wind = F.sqrt(F.pow(-sense * round_ * north + part * F.col("u"), 2) + F.pow(sense * round_ * east + part * F.col("v"), 2))
+    return pairs.groupBy("id", sid).agg(F.max(wind).alias("wind_speed"))
+
+
 def window_days(day: Column, around: int = 2) -> Column:
     return F.sequence(F.date_sub(day, around), F.date_add(day, around))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +76,47 @@ def impact_share(cells: DataFrame, events: DataFrame, event: str, units: list[st
     both = both.join(affected, event)
     share = F.when(hit, 100 * F.col(amount) / F.col("_affected")).otherwise(F.lit(0.0))
     return both.withColumn("perc_affected_pop_grid_region", share).drop("_affected")
+
+
+def totals_by_level(cells: DataFrame, levels: Sequence[str], value: str) -> DataFrame:
+    """Sums of a value for every level of a hierarchy (from the whole down) in one aggregate: the levels, depth (how many of them count) and total.
+
+    Columns below a row's depth are NULL; depth tells them from keys that are missing themselves.
+    """
+    sets = [[F.col(c) for c in levels[:k]] for k in range(1, len(levels) + 1)]
+    depth = sum(((1 - F.grouping(c)).cast("int") for c in levels), F.lit(0))
+    return cells.groupingSets(sets, *(F.col(c) for c in levels)).agg(depth.alias("depth"), F.sum(value).alias("total"))
+
+
+def reconciled(cells: DataFrame, reports: DataFrame, levels: Sequence[str], weight: str, event: str = "event") -> DataFrame:
+    """event, cell and amount: reports given at several levels, spread over cells so that they add up to what is reported.
+
+    cells: the levels (the whole first, the cell last) and a weight. reports: event, the levels above the cell (NULL below the level that the report is
+    about) and amount. A unit without a report of its own has what is reported inside it. From the top down, units for which something is known take
+    that, the others of the same unit above share the rest by weight; where what is known adds up to more, or nothing is left that could take the
+    rest, it is scaled to the amount above. Units without any weight take nothing; events that nothing is reported for do not occur.
+    """
+    above = list(levels[:-1])
+    depth = sum((F.col(c).isNotNull().cast("int") for c in above), F.lit(0))
+    said = reports.where(F.col("amount").isNotNull()).groupBy(event, *above).agg(F.sum("amount").cast("double").alias("amount")).withColumn("_d", depth)
+    known: dict[int, DataFrame] = {}
+    for k in range(len(above), 0, -1):  # from below
+        keys = [event, *above[:k]]
+        own = said.where(F.col("_d") == k).select(*keys, F.col("amount").alias("_own"))
+        if k < len(above):
+            inside = known[k + 1].groupBy(*keys).agg(F.sum("_own").alias("_in"))
+            own = own.join(inside, keys, "full").select(*keys, F.coalesce("_own", "_in").alias("_own"))
+        known[k] = own
+    weights = cells.groupBy(*levels).agg(F.sum(weight).cast("double").alias("_w"))
+    shares = known[1].withColumnRenamed("_own", "_share")
+    for k in range(1, len(levels)):  # from above
+        keys, up = list(levels[: k + 1]), list(levels[:k])
+        rows = weights.groupBy(*keys).agg(F.sum("_w").alias("_w")).join(shares, up)
+        rows = rows.join(known[k + 1], [event, *keys], "left") if k < len(above) else rows.withColumn("_own", F.lit(None).cast("double"))
+        w = Window.partitionBy(event, *up)
+        free = F.sum(F.when(F.col("_own").isNull(), F.col("_w"))).over(w)
+        rows = rows.withColumns({"_r": F.coalesce(F.sum("_own").over(w), F.lit(0.0)), "_f": F.coalesce(free, F.lit(0.0))})
+        scaled = F.coalesce(F.col("_own") * F.try_divide(F.col("_share"), F.col("_r")), F.lit(0.0))
+        rest = F.coalesce("_own", (F.col("_share") - F.col("_r")) * F.try_divide(F.col("_w"), F.col("_f")))
+        shares = rows.select(event, *keys, F.when((F.col("_r") > F.col("_share")) | (F.col("_f") <= 0), scaled).otherwise(rest).alias("_share"))
+    return shares.withColumnRenamed("_share", "amount")

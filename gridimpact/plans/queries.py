@@ -164,6 +164,26 @@ def wind_field(spark: SparkSession, d: str) -> DataFrame:
     return hazard.wind_field(p.select(F.col("vec_id").alias("id"), "x", "y"), track, "sid", 10.0).withColumn("wind_speed", r("wind_speed"))
 
 
+@query(f"""
+    WITH {_PLACES}, p AS (SELECT vec_id, label, 20 + 5 * x AS x, 10 + 40 * v + 2 * y AS y, 1010.0 AS pn, 1010 - 90 * abs(w) * 3 AS pc, 20 + 60 * abs(v) AS rad, TIMESTAMP '2020-01-01' + INTERVAL 1 HOUR * vec_id AS ts FROM place),
+    t AS (SELECT *, coalesce(lead(x) OVER q - x, x - lag(x) OVER q, 0) AS dx, coalesce(lead(y) OVER q - y, y - lag(y) OVER q, 0) AS dy, coalesce(epoch(lead(ts) OVER q) - epoch(ts), epoch(ts) - epoch(lag(ts) OVER q)) AS dt FROM p WINDOW q AS (PARTITION BY label ORDER BY ts)),
+    m AS (SELECT label AS sid, x AS sx, y AS sy, rad, pn - pc AS dp, coalesce(dx * cos(radians(y)) * 111100 / nullif(dt, 0), 0) AS u, coalesce(dy * 111100 / nullif(dt, 0), 0) AS v FROM t),
+    c AS (SELECT p.vec_id AS id, m.*, p.x - sx AS ex, p.y - sy AS ey, sqrt((p.x - sx) ** 2 + (p.y - sy) ** 2) AS dist FROM p JOIN m ON sqrt((p.x - sx) ** 2 + (p.y - sy) ** 2) <= 60 / 111.1),
+    b AS (SELECT *, greatest(1, least(2.5, -4.4e-5 * dp * dp + 0.01 * dp - 0.014 * abs(sy) + 0.15 * sqrt(u * u + v * v) ** (0.6 * (1 - dp / 215)) + 1)) AS b, greatest(dist * 111.1, 1e-3) AS km FROM c),
+    g AS (SELECT *, km * 1000 * 7.292e-5 * abs(sin(radians(sy))) AS f, (rad / km) ** b AS h FROM b),
+    w AS (SELECT *, sqrt(b / 1.15 * h * dp * 100 * exp(-h) + f * f) - f AS wind, least(1, rad / km) AS part, coalesce(ex / nullif(dist, 0), 0) AS e, coalesce(ey / nullif(dist, 0), 0) AS n, CASE WHEN sy < 0 THEN -1 ELSE 1 END AS s FROM g)
+    SELECT id, sid, round(max(sqrt((-s * wind * n + part * u) ** 2 + (s * wind * e + part * v) ** 2)), 3) AS wind_speed FROM w GROUP BY ALL
+""")
+def gradient_wind_field(spark: SparkSession, d: str) -> DataFrame:
+    """The strongest wind of each storm at each cell in reach, from pressure, latitude and motion."""
+    p = _places(spark, d).select(
+        "vec_id", "label", (20 + 5 * F.col("x")).alias("x"), (10 + 40 * F.col("v") + 2 * F.col("y")).alias("y"), F.lit(1010.0).alias("outer_hpa"), (1010 - 90 * F.abs("w") * 3).alias("central_hpa"),
+        (20 + 60 * F.abs("v")).alias("radius_km"), F.expr("timestampadd(HOUR, vec_id, TIMESTAMP '2020-01-01')").alias("ts"),
+    )
+    track = p.withColumnRenamed("label", "sid").drop("vec_id")
+    return hazard.gradient_wind_field(p.select(F.col("vec_id").alias("id"), "x", "y"), track, "sid", "ts", 60.0).withColumn("wind_speed", r("wind_speed", 3))
+
+
 # --- neighbours ---------------------------------------------------------------------------------------------------
 
 @query(f"""
@@ -270,6 +290,56 @@ def impact_expand_zero_fill(spark: SparkSession, d: str) -> DataFrame:
     return impact.expanded(events, reported, units, "event", "country", "unit", "amount").select("event", "unit", "amount")
 
 
+#: Customers as cells of segments of nations of regions; orders as reports about regions, nations or segments.
+_REPORTS = """cells AS (SELECT n_regionkey AS region, n_nationkey AS nation, c_mktsegment AS segment, c_custkey AS cell, greatest(c_acctbal, 0) + 1 AS w FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    o AS (SELECT year(o_orderdate)::INT AS event, region, nation, segment, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 WHEN segment = 'BUILDING' OR (o_orderpriority = '2-HIGH' AND nation % 3 > 0) THEN 2 ELSE 3 END AS d,
+                 o_totalprice * CASE WHEN o_orderpriority = '1-URGENT' AND year(o_orderdate) % 2 = 0 THEN 20 ELSE 1 END AS amount FROM orders JOIN cells ON o_custkey = cell),
+    k3 AS (SELECT event, region, nation, segment, sum(amount)::DOUBLE AS own FROM o WHERE d = 3 GROUP BY ALL),
+    k2 AS (SELECT event, region, nation, coalesce(a.own, b.own) AS own FROM (SELECT event, region, nation, sum(amount)::DOUBLE AS own FROM o WHERE d = 2 GROUP BY ALL) a FULL JOIN (SELECT event, region, nation, sum(own) AS own FROM k3 GROUP BY ALL) b USING (event, region, nation)),
+    k1 AS (SELECT event, region, coalesce(a.own, b.own) AS share FROM (SELECT event, region, sum(amount)::DOUBLE AS own FROM o WHERE d = 1 GROUP BY ALL) a FULL JOIN (SELECT event, region, sum(own) AS own FROM k2 GROUP BY ALL) b USING (event, region)),
+    """
+
+
+def _share_sql(name: str, above: str, known: str | None, keys: str, up: str) -> str:
+    """The shares of the units of a level from those of the level above."""
+    joined = f"LEFT JOIN {known} USING (event, {keys})" if known else ""
+    own = "own" if known else "NULL::DOUBLE AS own"
+    return f"""{name}_w AS (SELECT {keys}, sum(w)::DOUBLE AS w FROM cells GROUP BY ALL),
+    {name}_r AS (SELECT event, {keys}, w, share, {own} FROM {name}_w JOIN {above} USING ({up}) {joined}),
+    {name}_f AS (SELECT *, coalesce(sum(own) OVER q, 0) AS r, coalesce(sum(w) FILTER (own IS NULL) OVER q, 0) AS f FROM {name}_r WINDOW q AS (PARTITION BY event, {up})),
+    {name} AS (SELECT event, {keys}, CASE WHEN r > share OR f <= 0 THEN coalesce(own * share / nullif(r, 0), 0) ELSE coalesce(own, (share - r) * w / nullif(f, 0)) END AS share FROM {name}_f)"""
+
+
+_SHARES = ",".join([_share_sql("s2", "k1", "k2", "region, nation", "region"), _share_sql("s3", "s2", "k3", "region, nation, segment", "region, nation"), _share_sql("s4", "s3", None, "region, nation, segment, cell", "region, nation, segment")])
+
+
+def _reconciled(spark: SparkSession, d: str) -> DataFrame:
+    cells = parquet(spark, d, "customer").join(parquet(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    cells = cells.select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("cell"), (F.greatest("c_acctbal", F.lit(0.0)) + 1).alias("w"))
+    o = parquet(spark, d, "orders").join(cells, F.col("o_custkey") == F.col("cell")).withColumn("event", F.year("o_orderdate"))
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    depth = F.when(urgent, 1).when((F.col("segment") == "BUILDING") | ((F.col("o_orderpriority") == "2-HIGH") & (F.col("nation") % 3 > 0)), 2).otherwise(3)
+    amount = F.col("o_totalprice") * F.when(urgent & (F.col("event") % 2 == 0), 20).otherwise(1)
+    reports = o.select("event", "region", F.when(depth > 1, F.col("nation")).alias("nation"), F.when(depth > 2, F.col("segment")).alias("segment"), amount.alias("amount"))
+    return impact.reconciled(cells, reports, ["region", "nation", "segment", "cell"], "w")
+
+
+@query(f"WITH {_REPORTS} {_SHARES} SELECT event, region, nation, segment, cell, round(share, 2) AS amount FROM s4")
+def report_reconciliation(spark: SparkSession, d: str) -> DataFrame:
+    """Reports at three levels spread over cells, so that every level adds up to what is reported."""
+    return _reconciled(spark, d).withColumn("amount", r("amount", 2))
+
+
+@query(f"""
+    WITH {_REPORTS} {_SHARES}
+    SELECT event, region, nation, segment, CAST(4 - grouping(region) - grouping(nation) - grouping(segment) AS INTEGER) AS depth, round(sum(share), 2) AS total FROM s4
+    GROUP BY GROUPING SETS ((event), (event, region), (event, region, nation), (event, region, nation, segment))
+""")
+def totals_by_level(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of the reconciled amounts for every level in one aggregate."""
+    return impact.totals_by_level(_reconciled(spark, d), ["event", "region", "nation", "segment"], "amount").withColumn("total", r("total", 2))
+
+
 @query("""
     WITH rows_ AS (SELECT o_custkey AS event, o_orderkey AS unit, CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderstatus END AS name, o_totalprice AS amount FROM orders),
     best AS (SELECT event, arg_max(name, (amount)) FILTER (name IS NOT NULL) AS best FROM rows_ GROUP BY event)
