@@ -184,6 +184,31 @@ def gradient_wind_field(spark: SparkSession, d: str) -> DataFrame:
     return hazard.gradient_wind_field(p.select(F.col("vec_id").alias("id"), "x", "y"), track, "sid", "ts", 60.0).withColumn("wind_speed", r("wind_speed", 3))
 
 
+@query("""
+    WITH c AS (SELECT 'N' || c_nationkey AS iso3, c_custkey, ((c_custkey * 37) % 3700)::DOUBLE / 10 AS lon, ((c_custkey * 53) % 1700)::DOUBLE / 10 - 85 AS lat, c_acctbal FROM customer),
+    w AS (SELECT *, CASE WHEN lon > 180 THEN lon - 360 ELSE lon END AS l FROM c),
+    b AS (SELECT iso3, unnest(range(floor(round((l + 180) / 0.1::DOUBLE, 9))::INT, floor(round((l + 180.25) / 0.1::DOUBLE, 9))::INT + 1)) AS lon_idx, lat, c_custkey, c_acctbal FROM w),
+    t AS (SELECT iso3, lon_idx, unnest(range(floor(round((lat + 90) / 0.1::DOUBLE, 9))::INT, floor(round((lat + 90.15) / 0.1::DOUBLE, 9))::INT + 1)) AS lat_idx, c_custkey, c_acctbal FROM b)
+    SELECT iso3, printf('%s_%05d', iso3, lat_idx) AS band, CASE WHEN c_acctbal / 100 <= 0 THEN 0 WHEN c_acctbal / 100 <= 15 THEN 1 ELSE 2 END AS category, count(*) AS n_cells, count(DISTINCT lon_idx) AS n_columns,
+           round(coalesce(sum(c_acctbal) / nullif(count(*), 0), 0), 4) AS mean, max(make_date(2000 + c_custkey % 20, 1 + c_custkey % 12, 1)) AS last_day
+    FROM t GROUP BY ALL
+""")
+def cells_in_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes at customers' places as cells, by rules that the session knows; Spark SQL and nothing else."""
+    from gridimpact.functions.session import register
+
+    return register(spark).sql(
+        """
+        WITH c AS (SELECT concat('N', c_nationkey) AS iso3, c_custkey, c_acctbal, gi_wrap_longitude((c_custkey * 37) % 3700 / 10D) AS lon, (c_custkey * 53) % 1700 / 10D - 85 AS lat FROM {customer})
+        , t AS (SELECT iso3, lon_idx, gi_cell_id(iso3, lat_idx) AS band, gi_impact_category(c_acctbal / 100) AS category, c_acctbal,
+                       gi_day_of(CAST(2000 + c_custkey % 20 AS INT), CAST(1 + c_custkey % 12 AS INT), NULL) AS day FROM c, LATERAL gi_box_cells(lon, lat, lon + 0.25D, lat + 0.15D, 0.1D)),
+        s AS (SELECT iso3, band, category, count(*) AS n_cells, count(DISTINCT lon_idx) AS n_columns, sum(c_acctbal) AS balance, max(day) AS last_day FROM t GROUP BY 1, 2, 3)
+        SELECT iso3, band, category, n_cells, n_columns, round(gi_share_of(balance, n_cells), 4) AS mean, last_day FROM s
+        """,
+        customer=parquet(spark, d, "customer"),
+    )
+
+
 # --- neighbours ---------------------------------------------------------------------------------------------------
 
 @query(f"""
