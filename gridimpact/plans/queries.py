@@ -52,8 +52,7 @@ def prior_events_5y(spark: SparkSession, d: str) -> DataFrame:
     """Events of a country in the five years before each of its event days."""
     orders = parquet(spark, d, "orders").join(parquet(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     events = orders.groupBy(F.col("c_nationkey").alias("nation"), F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n_events"))
-    each = events.withColumn("one", F.explode(F.expr("sequence(1, n_events)")))
-    return history.prior_events(each, "nation", "day").select("nation", "day", "n_events", "n_prior").distinct()
+    return history.prior_counts(events, "nation", "day", "n_events")
 
 
 @query("""
