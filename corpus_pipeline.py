@@ -37,7 +37,11 @@ def carried(stage):
 
 @carried
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    Null and empty texts are scored like any other; repeated rows get the same score, so all of them stay or go; with labels of one class only every
+    score is the share of label 1, and without labels 0.5, which is below the threshold; an empty table stays empty.
+    """
     scored = quality_scores(docs, table(spark, sf_dir, "labels"), keep=docs.columns).drop("held_out", "score")
     scored = written(scored, "scored")  # a filter on a computed score would be pushed down and compute it again
     return scored.where("predicted = 1").select(*docs.columns)
@@ -45,13 +49,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @carried
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts, the one with the smallest identifier.
+
+    Null counts as empty, and of null and empty texts one stays; of repeated rows one stays; null identifiers lose against any other.
+    """
     return exact_dedup(docs).where("kept").select(*docs.columns)
 
 
 @carried
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest identifier of each group of near copies: shingles of five words, similarity of 0.8 or more."""
+    """The document with the smallest identifier of each group of near copies: shingles of five words, similarity of 0.8 or more.
+
+    Texts without words are near nothing and stay; rows that repeat the smallest identifier stay with it (the stage before leaves none of equal texts);
+    a document with a null identifier stays only where no document of its group has one.
+    """
     found = near_duplicates(docs, width=5, percent=80)
     stay = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("stays")).distinct()
     return docs.join(stay, docs.doc_id.eqNullSafe(stay.stays), "left_semi")
@@ -59,12 +70,18 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @carried
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document once, and those of domains below their target weight more often, up to 1.25 epochs in all."""
+    """Each document once, and those of domains below their target weight more often, up to 1.25 epochs in all.
+
+    Null and empty texts have no tokens and come once; repeated rows are rated alike, each by itself; without labels all documents come once.
+    """
     return mixed(docs, table(spark, sf_dir, "labels"), epochs=1.25, lowest=1.0)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of the text they decode to."""
+    """Token ids of each document, with digests of the ids and of the text they decode to.
+
+    Null and empty texts have no tokens and decode to an empty text; each row is encoded, repeated ones too; an empty table gives an empty table.
+    """
     return bpe_digest(docs, WORD_BPE, with_ids=True)
 
 
