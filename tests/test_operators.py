@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,7 +157,7 @@ def test_default_two_stage_model_finds_its_keys(spark):
     df = spark.createDataFrame(rows, "`DisNo.` string, sid string, GID_1 string, wind_speed double, perc_affected_pop_grid_region double")
     model = model_of("2-stage-XGBoost")
     assert model.key is None
-    model.features, model.classes["maxIter"], model.amounts["maxIter"] = ["wind_speed"], 2, 2
+    model.features, model.options = ["wind_speed"], replace(model.options, rounds=2)  # one set of options for both stages
     out = model.train_and_predict(df, df).collect()
     assert len(out) == 60 and all(r.prediction_perc == 0 for r in out if r.predicted_bin == 0) and any(r.prediction_perc > 0 for r in out)
 
