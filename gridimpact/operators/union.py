@@ -5,6 +5,10 @@ so that afterwards pieces meet only at their ends or are the same. For each piec
 of that shape lie to one side: an odd number is inside (the even-odd rule), and pieces of the shape that are the same turn that round for
 the other side. A piece stays if the union is on one of its sides only. What stays is turned so that the inside is on its left, and stitched into rings.
 
+A cell that lies inside one shape holds nothing of the boundary: edges are not compared there, and pieces whose middle is there are left out. A piece that
+reaches into such a cell is inside up to where it is cut outside, so where it is cut in there does not matter. So the work is that of the places where
+the boundary may be, however many shapes lie over each other elsewhere.
+
 Ends are rounded to `DIGITS` decimals, so that pieces that meet have equal ends. Nothing pairs all edges of a group: the work is that of edges
 that share a cell, and of pieces with those shapes that reach over them.
 """
@@ -24,29 +28,66 @@ DIGITS = 9
 #: How far from a line a point may be and still count as on it, as a share of its length.
 NEAR = 1e-11
 RINGS = "array<array<struct<x:double,y:double>>>"
+#: Cells that a `step` is divided into, and those across a shape when it is asked which of them lie inside it.
+FINER, ACROSS = 4, 8
 
 
-def passed_cells(edges: DataFrame, step: float, x: str = "_cx", y: str = "_cy") -> DataFrame:
-    """edges (x1, y1, x2, y2) with each cell of a grid that they pass: row by row, the columns between where an edge enters and leaves the row."""
+def _passed_rows(edges: DataFrame, step: float | Column, y: str, beside: Column | None = None) -> tuple[DataFrame, Column]:
+    """edges with each row of cells that they pass, and the columns that they pass in it; `beside`: how near they count as in a cell."""
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    rows = edges.withColumn(y, F.explode(F.sequence(F.floor(low / step).cast("long"), F.floor(high / step).cast("long"))))
+    more = F.lit(0.0) if beside is None else beside
+    rows = edges.withColumn(y, F.explode(F.sequence(F.floor((low - more) / step).cast("long"), F.floor((high + more) / step).cast("long"))))
     slope = F.try_divide(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    at = lambda v: F.coalesce(F.col("x1") + (v - F.col("y1")) * slope, F.col("x1"))
-    enters, leaves = at(F.greatest(low, F.col(y) * step)), at(F.least(high, (F.col(y) + 1) * step))
+    at = lambda v: F.coalesce(F.col("x1") + (F.greatest(low, F.least(high, v)) - F.col("y1")) * slope, F.col("x1"))
+    enters, leaves = at(F.col(y) * step - more), at((F.col(y) + 1) * step + more)
     level = F.col("y1") == F.col("y2")
     left, right = F.when(level, F.least("x1", "x2")).otherwise(F.least(enters, leaves)), F.when(level, F.greatest("x1", "x2")).otherwise(F.greatest(enters, leaves))
-    slack = 1e-9 * step
-    return rows.withColumn(x, F.explode(F.sequence(F.floor((left - slack) / step).cast("long"), F.floor((right + slack) / step).cast("long"))))
+    slack = 1e-9 * step if beside is None else beside
+    return rows, F.sequence(F.floor((left - slack) / step).cast("long"), F.floor((right + slack) / step).cast("long"))
+
+
+def passed_cells(edges: DataFrame, step: float, x: str = "_cx", y: str = "_cy") -> DataFrame:
+    """edges (x1, y1, x2, y2) with each cell of a grid that they pass: row by row, the columns between where an edge enters and leaves the row."""
+    rows, columns = _passed_rows(edges, step, y)
+    return rows.withColumn(x, F.explode(columns))
+
+
+def covered_cells(edges: DataFrame, keys: list[str], step: float) -> DataFrame:
+    """keys, _k, _cx, _cy: cells of the size step * 2^_k that lie wholly inside a shape of the group, of edges (keys, shape, x1, y1, x2, y2).
+
+    A shape is asked at the size at which it is `ACROSS` to twice as many cells wide, so it has some hundred of them at most. A cell is inside if no
+    edge of the shape comes near it, and its middle is between an odd and an even crossing of its row.
+    """
+    wide = F.greatest(*(F.max(F.greatest(f"{c}1", f"{c}2")) - F.min(F.least(f"{c}1", f"{c}2")) for c in "xy"))
+    sizes = edges.groupBy(*keys, "shape").agg(F.greatest(F.lit(0), F.floor(F.log2(wide / (ACROSS * step)))).cast("int").alias("_k")).select("shape", "_k")
+    sized = edges.join(sizes, "shape").withColumn("_s", step * F.pow(F.lit(2.0), F.col("_k")))
+    size = F.col("_s")
+    rows, touched = _passed_rows(sized, size, "_cy", 1e-6 * size + 1e-8)
+    middle = (F.col("_cy") + 0.5) * size
+    crossing = F.when((F.col("y1") > middle) != (F.col("y2") > middle), F.col("x1") + (middle - F.col("y1")) * F.try_divide(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
+    each = rows.select(*keys, "shape", "_k", "_s", "_cy", touched.alias("_t"), crossing.alias("_x"))
+    whole = each.groupBy(*keys, "shape", "_k", "_s", "_cy").agg(F.array_sort(F.collect_list("_x")).alias("_xs"), F.array_distinct(F.flatten(F.collect_list("_t"))).alias("_t"))
+    between = F.transform(F.sequence(F.lit(0), F.size("_xs") - 2, F.lit(2)), lambda i: F.sequence(F.ceil(F.get("_xs", i) / size - 0.5).cast("long"), F.greatest(F.ceil(F.get("_xs", i) / size - 0.5), F.floor(F.get("_xs", i + 1) / size - 0.5)).cast("long")))
+    inside = whole.where("size(_xs) >= 2").select(*keys, "_k", "_s", "_cy", "_xs", F.explode(F.array_except(F.flatten(between), "_t")).alias("_cx"))
+    centre = (F.col("_cx") + 0.5) * size
+    return inside.where(F.size(F.filter("_xs", lambda v: v < centre)) % 2 == 1).select(*keys, "_k", "_cx", "_cy").distinct()
+
+
+def uncovered(rows: DataFrame, covered: DataFrame, levels: Sequence[int], keys: list[str]) -> DataFrame:
+    """rows (keys, _cx, _cy) without those whose cell is covered at one of the sizes."""
+    for k in levels:
+        own = covered.where(F.col("_k") == k).select(*keys, F.col("_cx").alias("_kx"), F.col("_cy").alias("_ky"))
+        rows = rows.withColumns({f"_k{c}": F.floor(F.col(f"_c{c}") / 2**k).cast("long") for c in "xy"}).join(own, [*keys, "_kx", "_ky"], "left_anti").drop("_kx", "_ky")
+    return rows
 
 
 def _cross(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return ax * by - ay * bx
 
 
-def cuts(edges: DataFrame, keys: list[str], step: float) -> DataFrame:
-    """id and px, py: the places inside edges (keys, id, x1, y1, x2, y2) where another edge of the group crosses or touches them."""
+def cuts(dealt: DataFrame, keys: list[str]) -> DataFrame:
+    """id and px, py: the places inside edges (keys, id, x1, y1, x2, y2, a row for each cell _cx, _cy) where another edge of the group crosses or touches them."""
     ends = ("x1", "y1", "x2", "y2")
-    dealt = passed_cells(edges.select(*keys, "id", *ends), step)
     a = dealt.select(*keys, "_cx", "_cy", F.col("id").alias("a"), *(F.col(c).alias(f"a{c}") for c in ends))
     b = dealt.select(*keys, "_cx", "_cy", F.col("id").alias("b"), *(F.col(c).alias(f"b{c}") for c in ends))
     c = F.col
@@ -78,9 +119,9 @@ def cuts(edges: DataFrame, keys: list[str], step: float) -> DataFrame:
     return found.select("s.id", "s.p.*").distinct()
 
 
-def pieces(edges: DataFrame, keys: list[str], step: float) -> DataFrame:
-    """keys, shape and the ends (ax, ay) < (bx, by) of the parts that edges fall into."""
-    own = edges.join(cuts(edges, keys, step).groupBy("id").agg(F.collect_set(F.struct("px", "py")).alias("_cut")), "id", "left")
+def pieces(edges: DataFrame, dealt: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, shape and the ends (ax, ay) < (bx, by) of the parts that edges fall into where they share a cell in `dealt`."""
+    own = edges.join(cuts(dealt, keys).groupBy("id").agg(F.collect_set(F.struct("px", "py")).alias("_cut")), "id", "left")
     end = lambda k: F.struct(F.col(f"x{k}").alias("px"), F.col(f"y{k}").alias("py"))
     share = lambda p: (p["px"] - F.col("x1")) * (F.col("x2") - F.col("x1")) + (p["py"] - F.col("y1")) * (F.col("y2") - F.col("y1"))
     places = F.array_distinct(F.concat(F.array(end(1), end(2)), F.coalesce("_cut", F.array().cast("array<struct<px:double,py:double>>"))))
@@ -103,10 +144,15 @@ def union_edges(polygons: DataFrame, by: Sequence[str], step: float = 1.0, rings
     rounded = lambda c: F.round(F.col(c), DIGITS).alias(c)
     edges = edges_of(shapes, [*keys, "shape"], "_rings").select(*keys, "shape", *(rounded(c) for c in ("x1", "y1", "x2", "y2"))).where("x1 <> x2 OR y1 <> y2")
     edges = settled(edges.withColumn("id", F.monotonically_increasing_id()), "edges")
-    parts = settled(pieces(edges, keys, step), "pieces")
+    fine = step / FINER
+    covered = settled(covered_cells(edges, keys, fine), "covered")
+    levels = sorted(r["_k"] for r in covered.select("_k").distinct().collect())  # the sizes of shapes as powers of two
+    dealt = settled(uncovered(passed_cells(edges.select(*keys, "id", "x1", "y1", "x2", "y2"), fine), covered, levels, keys), "dealt")
+    parts = settled(pieces(edges, dealt, keys), "pieces")
 
     ends = ["ax", "ay", "bx", "by"]
-    same = parts.groupBy(*keys, *ends, "shape").count().where("count % 2 = 1").groupBy(*keys, *ends).agg(F.collect_set("shape").alias("_same"))  # shapes that share a piece
+    place = {f"_c{c}": F.floor((F.col(f"a{c}") + F.col(f"b{c}")) / 2 / fine).cast("long") for c in "xy"}
+    same = uncovered(parts.withColumns(place), covered, levels, keys).groupBy(*keys, *ends, "shape").count().where("count % 2 = 1").groupBy(*keys, *ends).agg(F.collect_set("shape").alias("_same"))  # shapes that share a piece
     middle = same.withColumns({"mx": (F.col("ax") + F.col("bx")) / 2, "my": (F.col("ay") + F.col("by")) / 2, "_flat": F.abs(F.col("bx") - F.col("ax")) > F.abs(F.col("by") - F.col("ay"))})
     middle = settled(middle, "middles")
 

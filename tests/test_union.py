@@ -114,3 +114,24 @@ def test_cells_that_edges_pass(spark):
 def test_no_products(spark):
     plan = union.union_edges(frame(spark, [(0, [rect(0, 0, 1, 1)])]), ["g"]).groupBy().agg(F.sum("x1"))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_no_edges_are_compared_inside_a_shape(spark):
+    """Shapes heaped on each other: what is compared is what lies near the union's boundary, with the same union."""
+    rng = random.Random(5)
+    shapes = []
+    for _ in range(150):
+        x, y, a, b = rng.uniform(0, 1), rng.uniform(0, 1), rng.uniform(1, 1.4), rng.uniform(1, 1.4)
+        shapes.append([[(x, y), (x + a, y + 0.1), (x + a - 0.2, y + b), (x - 0.1, y + b - 0.1), (x, y)]])
+    df = frame(spark, [(0, s) for s in shapes])
+    edges = union.edges_of(df.withColumn("shape", F.xxhash64("rings")), ["g", "shape"]).withColumn("id", F.monotonically_increasing_id())
+    covered = union.covered_cells(edges, ["g"], 0.1).cache()
+    levels = sorted(r["_k"] for r in covered.select("_k").distinct().collect())
+    dealt = union.passed_cells(edges, 0.1)
+    open_ = union.uncovered(dealt, covered, levels, ["g"])
+    assert open_.count() < dealt.count() / 3
+    for r in covered.collect():  # corners of a cell lie inside one and the same shape
+        size = 0.1 * 2 ** r["_k"]
+        corners = [((r["_cx"] + i) * size, (r["_cy"] + j) * size) for i in (0, 1) for j in (0, 1)]
+        assert any(all(sum((ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax for (ax, ay), (bx, by) in zip(s[0], s[0][1:], strict=False)) % 2 for x, y in corners) for s in shapes)
+    assert union.areas(union.union_edges(df, ["g"], 0.4), ["g"]).first().area == pytest.approx(brute_area(shapes), abs=1e-6)
