@@ -107,19 +107,23 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, step: float = 1.0)
     """points (pid, x, y) joined to polygons (unit, rings) that hold them.
 
     Points meet polygons in the buckets of their boxes, and then only the edges of that polygon at their own height; an odd number of
-    crossings is inside. Polygons are never copied to points.
+    crossings is inside. Polygons are never copied to points. A polygon of many edges has lower rows, so that some edges share one however many there are.
     """
     xs = F.flatten(F.transform("rings", lambda r: F.transform(r, lambda p: p["x"])))
     ys = F.flatten(F.transform("rings", lambda r: F.transform(r, lambda p: p["y"])))
     reach = lambda v: F.sequence(F.floor(F.array_min(v) / step).cast("long"), F.floor(F.array_max(v) / step).cast("long"))
     shapes = polygons.withColumn("_shape", F.xxhash64("unit", "rings")).dropDuplicates(["_shape"])
-    boxes = shapes.withColumn("_bx", F.explode(reach(xs))).select("_shape", "_bx", F.explode(reach(ys)).alias("_by"))
+    n_edges = F.aggregate(F.transform("rings", lambda ring: F.size(ring)), F.lit(0), lambda a, n: a + n)
+    height = F.least(F.lit(step), (F.array_max(ys) - F.array_min(ys)) * 8 / F.greatest(n_edges, F.lit(1)))
+    shapes = shapes.withColumn("_h", F.when(height > 0, height).otherwise(step))
+    boxes = shapes.withColumn("_bx", F.explode(reach(xs))).select("_shape", "_h", "_bx", F.explode(reach(ys)).alias("_by"))
     places = points.select("x", "y").distinct().withColumns({"_bx": _bucket("x", step), "_by": _bucket("y", step)}).join(boxes, ["_bx", "_by"]).drop("_bx")
-    edges = edges_of(shapes, ["_shape"])
-    edges = edges.withColumn("_by", F.explode(F.sequence(F.floor(F.least("y1", "y2") / step).cast("long"), F.floor(F.greatest("y1", "y2") / step).cast("long"))))
+    places = places.withColumn("_by", F.floor(F.col("y") / F.col("_h")).cast("long"))
+    edges = edges_of(shapes, ["_shape", "_h"])
+    edges = edges.withColumn("_by", F.explode(F.sequence(*(F.floor(f("y1", "y2") / F.col("_h")).cast("long") for f in (F.least, F.greatest))))).drop("_h")
     cross = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
     inside = places.join(edges, ["_shape", "_by"]).where(cross).groupBy("x", "y", "_shape").agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1").drop("_n")
-    return points.join(inside, ["x", "y"]).join(shapes.drop("rings"), "_shape").drop("_shape").select(*points.columns, *(c for c in polygons.columns if c != "rings"))
+    return points.join(inside, ["x", "y"]).join(shapes.drop("rings", "_h"), "_shape").drop("_shape").select(*points.columns, *(c for c in polygons.columns if c != "rings"))
 
 
 def centroids(polygons: DataFrame, keys: list[str]) -> DataFrame:
