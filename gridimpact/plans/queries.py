@@ -1154,9 +1154,10 @@ def ranked_events(spark: SparkSession, d: str) -> DataFrame:
     SELECT k, arg_min(l_orderkey, (l_orderkey, l_linenumber)) AS l_orderkey, arg_min(q, (l_orderkey, l_linenumber)) AS q FROM p GROUP BY 1
 """)
 def first_of_each_key(spark: SparkSession, d: str) -> DataFrame:
-    """The first row of each key in a stated order."""
-    rows = parquet(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), "l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"))
-    return assemble.latest_by(rows, ["k"], ["l_orderkey", "l_linenumber"]).select("k", "l_orderkey", "q")
+    """The first values of each key in a stated order; of rows that are equal in it, those that stand first in the table."""
+    place = [F.col(f"_metadata.{c}").alias(f"_{c}") for c in ("file_path", "row_index")]
+    rows = parquet(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), "l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), *place)
+    return assemble.first_known_by(rows, ["k"], ["l_orderkey", "l_linenumber", "_file_path", "_row_index"], ["l_orderkey", "q"])
 
 
 # --- models -------------------------------------------------------------------------------------------------------

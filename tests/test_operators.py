@@ -246,3 +246,16 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = {(r.user_id, r.day): round(r.daily, 6) for r in spark.sql("SELECT * FROM daily").collect()}
     assert got == {(r.user_id, r.day): round(r.daily, 6) for r in daily_sums(source, ["user_id"], "ts", "value").collect()}
+
+
+def test_first_of_each_key_takes_the_first_of_equal_rows_in_the_table(spark, tmp_path):
+    """Rows with equal order come out as in DuckDB, which keeps the one read first and passes over missing values."""
+    import duckdb
+
+    from gridimpact.plans.queries import ORACLES, QUERIES
+
+    c = duckdb.connect(config={"threads": 1})
+    c.sql(f"COPY (SELECT i % 7 AS l_partkey, CASE WHEN i % 7 < 6 THEN (i * 31) % 5 END AS l_orderkey, (i % 2)::INT AS l_linenumber, CASE WHEN i % 3 > 0 THEN (i * 7919 % 1009)::DOUBLE END AS l_quantity FROM range(20000) t(i)) TO '{tmp_path}/lineitem.parquet' (ROW_GROUP_SIZE 2048)")
+    c.sql(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet'")
+    got = QUERIES["first_of_each_key"](spark, str(tmp_path)).select("k", "l_orderkey", "q").collect()
+    assert sorted(map(tuple, got)) == sorted(c.sql(ORACLES["first_of_each_key"]).fetchall())
