@@ -518,15 +518,26 @@ def archive_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     WITH c AS (SELECT DISTINCT 'N' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS iso3, CAST(c_custkey * 7919 % 3600 AS INTEGER) AS lon_idx, CAST(c_custkey * 104729 % 1800 AS INTEGER) AS lat_idx FROM customer),
-    n AS (SELECT *, CAST(row_number() OVER (PARTITION BY iso3 ORDER BY lon_idx, lat_idx) - 1 AS INTEGER) AS number FROM c)
-    SELECT iso3, lon_idx, lat_idx, round((lon_idx + 0.5)::DOUBLE / 10 - 180, 6) AS lon, round((lat_idx + 0.5)::DOUBLE / 10 - 90, 6) AS lat, number, printf('%s_%05d', iso3, number) AS id FROM n
+    g AS (SELECT 'N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS iso3, CAST(i // 1800 AS INTEGER) AS lon_idx, CAST(i % 1800 AS INTEGER) AS lat_idx FROM range(6480000) t(i) JOIN nation ON n_nationkey = i // 1800 % 25),
+    a AS (SELECT * FROM g UNION SELECT * FROM c),
+    n AS (SELECT *, CAST(row_number() OVER (PARTITION BY iso3 ORDER BY lon_idx, lat_idx) - 1 AS INTEGER) AS number, round((lon_idx + 0.5)::DOUBLE / 10 - 180, 6) AS lon, round((lat_idx + 0.5)::DOUBLE / 10 - 90, 6) AS lat FROM a),
+    i AS (SELECT *, printf('%s_%05d', iso3, number) AS id FROM n),
+    s AS (SELECT iso3, lat_idx, lat, count(*) AS n, min(number) AS low, max(number) AS high, min(id) AS first_id, max(id) AS last_id, round(sum(lon), 4) AS lon_sum FROM i GROUP BY ALL)
+    SELECT s.*, own.lon_idx, own.lon, own.number, own.id FROM s LEFT JOIN (SELECT i.* FROM i JOIN c USING (iso3, lon_idx, lat_idx)) own ON own.iso3 = s.iso3 AND own.lat_idx = s.lat_idx
 """)
 def grid_ids(spark: SparkSession, d: str) -> DataFrame:
-    """The cells of the whole grid where a country has customers, with centres, numbers and identifiers."""
-    key = F.col("c_custkey").cast("long")
-    own = parquet(spark, d, "customer").select(F.format_string("N%02d", "c_nationkey").alias("iso3"), (key * 7919 % 3600).cast("int").alias("lon_idx"), (key * 104729 % 1800).cast("int").alias("lat_idx")).distinct()
-    cells = grid.with_ids(grid.global_grid(spark).join(own, ["lon_idx", "lat_idx"]))
-    return cells.select("iso3", "lon_idx", "lat_idx", r("Longitude", 6).alias("lon"), r("Latitude", 6).alias("lat"), "number", "id")
+    """The whole grid, its columns dealt to nations, and the cells where a country has customers: all numbered, told by row of cells, and each cell with customers."""
+    key, iso3 = F.col("c_custkey").cast("long"), lambda c: F.format_string("N%02d", c).alias("iso3")
+    own = parquet(spark, d, "customer").select(iso3("c_nationkey"), (key * 7919 % 3600).cast("int").alias("lon_idx"), (key * 104729 % 1800).cast("int").alias("lat_idx"))
+    nation = parquet(spark, d, "nation").select("n_nationkey", iso3("n_nationkey"))
+    whole = grid.global_grid(spark).join(F.broadcast(nation), F.col("lon_idx") % 25 == F.col("n_nationkey")).select("iso3", "lon_idx", "lat_idx")
+    once = whole.withColumn("_own", F.lit(False)).unionByName(own.withColumn("_own", F.lit(True))).groupBy("iso3", "lon_idx", "lat_idx").agg(F.bool_or("_own").alias("_own"))
+    cells = grid.with_ids(grid.with_centres(once)).withColumns({"lon": r("Longitude", 6), "lat": r("Latitude", 6)})
+    held = F.collect_list(F.when(F.col("_own"), F.struct("lon_idx", "lon", "number", "id"))).alias("_held")  # cells of one row of a country: at most 3,600
+    rows = cells.groupBy("iso3", "lat_idx", "lat").agg(
+        F.count(F.lit(1)).alias("n"), F.min("number").alias("low"), F.max("number").alias("high"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), r(F.sum("lon")).alias("lon_sum"), held,
+    )
+    return rows.select("iso3", "lat_idx", "lat", "n", "low", "high", "first_id", "last_id", "lon_sum", F.explode_outer("_held").alias("_c")).select("*", "_c.*").drop("_c")
 
 
 _PIXELS = """p AS (SELECT CAST(floor(round((CAST(embedding[1] AS DOUBLE) + 180) / 0.05, 9)) AS INTEGER) AS lon_idx, label, CAST(embedding[3] AS DOUBLE) AS v, vec_id FROM embeddings)"""

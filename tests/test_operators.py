@@ -259,3 +259,14 @@ def test_first_of_each_key_takes_the_first_of_equal_rows_in_the_table(spark, tmp
     c.sql(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet'")
     got = QUERIES["first_of_each_key"](spark, str(tmp_path)).select("k", "l_orderkey", "q").collect()
     assert sorted(map(tuple, got)) == sorted(c.sql(ORACLES["first_of_each_key"]).fetchall())
+
+
+def test_grid_ids_numbers_the_whole_grid(spark):
+    """All 6,480,000 cells are numbered, not only those with customers."""
+    from gridimpact.plans.queries import QUERIES
+
+    rows = QUERIES["grid_ids"](spark, "/root/testdata/sf0.001").cache()
+    once = rows.select("iso3", "lat_idx", "n", "low", "high").distinct()
+    assert once.agg(F.sum("n")).first()[0] >= 6_480_000
+    assert once.groupBy("iso3").agg((F.max("high") + 1).alias("most"), F.sum("n").alias("n")).where("most <> n").isEmpty()
+    assert rows.where("id IS NOT NULL AND NOT number BETWEEN low AND high").isEmpty() and rows.where("id IS NOT NULL").count() == 150
