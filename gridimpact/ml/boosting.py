@@ -7,8 +7,9 @@ afterwards splits that gain less than gamma are taken back from the bottom up. R
 
 All models grow side by side: a row carries the numbers of the models that it trains. So the number of Spark jobs depends on rounds and depth
 alone, not on how many models (folds of a leave-one-out run, or the two stages) there are. Models of at most `group_rows` rows each are
-dealt over the tasks instead, one job for all of them, and grow there by the same sums and splits. Gradients are whole numbers of a fixed
-fraction, hence sums are exact: a model is the same either way, whatever the partitions, and whatever is trained beside it.
+dealt over the tasks instead, one job for all of them, and grow there by the same sums and splits. Few models of more rows grow in one barrier stage:
+each task keeps its part of the rows, and tasks exchange the sums of a level. Gradients are whole numbers of a fixed
+fraction, hence sums are exact: a model is the same any way, whatever the partitions, and whatever is trained beside it.
 
 Defined results: NaN is missing; a row whose label is missing trains nothing; a model without rows predicts nothing (NULL); equal gains go
 to the first feature, the lowest cut, and missing to the left.
@@ -16,13 +17,18 @@ to the first feature, the lowest cut, and missing to the left.
 
 from __future__ import annotations
 
+import json
+import secrets
+import zlib
 from collections import namedtuple
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.connection import Client, Listener
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +41,8 @@ UNITS = 1 << 30
 KEEP_EVERY = 10
 #: Rows of a task when models grow level by level.
 TASK_ROWS = 20_000
+#: Pairs of a row and a model that are worked on at a time in a barrier stage, and bytes of a level's sums that its tasks exchange at most.
+CHUNK, EXCHANGED = 200_000, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -173,7 +181,7 @@ def _pairs(batch: pa.RecordBatch, n_features: int) -> tuple[np.ndarray, ...]:
     lists = batch.column("models")
     sizes = np.diff(lists.offsets.to_numpy())
     labels = batch.column("labels").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-    margin = batch.column("margin").flatten().to_numpy(zero_copy_only=False)
+    margin = batch.column("margin").flatten().to_numpy(zero_copy_only=False) if "margin" in batch.schema.names else np.empty(0)
     return bins, batch.column("hash").to_numpy(), labels, np.repeat(np.arange(batch.num_rows), sizes), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), margin
 
 
@@ -312,9 +320,107 @@ def train(rows: DataFrame, cuts: list[np.ndarray], specs: Sequence[Spec], option
         return _empty(cuts, base, options, specs)
     if max(r.n for r in sums.values()) <= options.group_rows:
         return _by_model(each.select("m", "hash", "bins", "y"), cuts, specs, options, logistic, base, unit)
+    tasks = _slots(rows)
+    if tasks and 16 * len(specs) * 2 ** (options.depth - 1) * len(drawn_columns(len(cuts), options, 0)) * (max(len(c) for c in cuts) + 2) <= EXCHANGED:
+        return _together(rows, cuts, specs, options, label, logistic, base, unit, tasks)
     return _by_level(rows, cuts, specs, options, label, logistic, base, unit)
 
 
+def _slots(rows: DataFrame) -> int:
+    """Tasks that run at the same time for sure; 0 where executors come and go."""
+    context = rows.sparkSession.sparkContext
+    if context.getConf().get("spark.dynamicAllocation.enabled", "false") == "true" or context.getConf().get("spark.default.parallelism"):
+        return 0
+    return context.defaultParallelism // int(context.getConf().get("spark.task.cpus", "1"))
+
+
+def _meeting(context: BarrierTaskContext) -> Callable[[np.ndarray], np.ndarray]:
+    """What adds up an array of all tasks of a barrier stage, by connections to the first. Spark's own exchange waits in steps of a second, and there are some hundred levels."""
+    first = context.partitionId() == 0
+    key = secrets.token_bytes(16)
+    listener = Listener(("0.0.0.0", 0), backlog=1024, authkey=key) if first else None
+    place = json.loads(context.allGather(json.dumps([listener.address[1], key.hex()]) if first else "")[0])
+    infos = context.getTaskInfos()
+    if first:
+        others = [listener.accept() for _ in infos[1:]]
+        listener.close()
+
+        def added(own: np.ndarray) -> np.ndarray:
+            whole = own.copy()
+            for c in others:
+                whole += np.frombuffer(zlib.decompress(c.recv_bytes()), np.int64).reshape(own.shape)
+            said = zlib.compress(whole.tobytes(), 1)
+            for c in others:
+                c.send_bytes(said)
+            return whole
+
+        return added
+    one = Client((infos[0].address.rsplit(":", 1)[0], place[0]), authkey=bytes.fromhex(place[1]))
+
+    def sent(own: np.ndarray) -> np.ndarray:
+        one.send_bytes(zlib.compress(own.tobytes(), 1))
+        return np.frombuffer(zlib.decompress(one.recv_bytes()), np.int64).reshape(own.shape)
+
+    return sent
+
+
+def _together(rows: DataFrame, cuts: list[np.ndarray], specs: Sequence[Spec], options: Boosting, label: np.ndarray, logistic: np.ndarray, base: np.ndarray, unit: np.ndarray, tasks: int) -> Forest:
+    """All models in one barrier stage: tasks hold their rows, exchange the sums of each level, and grow the same trees from them."""
+    n, n_models, n_bins = len(cuts), len(specs), max(len(c) for c in cuts) + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, forest, parts = BarrierTaskContext.get(), _empty(cuts, base, options, specs), []
+        added = _meeting(context)
+
+        def take(held: list[pa.RecordBatch]) -> None:
+            bins, hashes, labels, row, model, _ = _pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0], n)
+            y = labels[row, label[model]]
+            known = ~np.isnan(y)
+            row, model = row[known], model[known]
+            parts.append((bins, hashes, y[known], row, model, base[model].astype(float)))
+
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held, size = [*held, batch], size + len(batch.column("models").flatten())
+            if size >= CHUNK:
+                take(held)
+                held, size = [], 0
+        if held:
+            take(held)
+        for t in range(options.rounds):
+            columns, gain = drawn_columns(n, options, t), np.zeros((n_models, forest.feature.shape[2]))
+            drawn = []
+            for bins, hashes, y, row, model, margin in parts:
+                use = _drawn(hashes, options, t)[row]
+                drawn.append((bins, row[use], model[use], gradients(logistic[model[use]], margin[use], y[use], unit[model[use]])))
+            for level in range(options.depth):
+                nodes = 2**level
+                sums = np.zeros((2, n_models * nodes, len(columns), n_bins), np.int64)
+                for bins, row, model, values in drawn:
+                    node = forest.leaves(bins, row, model, t, level) - (nodes - 1)
+                    own = node >= 0
+                    for k, v in enumerate(values):
+                        sums[k] += node_sums(bins, row[own], model[own] * nodes + node[own], v[own], n_models * nodes, columns, n_bins)
+                whole = added(sums).reshape(2, n_models, nodes, len(columns), n_bins)
+                present = [m for m in range(n_models) if whole[1, m].any()]
+                if not any([_put(forest, gain, t, m, level, _level(whole[:, m], unit[m], options, columns, level), options) for m in present]):
+                    break
+            _taken_back(forest, gain, t, options)
+            for bins, _, _, row, model, margin in parts:
+                margin += forest.value[t, model, forest.leaves(bins, row, model, t)]
+        if context.partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([pa.array([getattr(forest, c).tobytes()], pa.binary()) for c in ARRAYS], list(ARRAYS))
+
+    dealt = rows.repartition(tasks)
+    (one,) = dealt.mapInArrow(run, ", ".join(f"{c} binary" for c in ARRAYS), barrier=True).collect()  # the models: 60 KB each with a hundred rounds
+    forest = _empty(cuts, base, options, specs)
+    for c in ARRAYS:
+        whole = getattr(forest, c)
+        whole[:] = np.frombuffer(one[c], whole.dtype).reshape(whole.shape)
+    return forest
+
+
 def _by_model(each: DataFrame, cuts: list[np.ndarray], specs: Sequence[Spec], options: Boosting, logistic: np.ndarray, base: np.ndarray, unit: np.ndarray) -> Forest:
     """Each model in a task; none has more than group_rows rows."""
 

@@ -235,3 +235,18 @@ def test_single_attributions_are_shapley_values():
             for i, f in enumerate(order):
                 want[f] += (value(row, set(order[: i + 1])) - value(row, set(order[:i]))) / 6
         assert got.tolist() == pytest.approx(want)
+
+
+def test_a_barrier_stage_grows_the_trees_of_levels(spark, monkeypatch):
+    """Large models grow in one job, and come out as they do level by level."""
+    rows = spark.range(400).select(F.col("id"), (F.col("id") % 23).cast("double").alias("a"), F.when(F.col("id") % 5 > 0, F.col("id") % 11).cast("double").alias("b"), (F.col("id") % 7).cast("double").alias("y"))
+    options = boosting.Boosting(rounds=3, depth=3, step=0.3, gamma=0.1, group_rows=1)
+    cuts, specs = boosting.cut_points(rows, ["a", "b"], 16), [boosting.Spec("squared"), boosting.Spec("logistic", 1), boosting.Spec("squared")]
+    table = boosting.prepared(rows, ["a", "b"], cuts, [F.col("y"), (F.col("y") > 3).cast("int")], F.col("id"), F.when(F.col("id") % 3 > 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))))
+    together = boosting.train(table, cuts, specs, options)
+    monkeypatch.setattr(boosting, "_together", None)
+    monkeypatch.setattr(boosting, "EXCHANGED", 0)
+    levels = boosting.train(table, cuts, specs, options)
+    for c in boosting.ARRAYS:
+        assert (getattr(together, c) == getattr(levels, c)).all(), c
+    assert (together.feature >= 0).any()
