@@ -173,38 +173,62 @@ def _leaves(nodes: list[tuple], at: int = 0, path: tuple = ()) -> Iterator[tuple
         yield from _leaves(nodes, child, (*path, (feature, threshold, below, missing_left == below, nodes[child][5] / rows)))
 
 
-def attributions_of(trees: list[tuple[float, list[tuple]]], x: np.ndarray) -> tuple[np.ndarray, float]:
-    """Shapley values of each row's features, and the base.
+def _games(trees: list[tuple[float, list[tuple]]]) -> tuple[list[tuple[list[int], list[list], np.ndarray]], float]:
+    """For each leaf the features on its path, their tests, and the Shapley values [which features pass, feature]; and the base.
 
     A tree is a sum over its leaves, and a leaf's game is a product with a factor for each feature on the path: 0 or 1 if the feature is
-    known, the share of training rows if not. A path has few features, so the subsets are summed exactly.
+    known, the share of training rows if not. A path has few features, so the subsets are summed exactly, once for each set of features that pass.
     """
-    out, base = np.zeros(x.shape), 0.0
+    games, base = [], 0.0
     for weight, nodes in trees:
         for value, tests in _leaves(nodes):
             used = list(tests)
             share = np.array([tests[f][1] for f in used])
             base += weight * value * float(share.prod())
-            passes = [np.logical_and.reduce([np.where(np.isnan(x[:, f]), missing, (x[:, f] <= t) == below) for t, below, missing in tests[f][0]]).astype(float) for f in used]
             m = len(used)
-            for i, f in enumerate(used):
+            passes = (np.arange(2**m)[:, None] >> np.arange(m)) & 1
+            table = np.zeros((2**m, m))
+            for i in range(m):
                 rest = [j for j in range(m) if j != i]
                 for r in range(m):
                     part = factorial(r) * factorial(m - r - 1) / factorial(m)
                     for known in combinations(rest, r):
                         others = np.prod([share[j] for j in rest if j not in known])
-                        out[:, f] += weight * value * part * others * np.prod([passes[j] for j in known], axis=0) * (passes[i] - share[i])
-    return out, base
+                        table[:, i] += weight * value * part * others * passes[:, list(known)].prod(1) * (passes[:, i] - share[i])
+            games.append((used, [tests[f][0] for f in used], table))
+    return games, base
+
+
+def attributions_of(trees: list[tuple[float, list[tuple]]], x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Shapley values of each row's features, and the base."""
+    games, base = _games(trees)
+    return _attributed(games, x), base
+
+
+def _attributed(games: list[tuple[list[int], list[list], np.ndarray]], x: np.ndarray) -> np.ndarray:
+    out, missing_at = np.zeros(x.shape[::-1]), np.isnan(x.T)
+    tested: dict[tuple, np.ndarray] = {}
+    for used, tests, table in games:
+        which = np.zeros(len(x), np.intp)
+        for k, (f, own) in enumerate(zip(used, tests, strict=True)):
+            key = (f, *own)
+            if key not in tested:
+                tested[key] = np.logical_and.reduce([np.where(missing_at[f], missing, (x[:, f] <= t) == below) for t, below, missing in own])
+            which += tested[key].astype(np.intp) << k
+        for k, f in enumerate(used):
+            out[f] += table[which, k]
+    return out.T
 
 
 def attributions(rows: DataFrame, forest: Forest, features: list[str], key: str, model: int = 0) -> DataFrame:
     """key, a column for each feature, base and total: base plus the attributions is the model's margin."""
-    trees, start = rows.sparkSession.sparkContext.broadcast(forest.nodes(model)), float(forest.base[model])
+    games, base = _games(forest.nodes(model))
+    shared, start = rows.sparkSession.sparkContext.broadcast(games), float(forest.base[model])
     names = [f"shap_{c}" for c in features]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            values, base = attributions_of(trees.value, batch[features].to_numpy(float))
+            values = _attributed(shared.value, batch[features].to_numpy(float))
             out = pd.DataFrame(values, columns=names)
             out.insert(0, key, batch[key].to_numpy())
             out["base"] = start + base
