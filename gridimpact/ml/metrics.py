@@ -13,6 +13,8 @@ from gridimpact.sources.tables import settled
 
 #: Values of a group that one task puts in order, and into how many parts a sketch divides the rest.
 MOST_VALUES, PARTS = 50_000, 256
+#: Groups whose brackets are sent to all tasks, so that rows stay where they are and a group is not brought into one task.
+MOST_GROUPS = 20_000
 
 
 def medians(rows: DataFrame, by: Sequence[str], value: str | Column, out: str = "median", most: int = MOST_VALUES) -> DataFrame:
@@ -38,19 +40,21 @@ def in_the_middle(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
     only what is inside goes on. Ranks decide, so a few huge values don't matter.
     """
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if (sizes.agg(F.max("_n")).first()[0] or 0) <= most:
+    told = sizes.agg(F.max("_n"), F.count(F.lit(1))).first()
+    small = F.broadcast if told[1] <= MOST_GROUPS else lambda groups: groups  # a row for each group
+    if (told[0] or 0) <= most:
         counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
         return counts.select("*", F.lit(0).alias("_before"), F.sum("_c").over(Window.partitionBy(*keys)).alias("_n"))
     wide = float("inf")
     state = sizes.select(*keys, "_n", F.lit(0).cast("long").alias("_before"), F.col("_n").alias("_in"), F.lit(-wide).alias("_lo"), F.lit(wide).alias("_hi"), F.lit(most + 1).cast("long").alias("_different"))
     ranks = F.array(*(F.lit(k / PARTS) for k in range(PARTS + 1)))
     while True:
-        inside = _null_safe(rows, state, keys).where("_v >= _lo AND _v <= _hi")
+        inside = _null_safe(rows, small(state), keys).where("_v >= _lo AND _v <= _hi")
         sketch = inside.where(F.col("_different") > most).groupBy(*keys).agg(F.percentile_approx("_v", ranks, F.lit(20 * PARTS)).alias("_q"))
         middle = (F.col("_n") / 2 - F.col("_before")) / F.col("_in") * PARTS
         at = lambda k: F.get("_q", F.greatest(F.lit(0), F.least(F.lit(PARTS), k)).cast("int"))
         guess = _null_safe(state, sketch, keys).select(*keys, at(F.floor(middle) - 1).alias("_lo2"), at(F.ceil(middle) + 1).alias("_hi2"))
-        counted = _null_safe(inside, guess, keys).groupBy(*keys).agg(
+        counted = _null_safe(inside, small(guess), keys).groupBy(*keys).agg(
             F.count_if(F.col("_v") < F.col("_lo2")).alias("_below"), F.count_if(F.col("_v").between(F.col("_lo2"), F.col("_hi2"))).alias("_in2"),
             F.approx_count_distinct(F.when(F.col("_v").between(F.col("_lo2"), F.col("_hi2")), F.col("_v"))).alias("_d2"), F.first("_lo2").alias("_lo2"), F.first("_hi2").alias("_hi2"),
         )
@@ -65,7 +69,7 @@ def in_the_middle(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
         state = state.drop("_shrunk")
         if left.most <= most or not left.shrunk:
             break
-    inside = _null_safe(rows, state, keys).where("_v >= _lo AND _v <= _hi")
+    inside = _null_safe(rows, small(state), keys).where("_v >= _lo AND _v <= _hi")
     return inside.groupBy(*keys, "_v", "_before", "_n").agg(F.count(F.lit(1)).alias("_c"))
 
 

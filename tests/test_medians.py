@@ -39,3 +39,14 @@ def test_medians_are_exact_and_few_values_are_put_in_order(spark, most):
         assert near.groupBy("_k0", "_k1").count().agg(F.max("count")).first()[0] <= 1.1 * most  # distinct values are counted by a sketch
     assert metrics.medians(df, [], "v", most=most).collect()[0].median == pytest.approx(statistics.median([v for _, v in rows]))
     assert metrics.medians(df.where("false"), ["k"], "v", most=most).count() == 0
+
+
+def test_a_large_group_is_not_brought_into_one_task(spark, monkeypatch):
+    """Rows meet the brackets of a few groups where they are: nothing puts a whole group in order."""
+    monkeypatch.setattr(metrics.F, "broadcast", lambda df, f=metrics.F.broadcast: asked.append(df) or f(df))
+    asked: list = []
+    rows = spark.range(3000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 3001).cast("double").alias("v"))
+    got = {r.g: r.m for r in metrics.medians(rows, ["g"], "v", "m", most=100).collect()}
+    own = {g: sorted(i * 7919 % 3001 for i in range(3000) if i % 2 == g) for g in (0, 1)}
+    assert got == {g: (v[749] + v[750]) / 2 for g, v in own.items()}
+    assert len(asked) >= 3
