@@ -61,21 +61,37 @@ def filled_from_largest(rows: DataFrame, event: str, amount: str, columns: list[
     return rows.join(best, event).withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*(f"_{c}" for c in columns))
 
 
+def affected_population(cells: DataFrame, events: DataFrame, event: str, units: list[str], amount: str) -> DataFrame:
+    """Per event: the population of all cells in units with an amount above 0, each cell once, by its largest population in them (_affected).
+
+    Cells never meet events. Populations are added up for cells of the same units, in the order in which a cell's units count; an event takes from each
+    such list the first unit that it reaches. So the rows that meet events are as many as there are combinations of units, not cells.
+    """
+    people = cells.where("population > 0").select("id", *units, "population").repartition("id")
+    each = people.groupBy("id", *units).agg(F.max("population").alias("_p"))
+    lists = each.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("_p", F.struct(*units).alias("_u"))), asc=False).alias("_l"))
+    sums = lists.select(F.col("_l._u").alias("_units"), F.posexplode("_l._p").alias("_at", "_p")).groupBy("_units", "_at").agg(F.sum("_p").alias("_p"))
+    sums = sums.withColumn("_u", F.get("_units", "_at")).alias("c")
+    hit = events.distinct().where(F.col(amount) > 0).select(event, *units).distinct().alias("e")
+    met = sums.join(hit, [F.col(f"c._u.{u}").eqNullSafe(F.col(f"e.{u}")) for u in units])
+    first = met.groupBy(f"e.{event}", "c._units").agg(F.min_by("_p", "_at").alias("_p"))
+    return first.groupBy(event).agg(F.sum("_p").alias("_affected"))
+
+
 def impact_share(cells: DataFrame, events: DataFrame, event: str, units: list[str], amount: str) -> DataFrame:
     """Per event and cell: the amount in per cent of the population of all affected cells, 0 in the others.
 
     cells: id, units, population; events: event, units, amount, a row for each event and unit. Null units are equal. Events
     without an affected populated cell drop out. The share is of the whole affected region, not of the cell.
     """
-    cell, ev = cells.alias("c"), events.distinct().alias("e")
+    totals = events.distinct().join(affected_population(cells, events, event, units, amount), event)
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # both are small beside their product: whichever is not broadcast keeps many parts
+    cell, ev = cells.repartition(n, "id", *units).alias("c"), totals.repartition(n, event, *units).alias("e")
     on = [F.col(f"c.{u}").eqNullSafe(F.col(f"e.{u}")) for u in units]
-    both = cell.join(ev, on).select("c.*", *(F.col(f"e.{x}") for x in events.columns if x not in units))
-    hit = (F.col(amount) > 0) & (F.col("population") > 0)
-    once = both.where(hit).groupBy(event, "id").agg(F.max("population").alias("population"))
-    affected = once.groupBy(event).agg(F.sum("population").alias("_affected"))
-    both = both.join(affected, event)
-    share = F.when(hit, 100 * F.col(amount) / F.col("_affected")).otherwise(F.lit(0.0))
-    return both.withColumn("perc_affected_pop_grid_region", share).drop("_affected")
+    hit = (F.col(f"e.{amount}") > 0) & (F.col("c.population") > 0)
+    share = F.when(hit, 100 * F.col(f"e.{amount}") / F.col("e._affected")).otherwise(F.lit(0.0))
+    others = [x for x in events.columns if x not in units and x != event]
+    return cell.join(ev, on).select(f"e.{event}", "c.*", *(F.col(f"e.{x}") for x in others), share.alias("perc_affected_pop_grid_region"))
 
 
 def totals_by_level(cells: DataFrame, levels: Sequence[str], value: str) -> DataFrame:
