@@ -45,14 +45,30 @@ def expanded_by_level(events: DataFrame, reported: DataFrame, units: DataFrame,
 
     events: a row each (event, GID_0); reported: event, level, GID_1, GID_2, amount. A report reaches all units that it names: ADM1 those
     below its GID_1, ADM2 those of its GID_1 and GID_2, any other level the whole country. An event has one level.
+
+    What is said of an event comes together, at most once for each unit, before the event meets units, so their product is not shuffled. A table that
+    is both events and reported is read once. Units are a fixed table (some ten thousand in the world) and are broadcast.
     """
-    rows = events.select(event, "GID_0").distinct().join(units.select("GID_0", "GID_1", "GID_2").distinct(), "GID_0")
-    most = F.max(amount)
-    first = reported.where("level = 'ADM1'").groupBy(event, "GID_1").agg(most.alias("_a1"))
-    second = reported.where("level = 'ADM2'").groupBy(event, "GID_1", "GID_2").agg(most.alias("_a2"))
-    whole = reported.where("level NOT IN ('ADM1', 'ADM2')").groupBy(event).agg(most.alias("_a0"))
-    rows = rows.join(first, [event, "GID_1"], "left").join(second, [event, "GID_1", "GID_2"], "left").join(whole, event, "left")
-    return rows.select(event, "GID_0", "GID_1", "GID_2", F.coalesce("_a2", "_a1", "_a0", F.lit(0.0)).alias(amount))
+    level, first, second, said = (F.col(c) for c in ("level", "GID_1", "GID_2", amount))
+    depth = F.when(level == "ADM1", 1).when(level == "ADM2", 2).when(level.isNotNull(), 0)
+    reaches = F.col(event).isNotNull() & said.isNotNull() & ((depth == 0) | ((depth == 1) & first.isNotNull()) | ((depth == 2) & first.isNotNull() & second.isNotNull()))
+    parts = {"_depth": depth, "_g1": F.when(depth > 0, first), "_g2": F.when(depth > 1, second), "_amount": said}
+    parts = {name: F.when(reaches, part).alias(name) for name, part in parts.items()}
+    if events is reported:
+        rows = events.select(event, "GID_0", *parts.values())
+    else:
+        none = F.lit(None).cast(events.schema["GID_0"].dataType).alias("GID_0")
+        rows = events.select(event, "GID_0").unionByName(reported.select(event, none, *parts.values()), allowMissingColumns=True)
+    keys = [event, "GID_0", "_depth", "_g1", "_g2"]
+    most = rows.repartition(*keys).groupBy(*keys).agg(F.max("_amount").alias("_amount"))  # dealt first: keys hardly repeat in a task
+    report = F.when(F.col("_depth").isNotNull(), F.struct("_depth", "_amount", "_g1", "_g2"))
+    each = most.repartition(event).groupBy(event).agg(F.collect_set("GID_0").alias("_countries"), F.collect_list(report).alias("_said"))
+    below = units.select("GID_0", "GID_1", "GID_2").distinct().groupBy("GID_0", "GID_1").agg(F.collect_list(F.struct("GID_2")).alias("_below"))
+    rows = each.select(event, F.explode("_countries").alias("GID_0"), "_said").join(F.broadcast(below), "GID_0")
+    rows = rows.withColumn("_said", F.filter("_said", lambda r: (r["_depth"] == 0) | (r["_g1"] == F.col("GID_1"))))
+    rows = rows.select(event, "GID_0", "GID_1", "_said", F.explode("_below").alias("_unit")).select(event, "GID_0", "GID_1", "_unit.GID_2", "_said")
+    of_unit = F.array_max(F.filter("_said", lambda r: (r["_depth"] < 2) | (r["_g2"] == F.col("GID_2"))))  # the deepest, then the largest
+    return rows.select(event, "GID_0", "GID_1", "GID_2", F.coalesce(of_unit["_amount"], F.lit(0.0)).alias(amount))
 
 
 def filled_from_largest(rows: DataFrame, event: str, amount: str, columns: list[str]) -> DataFrame:
