@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,17 +64,23 @@ def holland_wind(distance_km: Column, peak: Column, radius_km: Column, b: float
     return peak * F.sqrt(x * F.exp(1 - x))
 
 
+def _bounded(bound: Column) -> Column:
+    """A bound with room for rounding; NaN for a radius whose profile may be no number."""
+    r = F.col("radius_km")
+    return F.when((r < 0) | (r > 1e100) | F.isnan(r), float("nan")).otherwise(bound * (1 + 1e-9))
+
+
 def wind_field(cells: DataFrame, track: DataFrame, sid: str, cutoff_km: float = 300.0) -> DataFrame:
     """The strongest wind of each storm at each cell within `cutoff_km`; cells (id, x, y), track (sid, x, y, peak, radius_km).
 
-    A published radial profile stands in for the wind model; values differ from other models'.
+    A published radial profile stands in for the wind model; values differ from other models'. No wind is above its centre's peak.
     """
-    from gridimpact.operators.spatial import within
+    from gridimpact.operators.spatial import strongest_within
 
-    centres = track.select(sid, F.col("x").alias("sx"), F.col("y").alias("sy"), "peak", "radius_km").withColumn("site", F.lit(0))
-    pairs = within(cells.withColumn("pid", F.col("id")), centres, cutoff_km / KM_A_DEGREE)
+    centres = track.select(sid, F.col("x").alias("sx"), F.col("y").alias("sy"), "peak", "radius_km")
     wind = holland_wind(F.col("dist") * KM_A_DEGREE, F.col("peak"), F.col("radius_km"))
-    return pairs.groupBy("id", sid).agg(F.max(wind).alias("wind_speed"))
+    bound = _bounded(F.greatest("peak", F.lit(0.0)))
+    return strongest_within(cells.select(F.col("id").alias("pid"), "x", "y"), centres, cutoff_km / KM_A_DEGREE, sid, wind, bound).select(F.col("pid").alias("id"), sid, F.col("best").alias("wind_speed"))
 
 
 #: Density of air (kg/m3), the earth's rotation (1/s), and the coefficients and bounds of the published shape parameter of 2008.
@@ -101,9 +109,10 @@ def gradient_wind_field(cells: DataFrame, track: DataFrame, sid: str, time: str,
 
     cells: id, x, y; track: sid, time, x, y, central_hpa, outer_hpa, radius_km. The wind goes round the centre (against the clock north of the equator);
     the storm's own motion, from its displacement to the next point (the last: from the one before), is added as a vector, in full up to the radius of
-    maximum wind and less beyond as the distance grows. A storm that stands still has the same wind all around.
+    maximum wind and less beyond as the distance grows. A storm that stands still has the same wind all around. No wind is above that of the pressure at
+    the radius of maximum wind without the earth's rotation, plus the storm's speed.
     """
-    from gridimpact.operators.spatial import within
+    from gridimpact.operators.spatial import strongest_within
 
     w = Window.partitionBy(sid).orderBy(time)
     step = lambda c: F.coalesce(F.lead(c).over(w) - F.col(c), F.col(c) - F.lag(c).over(w), F.lit(0.0))
@@ -113,16 +122,17 @@ def gradient_wind_field(cells: DataFrame, track: DataFrame, sid: str, time: str,
     points = track.select(
         sid, F.col("x").alias("sx"), F.col("y").alias("sy"), "radius_km", (F.col("outer_hpa") - F.col("central_hpa")).alias("deficit"),
         F.coalesce(F.try_divide(step("x") * F.cos(F.radians("y")) * metres, passed), F.lit(0.0)).alias("u"), F.coalesce(F.try_divide(step("y") * metres, passed), F.lit(0.0)).alias("v"),
-    ).withColumn("site", F.lit(0))
-    pairs = within(cells.withColumn("pid", F.col("id")), points, cutoff_km / KM_A_DEGREE)
+    )
     km = F.col("dist") * KM_A_DEGREE
-    b = shape_parameter(F.greatest("deficit", F.lit(0.0)), F.col("sy"), F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")))
+    deficit, speed = F.greatest("deficit", F.lit(0.0)), F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))
+    b = shape_parameter(deficit, F.col("sy"), speed)
     round_ = gradient_wind(km, F.col("radius_km"), F.col("deficit"), F.col("sy"), b)
     east, north = (F.coalesce(F.try_divide(F.col(c) - F.col(f"s{c}"), F.col("dist")), F.lit(0.0)) for c in "xy")
     sense = F.when(F.col("sy") < 0, -1.0).otherwise(1.0)
     part = F.least(F.lit(1.0), F.col("radius_km") / F.greatest(km, F.lit(1e-3)))
     wind = F.sqrt(F.pow(-sense * round_ * north + part * F.col("u"), 2) + F.pow(sense * round_ * east + part * F.col("v"), 2))
-    return pairs.groupBy("id", sid).agg(F.max(wind).alias("wind_speed"))
+    bound = _bounded(F.sqrt(b / AIR * deficit * 100 * math.exp(-1)) + speed)
+    return strongest_within(cells.select(F.col("id").alias("pid"), "x", "y"), points, cutoff_km / KM_A_DEGREE, sid, wind, bound).select(F.col("pid").alias("id"), sid, F.col("best").alias("wind_speed"))
 
 
 def window_days(day: Column, around: int = 2) -> Column:

@@ -85,6 +85,47 @@ def within(points: DataFrame, sites: DataFrame, radius: float, by: list[str] | N
     return _near(points, sites, by or [], radius).where(F.col("dist") <= radius)
 
 
+#: Copies of the sites that come up in a round, so that one crowded bucket is worked on in several tasks.
+SALTS = 8
+
+
+def strongest_within(points: DataFrame, sites: DataFrame, radius: float, of: str, score: Column, bound: Column, first: int = 8) -> DataFrame:
+    """pid, `of` and best: for each point (pid, x, y) and each `of` of the sites (of, sx, sy, ...) with one up to `radius` away, the largest score of these pairs.
+
+    score is an expression over a pair and its dist; bound, over a site, is never below its score at any distance, and NaN where the score may be. Sites of a
+    bucket come up in the order of their bounds, a few first and four times as many in each round; a point leaves a bucket when it has a score that
+    the next bound there does not exceed. So the answer is that of all pairs, and the pairs made are few unless bounds hardly differ.
+    """
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = ["_bx", "_by"]
+    around = F.sequence(F.lit(-1), F.lit(1))
+    in_reach = lambda df: df.withColumn("_bx", F.explode(F.transform(around, lambda d: _bucket("x", radius) + d))).withColumn("_by", F.explode(F.transform(around, lambda d: _bucket("y", radius) + d)))
+    order = Window.partitionBy("_of", *at).orderBy(F.desc_nulls_last("_bound"))
+    placed = sites.where("sx IS NOT NULL AND sy IS NOT NULL").withColumns({"_bx": _bucket("sx", radius), "_by": _bucket("sy", radius), "_bound": bound, "_of": F.struct(of)})  # a struct: a missing name is a name as well
+    placed = settled(placed.withColumn("_rank", F.row_number().over(order)), "bounded")
+    salted = lambda df, salt, keys: df.withColumn("_salt", salt).repartition(n, *keys)
+    dist = F.sqrt(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2))
+    near = F.col("dist") <= radius
+    open_, known, states, seen, upto = in_reach(points.select("pid", "x", "y").where("x IS NOT NULL AND y IS NOT NULL")), [], [], 0, first
+    while True:
+        keys = [*at, *known, "_salt"]
+        some = salted(placed.where(F.col("_rank").between(seen + 1, upto)), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))), keys)
+        pairs = salted(open_, F.pmod(F.xxhash64("pid"), F.lit(SALTS)).cast("int"), keys).join(some, keys).withColumn("dist", dist)
+        before = F.max("_best") if known else F.lit(None)
+        state = pairs.groupBy("pid", "x", "y", "_of").agg(F.greatest(F.max(F.when(near, score)), before.cast("double")).alias("_best"), F.max(near).alias("_met"))
+        states.append(settled(state, "strongest"))
+        coming = settled(placed.where(F.col("_rank") == upto + 1).select("_of", *at, F.col("_bound").alias("_next")), "coming")
+        waiting = in_reach(states[-1]).join(coming, [*at, "_of"]) if coming.head(1) else None
+        waiting = waiting.where(F.col("_best").isNull() | (F.col("_next") > F.col("_best"))).select("pid", "x", "y", *at, "_of", "_best") if waiting is not None else None
+        if waiting is None or waiting.isEmpty():
+            break
+        open_, known, seen, upto = waiting, ["_of"], upto, upto * 4
+    found = states[0]
+    for state in states[1:]:
+        found = found.unionByName(state)
+    return found.groupBy("pid", "_of").agg(F.max("_best").alias("best"), F.max("_met").alias("_met")).where("_met").select("pid", F.col("_of").getField(of).alias(of), "best")
+
+
 def tiles_near(tiles: DataFrame, cells: DataFrame, country: str, buffer: float = 3.0) -> DataFrame:
     """Tiles (pid, x, y: the place in the name) inside the buffer around a country's cells (site, sx, sy)."""
     return within(tiles, cells.select(country, "site", "sx", "sy"), buffer).select(country, "pid").distinct()
